@@ -23,6 +23,18 @@ def write_csv(
     return path
 
 
+def write_json_array(df: DataFrame, path: str, key: str, rows_per_file: int = 10_000) -> str:
+    """Files that each hold one JSON array of about ``rows_per_file`` objects.
+
+    Rows are spread by the hash of ``key``, so no array outgrows a task.
+    """
+    files = F.greatest(F.lit(1), F.ceil(df.agg(F.count("*")).scalar() / F.lit(rows_per_file)))
+    placed = df.select(F.pmod(F.xxhash64(key), files).alias("_file"), F.struct("*").alias("_row"))
+    arrays = placed.groupBy("_file").agg(F.to_json(F.collect_list("_row")).alias("value"))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def write_json_run(
     scored: DataFrame, path: str, run_ts: Column, raw: DataFrame | None = None,
     save_all: bool = False,
