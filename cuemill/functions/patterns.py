@@ -22,17 +22,22 @@ NOT_AFTER_WORD = rf"(?<!{WORD})"
 NOT_BEFORE_WORD = rf"(?!{WORD})"
 BOUNDARY = rf"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 
-# Case-insensitive for all letters; "." stops at "\n" only.
-IGNORE_CASE = "(?iud)"
-
 
 def portable(pattern: str) -> str:
     """Replace the classes whose meaning depends on the regex engine."""
+    # A boundary next to a letter of the pattern needs one look-around, not four.
+    pattern = re.sub(r"\\b(?=\w(?![?*{]))", lambda _: NOT_AFTER_WORD, pattern)
+    pattern = re.sub(r"(?<!\\)(\w)\\b", lambda m: m[1] + NOT_BEFORE_WORD, pattern)
     for short, full in ((r"\b", BOUNDARY), (r"\s", SPACE), (r"\S", NON_SPACE), (r"\w", WORD)):
         pattern = pattern.replace(short, full)
     return pattern
 
 
+def lower_pattern(pattern: str) -> str:
+    """The pattern for lower-cased text; escapes keep their case."""
+    return re.sub(r"\\.|[^\\]+", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
+
+
 def any_pattern(patterns: Iterable[str]) -> str:
     """One alternation of regular expressions."""
     return "|".join(f"(?:{portable(p)})" for p in patterns)
@@ -45,4 +50,17 @@ def any_literal(phrases: Iterable[str]) -> str:
 
 def any_word(phrases: Iterable[str]) -> str:
     """One alternation of plain phrases, matched between word boundaries."""
-    return f"{BOUNDARY}(?:{any_literal(phrases)}){BOUNDARY}"
+    phrases = list(phrases)
+    if all(re.fullmatch(r"\w(.*\w)?", p, re.S) for p in phrases):
+        return f"{NOT_AFTER_WORD}(?:{any_literal(phrases)}){NOT_BEFORE_WORD}"
+    # Beside a phrase that starts or ends with a sign, a boundary needs a letter outside.
+    return f"(?:{any_pattern(rf'\b{re.escape(p)}\b' for p in phrases)})"
+
+
+def required_literal(pattern: str) -> str | None:
+    """A text that every match contains, if the pattern is simple enough to show one."""
+    plain = re.sub(r"\\[bBdDsSwW]|\.[?*+]?|[\^$]", "\0", pattern.replace(r"\.", "\1"))
+    plain = re.sub(r".[?*]", "\0", plain)
+    if re.search(r"[\\|()\[\]{}+?*]", plain):
+        return None
+    return max(plain.replace("\1", ".").split("\0"), key=len) or None

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.functions.patterns import NON_SPACE, SPACE, WHITESPACE, any_pattern
+from cuemill.functions.patterns import (
+    NON_SPACE,
+    SPACE,
+    WHITESPACE,
+    any_pattern,
+    required_literal,
+)
 
 
 def col(c: Column | str) -> Column:
@@ -19,6 +26,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds or replaces a costly column that later filters must not compute again.
+
+    Catalyst moves a filter below a projection by copying the projected expression into it, once
+    per mention. It does not move one below an explosion.
+    """
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(value)).alias(name)).select(
+        *df.columns, *([] if name in df.columns else [name]))
+
+
 def strip(c: Column | str) -> Column:
     """Remove white space of any kind from both ends (``trim`` only knows the blank)."""
     return F.btrim(col(c), F.lit(WHITESPACE))
@@ -52,7 +70,17 @@ def sentence_array(c: Column | str) -> Column:
 
 def truncate_at(c: Column | str, patterns: Iterable[str]) -> Column:
     """Cut each line where the first of ``patterns`` starts, ignoring case."""
-    return F.regexp_replace(col(c), f"(?iud)(?:{any_pattern(patterns)}).*", "")
+    patterns = list(patterns)
+    if not patterns:
+        return col(c)
+    cut = F.regexp_replace(col(c), f"(?iud)(?:{any_pattern(patterns)}).*", "")
+    literals = [required_literal(p) for p in patterns]
+    if not all(literals):
+        return cut
+    # The expression only reads the texts that hold one of the phrases.
+    low = F.lower(col(c))
+    held = [F.contains(low, F.lit(literal.lower())) for literal in dict.fromkeys(literals)]
+    return F.when(reduce(Column.__or__, held), cut).otherwise(col(c))
 
 
 def article_text(title: Column | str, description: Column | str) -> Column:

@@ -8,14 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions.labels import contains_any, is_junk
-from cuemill.functions.text import article_text, col, normalize_space, strip, words_between
+from cuemill.functions.text import (
+    article_text,
+    col,
+    normalize_space,
+    strip,
+    with_computed,
+    words_between,
+)
 from cuemill.lexicons import TOPIC_KEYWORDS, TRAINING_JUNK
 
 
 def min_length(df: DataFrame, column: str, n: int = 10, stripped: bool = True) -> DataFrame:
     """Non-null values longer than ``n`` characters, stripped first by default."""
     if stripped:
-        df = df.withColumn(column, strip(column))
+        df = with_computed(df, column, strip(column))
     return df.filter(F.length(column) > n)
 
 
@@ -25,7 +32,7 @@ def valid_sentence(
 ) -> DataFrame:
     """Normalised sentences of ``lo`` to ``hi`` words without junk."""
     # Counting words needs no normal form, so rows are dropped before they are rewritten.
-    out = df.filter(words_between(column, lo, hi)).withColumn(column, normalize_space(column))
+    out = with_computed(df.filter(words_between(column, lo, hi)), column, normalize_space(column))
     return out.filter(~is_junk(column, junk)) if junk else out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions.labels import relevance_score
+from cuemill.functions.text import with_computed
 from cuemill.lexicons import RelevanceLexicon
 
 
@@ -16,7 +17,8 @@ def score_articles(
     description: str = "description", min_score: int | None = 3,
 ) -> DataFrame:
     """Adds ``relevance_score`` and keeps scores from ``min_score`` on. Narrow: streams too."""
-    scored = df.withColumn("relevance_score", relevance_score(title, description, lexicon))
+    score = relevance_score(title, description, lexicon)
+    scored = with_computed(df, "relevance_score", score)
     return scored if min_score is None else scored.filter(F.col("relevance_score") >= min_score)
 
 

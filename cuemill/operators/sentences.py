@@ -24,10 +24,9 @@ def sentences(
 
     ``pos`` counts all pieces, so ``(key, pos)`` gives the corpus order that rows lack.
     """
-    pieces = df.select(*keep, F.posexplode(sentence_array(text)).alias("pos", "_piece"))
-    if min_word_count > 0:
-        pieces = pieces.filter(min_words("_piece", min_word_count))
-    return pieces.select(*keep, "pos", strip("_piece").alias("sentence"))
+    # Separators swallow all white space between pieces, so stripping the text strips each piece.
+    pieces = df.select(*keep, F.posexplode(sentence_array(strip(text))).alias("pos", "sentence"))
+    return pieces.filter(min_words("sentence", min_word_count)) if min_word_count > 0 else pieces
 
 
 def html_paragraphs(
@@ -36,9 +35,9 @@ def html_paragraphs(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """``key``, ``pos`` and ``text`` of each paragraph that is neither boilerplate nor a fragment."""
-    pieces = df.select(key, *keep, F.posexplode(page_blocks(html, blocks)).alias("pos", "_piece"))
-    texts = pieces.select(key, *keep, "pos", block_text("_piece").alias("text"))
-    return texts.filter(min_words("text", min_word_count) & ~bad_paragraph("text", phrases))
+    texts = F.transform(page_blocks(html, blocks), block_text)
+    rows = df.select(key, *keep, F.posexplode(texts).alias("pos", "text"))
+    return rows.filter(min_words("text", min_word_count) & ~bad_paragraph("text", phrases))
 
 
 def html_article_text(

@@ -40,7 +40,7 @@ def articles_to_sentences(
     White space is normalised after the cut, so a cut reaches to the end of its line only.
     """
     cleaned = df.select(*keep, normalize_space(truncate_at(text, patterns)).alias(text))
-    return sentences(cleaned.filter(F.length(text) > 0), text, min_words, keep)
+    return sentences(cleaned, text, min_words, keep).filter(F.length("sentence") > 0)
 
 
 def clean_annotations(annotations: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:

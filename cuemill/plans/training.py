@@ -34,7 +34,7 @@ def label_training_sentences(
     text: str = "text", key: str = "doc_id", lo: int = 5, hi: int = 100,
 ) -> DataFrame:
     """Valid sentences of the articles with their keyword label. One narrow pass."""
-    pieces = sentences(articles, text, min_word_count=0, keep=[key])
+    pieces = sentences(articles, text, min_word_count=lo, keep=[key])
     return valid_sentence(pieces, "sentence", lo, hi, junk).withColumn(
         "label", label_word_boundary("sentence", cues))
 

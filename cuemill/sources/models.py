@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 
 
@@ -24,7 +24,7 @@ def load_models(paths: Mapping[str, str]) -> dict[str, PipelineModel]:
     for name, path in paths.items():
         try:
             found[name] = load_model(path)
-        except Py4JJavaError as error:
-            if "Input path does not exist" not in str(error.java_exception):
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
                 raise
     return found
