@@ -12,6 +12,7 @@ from cuemill.lexicons import Exclusion, RelevanceLexicon
 from cuemill.operators.dedup import union_all
 from cuemill.operators.filters import valid_sentence
 from cuemill.operators.sentences import sentences
+from cuemill.sources.tables import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +49,7 @@ DOMAINS = ("ththre.example.com", "m.ththth.example.net", "blog.ththan.example.ne
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_parquet(spark, f"{sf}/{name}.parquet", spread=name in ("documents", "pages"))
 
 
 def pieces(spark: SparkSession, sf: str) -> DataFrame:

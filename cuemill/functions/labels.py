@@ -17,7 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cuemill.functions.patterns import (
-    BOUNDARY,
+    NOT_AFTER_WORD,
+    NOT_BEFORE_WORD,
     SPACE,
     any_literal,
     any_pattern,
@@ -147,7 +148,7 @@ def hard_excluded(c: Column | str, rules: Sequence[Exclusion] = EXCLUSIONS) -> C
 
 def has_ticker(title: Column | str) -> Column:
     """True if a word of one to five ASCII capitals is in the title."""
-    return F.coalesce(col(title).rlike(f"{BOUNDARY}[A-Z]{{1,5}}{BOUNDARY}"), F.lit(False))
+    return F.coalesce(col(title).rlike(f"{NOT_AFTER_WORD}[A-Z]{{1,5}}{NOT_BEFORE_WORD}"), F.lit(False))
 
 
 def has_suffix(c: Column | str, suffixes: Iterable[str]) -> Column:

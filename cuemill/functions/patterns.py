@@ -14,9 +14,12 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-_SPACE_SET = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = f"[{_SPACE_SET}]"
-NON_SPACE = f"[^{_SPACE_SET}]"
+# Single characters up to \xff are one table look-up in Java, ranges are not.
+_SIGNS = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[ {_SIGNS}]"
+NON_SPACE = f"[^ {_SIGNS}]"
+# White space that a single blank must replace: a run, or any sign but the blank.
+SPACE_RUN = f" {SPACE}+|[{_SIGNS}]{SPACE}*"
 WORD = r"[\p{L}\p{N}_]"
 NOT_AFTER_WORD = rf"(?<!{WORD})"
 NOT_BEFORE_WORD = rf"(?!{WORD})"

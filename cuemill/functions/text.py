@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cuemill.functions.patterns import (
     NON_SPACE,
     SPACE,
+    SPACE_RUN,
     WHITESPACE,
     any_pattern,
     required_literal,
@@ -44,25 +45,28 @@ def strip(c: Column | str) -> Column:
 
 def normalize_space(c: Column | str) -> Column:
     """Collapse each run of white space to one blank and strip."""
-    return F.trim(F.regexp_replace(col(c), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(col(c), SPACE_RUN, " "))
+
+
+def normal_word_count(c: Column | str) -> Column:
+    """Number of words of a text in normal form: its blanks are counted, no word is built."""
+    c = col(c)
+    blanks = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    return F.when(c == "", 0).otherwise(blanks + 1)
 
 
 def word_count(c: Column | str) -> Column:
     """Number of words, that is runs of non-space characters."""
-    return F.regexp_count(col(c), F.lit(f"{NON_SPACE}+"))
+    return let(normalize_space(c), normal_word_count)
 
 
 def min_words(c: Column | str, n: int) -> Column:
-    """True from ``n`` words on. Stops reading at word ``n`` and builds no word list."""
+    """True from ``n`` words on. Stops reading at word ``n``."""
     if n <= 0:
         return col(c).isNotNull()
     return col(c).rlike(f"^{SPACE}*+(?:{NON_SPACE}++{SPACE}++){{{n - 1}}}{NON_SPACE}")
 
 
-def words_between(c: Column | str, lo: int, hi: int) -> Column:
-    return min_words(c, lo) & ~min_words(c, hi + 1)
-
-
 def sentence_array(c: Column | str) -> Column:
     """Split after ``. ! ?`` and white space where an ASCII capital follows."""
     return F.split(col(c), rf"(?<=[.!?]){SPACE}+(?=[A-Z])")

@@ -11,10 +11,10 @@ from cuemill.functions.labels import contains_any, is_junk
 from cuemill.functions.text import (
     article_text,
     col,
+    normal_word_count,
     normalize_space,
     strip,
     with_computed,
-    words_between,
 )
 from cuemill.lexicons import TOPIC_KEYWORDS, TRAINING_JUNK
 
@@ -31,8 +31,8 @@ def valid_sentence(
     junk: Sequence[str] = TRAINING_JUNK,
 ) -> DataFrame:
     """Normalised sentences of ``lo`` to ``hi`` words without junk."""
-    # Counting words needs no normal form, so rows are dropped before they are rewritten.
-    out = with_computed(df.filter(words_between(column, lo, hi)), column, normalize_space(column))
+    out = with_computed(df, column, normalize_space(column))
+    out = out.filter(normal_word_count(column).between(lo, hi))
     return out.filter(~is_junk(column, junk)) if junk else out
 
 

@@ -74,8 +74,12 @@ def read_csv_any_encoding(
     return union_all(*parts)
 
 
-def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.parquet(*paths)
+def read_parquet(spark: SparkSession, *paths: str, spread: bool = False) -> DataFrame:
+    """Parquet files. A row group is read by one task, so ``spread`` deals the rows of a table that
+    has fewer splits than cores out to all cores; larger tables are read as they are."""
+    out = spark.read.parquet(*paths)
+    cores = min(spark.sparkContext.defaultParallelism, 64)
+    return out.repartition(cores) if spread and out.rdd.getNumPartitions() < cores else out
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
