@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cuemill.functions.patterns import (
     NOT_AFTER_WORD,
     NOT_BEFORE_WORD,
-    SPACE,
+    SPACE_SET,
     any_literal,
     any_pattern,
     any_word,
@@ -80,7 +80,7 @@ def label_token_set(c: Column | str, cues: Iterable[str] = KEYWORD_CUES) -> Colu
     tokens = [cue for cue in cues if cue and not re.search(r"[\s,.]", cue)]
     if not tokens:
         return F.lit(0)
-    inner = f"[^{SPACE[1:-1]},.]"
+    inner = f"(?U:[^{SPACE_SET},.])"
     low = F.lower(col(c))
     whole = low.rlike(f"(?<!{inner})(?:{any_literal(tokens)})(?!{inner})")
     return _flag(_holds_any(low, tokens) & whole)

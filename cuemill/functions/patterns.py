@@ -1,7 +1,7 @@
 """Regular expressions that mean the same on every JVM.
 
-Java's ``\\s``, ``\\w`` and ``\\b`` are ASCII or change with the Java version, so the classes are
-spelled out here and patterns are translated before they reach Spark.
+Java's ``\\s``, ``\\w`` and ``\\b`` are ASCII or change with the Java version, so patterns are
+translated to Unicode classes before they reach Spark.
 """
 
 from __future__ import annotations
@@ -14,12 +14,10 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# Single characters up to \xff are one table look-up in Java, ranges are not.
-_SIGNS = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = f"[ {_SIGNS}]"
-NON_SPACE = f"[^ {_SIGNS}]"
-# White space that a single blank must replace: a run, or any sign but the blank.
-SPACE_RUN = f" {SPACE}+|[{_SIGNS}]{SPACE}*"
+# Java's Unicode white space lacks the four ASCII separators.
+SPACE_SET = r"\s\x1c-\x1f"
+SPACE = f"(?U:[{SPACE_SET}])"
+NON_SPACE = f"(?U:[^{SPACE_SET}])"
 WORD = r"[\p{L}\p{N}_]"
 NOT_AFTER_WORD = rf"(?<!{WORD})"
 NOT_BEFORE_WORD = rf"(?!{WORD})"
