@@ -38,7 +38,7 @@ from cuemill.operators.joins import (
     pair_annotators,
 )
 from cuemill.operators.metrics import step_counts
-from cuemill.operators.sampling import fold_index
+from cuemill.operators.sampling import fold_index_table
 from cuemill.operators.sentences import sentences
 from cuemill.plans.curation import (
     articles_to_sentences,
@@ -113,7 +113,7 @@ def attach_predictions_(spark, sf):
   SELECT doc_id, gold_label FROM folds WHERE fold = 2""")
 def fold_membership_join(spark, sf):
     rows = folded(spark, sf)
-    index = fold_index(rows, "doc_id")
+    index = fold_index_table(rows, "doc_id", chunk=100)
     return fold_rows_by_index(rows, index, 2, "val", "doc_id").select("doc_id", "gold_label")
 
 

@@ -131,19 +131,12 @@ def stratified_kfold_(spark, sf):
     return folded(spark, sf).select("doc_id", "gold_label", "fold")
 
 
-@query("fold_index_table", f"""WITH {FOLDS}, f AS (SELECT unnest(range(5)) AS fold),
-  parts AS (SELECT f.fold, CASE WHEN d.fold = f.fold THEN 'val' ELSE 'train' END AS part, d.doc_id
-            FROM folds d, f)
-  SELECT CAST(fold AS INTEGER) AS fold, part, count(*) AS n,
-         string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS indices
-  FROM parts GROUP BY fold, part""")
+@query("fold_index_table", f"""WITH {FOLDS}, f AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS fold)
+  SELECT f.fold, CASE WHEN d.fold = f.fold THEN 'val' ELSE 'train' END AS part, d.doc_id
+  FROM folds d, f""")
 def fold_index_table_(spark, sf):
     chunks = fold_index_table(folded(spark, sf), "doc_id", chunk=100)
-    # Chunks are put together for the comparison only.
-    whole = chunks.groupBy("fold", "part").agg(
-        F.sort_array(F.flatten(F.collect_list("indices"))).alias("i"))
-    return whole.select("fold", "part", F.size("i").cast("long").alias("n"),
-                        F.array_join(F.col("i").cast("array<string>"), ",").alias("indices"))
+    return chunks.select("fold", "part", F.explode("indices").alias("doc_id"))
 
 
 @query("hash_split", f"""SELECT doc_id, CASE WHEN CAST('0x' || substr({hash_sql('doc_id')}, 1, 8) AS BIGINT)

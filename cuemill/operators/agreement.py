@@ -16,8 +16,10 @@ def cohen_kappa(df: DataFrame, a: str = "label_a", b: str = "label_b") -> DataFr
     """
     pairs = (df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
              .groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")))
-    sides = pairs.select(F.expr("inline(array(struct(a AS label, n AS na, 0L AS nb), "
-                                "struct(b, 0L, n)))"))
+    none = F.lit(0).cast("long").alias
+    sides = pairs.select(F.inline(F.array(
+        F.struct(F.col("a").alias("label"), F.col("n").alias("na"), none("nb")),
+        F.struct(F.col("b").alias("label"), none("na"), F.col("n").alias("nb")))))
     margins = sides.groupBy("label").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
     n = pairs.agg(F.sum("n")).scalar().cast("double")
     out = pairs.agg((F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)) / n)

@@ -68,6 +68,6 @@ def fold_rows(df: DataFrame, fold: int, part: str = "val") -> DataFrame:
 def fold_rows_by_index(
     df: DataFrame, index: DataFrame, fold: int, part: str = "val", key: str = "doc_id"
 ) -> DataFrame:
-    """The same by a fold index table of ``(fold, train_indices, val_indices)`` rows."""
-    wanted = index.filter(F.col("fold") == fold).select(F.explode(f"{part}_indices").alias(key))
-    return df.join(wanted, key, "left_semi")
+    """The same by a fold index table, whose lists come in chunks."""
+    wanted = index.filter((F.col("fold") == fold) & (F.col("part") == part))
+    return df.join(wanted.select(F.explode("indices").alias(key)), key, "left_semi")

@@ -266,9 +266,9 @@ def melt_metrics(
 def confusion_long(df: DataFrame, y: str = "gold_label", p: str = "prediction") -> DataFrame:
     """The confusion matrix as four ``(actual, pred, n)`` rows, zero cells included."""
     counts = df.agg(*confusion_counts(y, p))
-    cells = F.expr("inline(array(struct(0 AS actual, 0 AS pred, tn AS n), struct(0, 1, fp), "
-                   "struct(1, 0, fn), struct(1, 1, tp)))")
-    return counts.select(cells)
+    cells = [F.struct(F.lit(actual).alias("actual"), F.lit(pred).alias("pred"), F.col(n).alias("n"))
+             for actual, pred, n in ((0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp"))]
+    return counts.select(F.inline(F.array(*cells)))
 
 
 def round_metrics(df: DataFrame, digits: int = 3, percents: Sequence[str] = ()) -> DataFrame:
