@@ -27,8 +27,7 @@ from bindings.common import (
     valid,
 )
 
-from cuemill.operators.classify import logistic_regression, score
-from cuemill.operators.features import tfidf_fit, tfidf_model
+from cuemill.operators.classify import fit_pipeline, logistic_regression, score
 from cuemill.operators.filters import only
 from cuemill.operators.metrics import confusion_metrics
 from cuemill.operators.ranking import score_articles
@@ -51,7 +50,6 @@ from cuemill.sources.tables import (
     read_parquet,
     require_columns,
 )
-from pyspark.ml import PipelineModel
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ALL_DOCUMENTS = "SELECT doc_id, text, lang, source, n_chars FROM documents"
@@ -142,9 +140,8 @@ def require_columns_(spark, sf):
 @query("model_save_load", """SELECT doc_id, 1 AS same FROM documents JOIN labels USING (doc_id)""")
 def model_save_load(spark, sf):
     rows = gold(spark, sf)
-    vectors = tfidf_model(tfidf_fit(rows, "sentence", size=100), "sentence")
-    train = vectors.transform(rows).withColumn("label", F.col("gold_label").cast("double"))
-    model = PipelineModel([vectors, logistic_regression(train, 1.0, "balanced", max_iter=20)])
+    model = fit_pipeline(rows, logistic_regression, 1.0, "balanced", "sentence", "gold_label",
+                         vocabulary_size=100, max_iter=20)
     path = save_model(model, scratch_path(spark, "model"))
     loaded = load_models({"lr": path, "absent": f"{path}-absent"})
     assert list(loaded) == ["lr"]

@@ -41,66 +41,107 @@ class Grid:
             self.table, "C double, class_weight string, mean_f1 double, best boolean")
 
 
-def _weighted(df: DataFrame, label: str, class_weight: str | None) -> tuple[DataFrame, int]:
-    """Rows with ``_weight``, and their number; balanced weights also add up to that number."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+# Rows that one task handles in a step of a fit; a step on fewer rows is all overhead.
+ROWS_PER_TASK = 10_000
+
+Counts = dict[float, int]
+
+
+def class_counts(df: DataFrame, label: str) -> Counts:
+    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+
+
+def _weighted(df: DataFrame, label: str, class_weight: str | None, counts: Counts) -> DataFrame:
+    """Rows with ``_weight``; balanced weights, too, add up to the number of rows."""
     n = sum(counts.values())
     weight = F.lit(1.0)
     if class_weight == "balanced":
         for value, n_c in counts.items():
             weight = F.when(F.col(label) == value, F.lit(n / (len(counts) * n_c))).otherwise(weight)
-    return df.withColumn("_weight", weight), n
+    return df.withColumn("_weight", weight)
+
+
+def _features(df: DataFrame, vectors: PipelineModel, rows: int, *columns: str) -> DataFrame:
+    """Cached feature rows, in no more partitions than they fill."""
+    out = vectors.transform(df).select(*columns, "features")
+    out = out.coalesce(max(1, -(-rows // ROWS_PER_TASK))).persist()
+    out.count()
+    return out
 
 
 def logistic_regression(
     train: DataFrame, C: float, class_weight: str | None, label: str = "label",
-    features: str = "features", max_iter: int = 1000,
+    counts: Counts | None = None, max_iter: int = 1000, tol: float = 1e-6,
 ) -> Model:
-    rows, n = _weighted(train, label, class_weight)
+    """L2-regularised logistic regression over ``features``; the intercept is free."""
+    counts = counts or class_counts(train, label)
     return LogisticRegression(
-        featuresCol=features, labelCol=label, weightCol="_weight", maxIter=max_iter,
-        regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False).fit(rows)
+        featuresCol="features", labelCol=label, weightCol="_weight", maxIter=max_iter, tol=tol,
+        regParam=1.0 / (C * sum(counts.values())), elasticNetParam=0.0, standardization=False,
+    ).fit(_weighted(train, label, class_weight, counts))
 
 
 def linear_svm(
     train: DataFrame, C: float, class_weight: str | None, label: str = "label",
-    features: str = "features", max_iter: int = 200,
+    counts: Counts | None = None, max_iter: int = 100, tol: float = 1e-6,
 ) -> Model:
-    """Hinge loss with a free intercept."""
-    rows, n = _weighted(train, label, class_weight)
-    return LinearSVC(featuresCol=features, labelCol=label, weightCol="_weight", maxIter=max_iter,
-                     regParam=1.0 / (C * n), standardization=False).fit(rows)
+    """Linear SVM over ``features`` with hinge loss and a free intercept."""
+    counts = counts or class_counts(train, label)
+    return LinearSVC(
+        featuresCol="features", labelCol=label, weightCol="_weight", maxIter=max_iter, tol=tol,
+        regParam=1.0 / (C * sum(counts.values())), standardization=False,
+    ).fit(_weighted(train, label, class_weight, counts))
 
 
 Trainer = Callable[..., Model]
 
 
+def fit_pipeline(
+    df: DataFrame, trainer: Trainer, C: float, class_weight: str | None, text: str = "text",
+    label: str = "label", vocabulary_size: int = 500, vectors: PipelineModel | None = None,
+    **options,
+) -> PipelineModel:
+    """Vocabulary, features and classifier of all rows, as one pipeline that can be saved."""
+    rows = df.withColumn(label, F.col(label).cast("double"))
+    vectors = vectors or tfidf_model(tfidf_fit(rows, text, size=vocabulary_size), text)
+    counts = class_counts(rows, label)
+    features = _features(rows, vectors, sum(counts.values()), label)
+    try:
+        model = trainer(features, C, class_weight, label, counts, **options)
+    finally:
+        features.unpersist()
+    return PipelineModel([vectors, model])
+
+
 def grid_search(
     df: DataFrame, trainer: Trainer, text: str = "text", label: str = "label", fold: str = "fold",
     Cs: Sequence[float] = CS, weights: Sequence[str | None] = WEIGHTS, k: int = 5,
-    parallelism: int = 4, vocabulary_size: int = 500, per_fold_vocabulary: bool = True,
+    parallelism: int = 4, vocabulary_size: int = 500, per_fold_vocabulary: bool = True, **options,
 ) -> Grid:
     """Best parameters by the mean positive-class F1 over the folds, refitted on all rows.
 
     ``df`` carries a ``fold`` column. The vocabulary of a fold comes from its training rows, unless
-    ``per_fold_vocabulary`` is off.
+    ``per_fold_vocabulary`` is off. ``options`` go to the trainer.
     """
-    all_rows = df.withColumn(label, F.col(label).cast("double"))
+    rows = df.withColumn(label, F.col(label).cast("double"))
     params = list(product(Cs, weights))
-    whole = tfidf_model(tfidf_fit(all_rows, text, size=vocabulary_size), text)
+    whole = tfidf_model(tfidf_fit(rows, text, size=vocabulary_size), text)
+    by_fold = {(r[0], r[1]): r[2] for r in rows.groupBy(fold, label).count().collect()}
     scores: dict[tuple, float] = dict.fromkeys(params, 0.0)
     with ThreadPool(parallelism) as pool:
         for i in range(k):
-            train = all_rows.filter(F.col(fold) != i)
+            counts: Counts = {}
+            for (f, value), n in by_fold.items():
+                if f != i:
+                    counts[value] = counts.get(value, 0) + n
             vectors = whole if not per_fold_vocabulary else tfidf_model(
-                tfidf_fit(train, text, size=vocabulary_size), text)
-            # The features are read by every fit of the fold.
-            cached = vectors.transform(all_rows).select(fold, label, "features").persist()
+                tfidf_fit(rows.filter(F.col(fold) != i), text, size=vocabulary_size), text)
+            # Every fit of the fold reads the same features.
+            cached = _features(rows, vectors, sum(by_fold.values()), fold, label)
             try:
                 part = cached.filter(F.col(fold) != i)
                 held_out = cached.filter(F.col(fold) == i)
-                models = pool.map(lambda p: trainer(part, C=p[0], class_weight=p[1], label=label),
-                                  params)
+                models = pool.map(lambda p: trainer(part, *p, label, counts, **options), params)
                 scored = [m.transform(held_out).select(F.lit(j).alias("j"), label, "prediction")
                           for j, m in enumerate(models)]
                 result = confusion_metrics(reduce(DataFrame.unionByName, scored), label,
@@ -110,12 +151,8 @@ def grid_search(
             finally:
                 cached.unpersist()
     best = max(params, key=lambda p: scores[p])
-    features = whole.transform(all_rows).select(label, "features").persist()
-    try:
-        model = trainer(features, C=best[0], class_weight=best[1], label=label)
-    finally:
-        features.unpersist()
-    return Grid(PipelineModel([whole, model]), {"C": best[0], "class_weight": best[1]},
+    model = fit_pipeline(df, trainer, *best, text, label, vectors=whole, **options)
+    return Grid(model, {"C": best[0], "class_weight": best[1]},
                 [(float(c), w, scores[c, w], (c, w) == best) for c, w in params])
 
 
@@ -130,25 +167,17 @@ def svm_grid(df: DataFrame, **options) -> Grid:
 def cross_val_predict(
     df: DataFrame, trainer: Trainer, C: float, class_weight: str | None, text: str = "text",
     label: str = "label", fold: str = "fold", k: int = 5, vocabulary_size: int = 500,
-    per_fold_vocabulary: bool = True,
+    per_fold_vocabulary: bool = True, **options,
 ) -> DataFrame:
     """All rows with the prediction of the model that was not trained on them."""
-    all_rows = df.withColumn("_y", F.col(label).cast("double"))
     whole = None
     if not per_fold_vocabulary:
-        whole = tfidf_model(tfidf_fit(all_rows, text, size=vocabulary_size), text)
+        whole = tfidf_model(tfidf_fit(df, text, size=vocabulary_size), text)
     parts = []
     for i in range(k):
-        train = all_rows.filter(F.col(fold) != i)
-        vectors = whole or tfidf_model(tfidf_fit(train, text, size=vocabulary_size), text)
-        rows = vectors.transform(train).select("_y", "features").persist()
-        try:
-            model = trainer(rows, C=C, class_weight=class_weight, label="_y")
-        finally:
-            rows.unpersist()
-        held_out = vectors.transform(all_rows.filter(F.col(fold) == i))
-        parts.append(model.transform(held_out).select(
-            *df.columns, F.col("prediction").cast("int").alias("prediction")))
+        model = fit_pipeline(df.filter(F.col(fold) != i), trainer, C, class_weight, text, label,
+                             vocabulary_size, whole, **options)
+        parts.append(score(model, df.filter(F.col(fold) == i)).drop("probability"))
     return reduce(DataFrame.unionByName, parts)
 
 
