@@ -63,10 +63,10 @@ def tfidf_transform_(spark, sf):
 
 
 def _training(spark, sf, k: int = 3):
-    """Gold documents with three folds."""
+    """Gold documents with three folds; read by many passes."""
     texts = gold(spark, sf).select("doc_id", F.col("sentence").alias("text"))
     folds = folded(spark, sf, k).select("doc_id", F.col("gold_label").alias("label"), "fold")
-    return folds.join(texts, "doc_id")
+    return folds.join(texts, "doc_id").persist()
 
 
 # A smaller grid and fewer steps than by default, over all labelled documents.

@@ -17,7 +17,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions.text import ngrams
@@ -59,16 +59,22 @@ def tfidf_fit(
     return vocabulary.select("term", idx.alias("idx"), "tf", "df", idf.alias("idf"))
 
 
+def vocabulary_rows(vocabulary: DataFrame) -> list[Row]:
+    """The fitted terms, in index order. Their number is the vocabulary size given at the fit."""
+    rows = vocabulary.select("idx", "term", "idf").collect()
+    if not rows:
+        raise ValueError("no term is left in the vocabulary")
+    return sorted(rows, key=lambda r: r["idx"])
+
+
 def tfidf_model(
-    vocabulary: DataFrame, text: str = "text", features: str = "features", hi: int = 2
+    vocabulary: DataFrame | list[Row], text: str = "text", features: str = "features", hi: int = 2
 ) -> PipelineModel:
     """The fitted vocabulary as a pipeline: words, n-grams, counts, idf weights, unit length.
 
     All stages are narrow JVM transformers, and the pipeline can be saved with its classifier.
     """
-    rows = vocabulary.orderBy("idx").select("term", "idf").collect()
-    if not rows:
-        raise ValueError("no term is left in the vocabulary")
+    rows = vocabulary if isinstance(vocabulary, list) else vocabulary_rows(vocabulary)
     stages = [
         SQLTransformer(statement=f"SELECT *, coalesce({text}, '') AS _text FROM __THIS__"),
         RegexTokenizer(inputCol="_text", outputCol="_n1", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False,
@@ -95,8 +101,8 @@ def tfidf_transform(
 
     The weights of a row are computed inside the row, so nothing is shuffled.
     """
-    terms = [r["term"] for r in vocabulary.orderBy("idx").select("term").collect()]
-    scored = tfidf_model(vocabulary, text, "features", hi).transform(df.select(key, text))
+    rows = vocabulary_rows(vocabulary)
+    scored = tfidf_model(rows, text, "features", hi).transform(df.select(key, text))
     cells = scored.select(key, F.posexplode(vector_to_array("features")).alias("_idx", "weight"))
-    names = F.array(*[F.lit(t) for t in terms])
+    names = F.array(*[F.lit(r["term"]) for r in rows])
     return cells.filter("weight > 0").select(key, F.get(names, F.col("_idx")).alias("term"), "weight")
