@@ -44,8 +44,9 @@ RELEVANCE = RelevanceLexicon(
     suffixes=("inc", "llc", "plc"),
     exclude=(Exclusion(("licensed under", "password")),
              Exclusion(("with", "from"), ("this", "that", "was"))))
-DOMAINS = ("ththre.example.com", "m.ththth.example.net", "blog.ththan.example.net",
-           "thther.example.org", "therin.example.net", "m.therou.example.com")
+DOMAINS = ("m.tionsh.example.net", "ththin.example.com", "thther.example.org", "ththhe.example.com",
+           "blog.ththan.example.net", "m.ththth.example.net", "tionble.example.org",
+           "ththon.example.org")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -58,13 +58,14 @@ def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def quotas(counts: dict[Any, int], draws: int) -> dict[Any, int]:
-    """``draws`` shared out in proportion to ``counts``; the largest remainders round up."""
+    """``draws`` shared out in proportion to ``counts``; the largest remainders round up,
+    earlier classes first."""
     total = sum(counts.values())
     if not total:
         return dict.fromkeys(counts, 0)
     floors = {c: n * draws // total for c, n in counts.items()}
     left = draws - sum(floors.values())
-    by_remainder = sorted(counts, key=lambda c: (-(counts[c] * draws % total), c))
+    by_remainder = sorted(counts, key=lambda c: -(counts[c] * draws % total))
     return {c: floors[c] + (c in by_remainder[:left]) for c in counts}
 
 
