@@ -44,7 +44,7 @@ from cuemill.functions.labels import (
     keyword_query,
     matches_any_regex,
 )
-from cuemill.functions.text import min_words
+from cuemill.functions.text import min_words, with_computed
 from cuemill.functions.web import domain_in
 from cuemill.operators.filters import (
     drop_rejected,
@@ -116,8 +116,9 @@ def filter_hard_exclude(spark, sf):
 @query("filter_min_score", f"""WITH {SCORED} SELECT doc_id, title FROM scored
   WHERE relevance_score >= 9 AND regexp_matches(title, '\\S')""")
 def filter_min_score(spark, sf):
-    return articles(spark, sf).filter(
-        is_relevant("title", "description", 9, RELEVANCE)).select("doc_id", "title")
+    rows = with_computed(articles(spark, sf), "relevant",
+                         is_relevant("title", "description", 9, RELEVANCE))
+    return rows.filter("relevant").select("doc_id", "title")
 
 
 @query("filter_keyword_query", f"""SELECT doc_id, lang FROM documents

@@ -33,6 +33,7 @@ from cuemill.operators.sampling import (
     stratified_split,
     three_way_split,
 )
+from cuemill.session import scratch_path
 from cuemill.plans.training import build_annotation_set, prepare_training_set
 
 
@@ -165,7 +166,8 @@ def add_gold_to_eval(spark, sf):
   UNION ALL SELECT sentence, gold_label, split, 'gold' FROM granked""")
 def prepare_training_set_(spark, sf):
     golden = gold(spark, sf).withColumn("split", F.col("dataset"))
-    return prepare_training_set(table(spark, sf, "documents"), golden, CUES, JUNK)
+    return prepare_training_set(table(spark, sf, "documents"), golden, CUES, JUNK,
+                                scratch=scratch_path(spark, "sentences"))
 
 
 @query("class_weights", f"""WITH {VALID}, c AS (SELECT label, count(*) AS n FROM valid GROUP BY label)

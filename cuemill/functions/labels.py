@@ -170,14 +170,16 @@ def relevance_score(
     title = F.coalesce(col(title), F.lit(""))
     low_title = F.lower(title)
     text = F.concat(low_title, F.lit(" "), F.lower(F.coalesce(col(description), F.lit(""))))
-    strong = let(text, lambda t: _count_terms(t, lexicon.strong) * 3
-                 + _count_terms(t, lexicon.moderate))
+
+    def points(t: Column) -> Column:
+        found = _count_terms(t, lexicon.strong) * 3 + _count_terms(t, lexicon.moderate)
+        return found + _holds_any(t, lexicon.suffixes).cast("int")
+
     # A term in the title is also in the text, so the bonus needs no second test.
     bonus = let(low_title, lambda t: _count_terms(t, lexicon.strong) * 2)
     ticker = has_ticker(title).cast("int") * 2
-    suffix = has_suffix(text, lexicon.suffixes).cast("int") if lexicon.suffixes else F.lit(0)
     return (F.when(hard_excluded(text, lexicon.exclude), F.lit(-1))
-            .otherwise(strong + bonus + ticker + suffix))
+            .otherwise(let(text, points) + bonus + ticker))
 
 
 def is_relevant(

@@ -34,6 +34,6 @@ def agreement(df: DataFrame, a: str = "annotator_1", b: str = "annotator_2") ->
     category = (F.when(F.col(a) == F.col(b), AGREED).when(F.col(b) == 1, MISSED)
                 .otherwise(FALSE_ALARM))
     counts = df.groupBy(category.alias("category")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.select("category", "n", (F.col("n") * 100 / total).alias("pct")).orderBy(
         F.desc("n"), "category")

@@ -62,9 +62,12 @@ def _weighted(df: DataFrame, label: str, class_weight: str | None, counts: Count
 
 
 def _features(df: DataFrame, vectors: PipelineModel, rows: int, *columns: str) -> DataFrame:
-    """Cached feature rows, in no more partitions than they fill."""
+    """Cached feature rows; a small set in no more partitions than it fills."""
     out = vectors.transform(df).select(*columns, "features")
-    out = out.coalesce(max(1, -(-rows // ROWS_PER_TASK))).persist()
+    tasks = max(1, -(-rows // ROWS_PER_TASK))
+    if tasks <= 64:
+        out = out.repartition(tasks)
+    out = out.persist()
     out.count()
     return out
 

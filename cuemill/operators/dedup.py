@@ -18,15 +18,14 @@ def dedup_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     """The first row, by ``order``, of each distinct key.
 
     ``order`` must be unique within a key for a repeatable result. Each task keeps one row per key
-    before the shuffle, so a text that makes up a third of the table costs one row per task. The
-    hash comes first in the grouping since sorting by a number is cheaper than by a long text.
+    before the shuffle, so a text that makes up a third of the table costs one row per task.
     """
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.select(*keys).distinct()
     first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return (df.groupBy(F.xxhash64(*keys).alias("_hash"), *keys).agg(first)
-            .select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns]))
+    return df.groupBy(*keys).agg(first).select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def dedup_rows(df: DataFrame) -> DataFrame:

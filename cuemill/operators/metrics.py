@@ -31,7 +31,7 @@ def label_distribution(df: DataFrame, label: str = "label", classes: Sequence[in
     named = df.sparkSession.createDataFrame([(c, 0) for c in classes], "label int, n long")
     named = named.select(F.col("label").cast(df.schema[label].dataType).alias("label"), "n")
     full = counts.unionByName(named).groupBy("label").agg(F.sum("n").alias("n"))
-    total = df.agg(F.count("*")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return full.select("label", "n", (_ratio(F.col("n"), total) * 100).alias("pct"))
 
 

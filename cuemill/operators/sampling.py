@@ -244,15 +244,14 @@ def hash_split(
     return df.withColumn("split", F.when(place < test, names[1]).otherwise(names[0]))
 
 
-def add_gold(
-    eval_df: DataFrame, gold: DataFrame, split: str, source: str = "external",
-    gold_source: str = "gold",
-) -> DataFrame:
-    """Evaluation rows and the gold rows of ``split``, told apart by ``source``.
+def gold_rows(gold: DataFrame, source: str = "gold") -> DataFrame:
+    """Gold rows ``(sentence, gold_label, split)`` in the shape of evaluation rows."""
+    return gold.select("sentence", F.col("gold_label").alias("label"), "split",
+                       F.lit(source).alias("source"))
 
-    ``gold`` holds ``sentence``, ``gold_label`` and ``split``.
-    """
+
+def add_gold(eval_df: DataFrame, gold: DataFrame, split: str, source: str = "external") -> DataFrame:
+    """Evaluation rows and the gold rows of ``split``, told apart by ``source``."""
     own = eval_df.withColumn("source", F.lit(source))
-    golden = gold.filter(F.col("split") == split).select(
-        "sentence", F.col("gold_label").alias("label"), F.lit(gold_source).alias("source"))
+    golden = gold_rows(gold.filter(F.col("split") == split)).drop("split")
     return own.unionByName(golden, allowMissingColumns=True)

@@ -54,12 +54,12 @@ def clean_corpus(
 ) -> DataFrame:
     """``url, sentence`` rows: distinct, not denied, not junk, and every gold sentence kept.
 
-    Deny-list and junk depend on the sentence alone, so both go before the deduplication, which
-    then shuffles the rows that stay. The corpus is shuffled once.
+    Deny-list and junk depend on the sentence alone, so their order is free. Junk goes in the scan's
+    stage, repeats are reduced to one row per task before the only shuffle of the corpus, and the
+    deny-list meets distinct sentences, of which none can be hot.
     """
-    kept = drop_denied(corpus.filter(~is_junk("sentence", junk)),
-                       denied_sentences(annotations, ignore_case))
-    unique = dedup_by(kept, ["sentence"], order).select("url", "sentence")
+    unique = dedup_by(corpus.filter(~is_junk("sentence", junk)), ["sentence"], order)
+    unique = drop_denied(unique.select("url", "sentence"), denied_sentences(annotations, ignore_case))
     gold = clean_annotations(annotations).select("url", "sentence")
     return backfill_missing(unique, gold, dedup=False)
 

@@ -12,7 +12,7 @@ from cuemill.lexicons import KEYWORD_CUES, SUBSTRING_CUES, TRAINING_JUNK
 from cuemill.operators.dedup import dedup_by, union_all
 from cuemill.operators.filters import min_length, valid_sentence
 from cuemill.operators.metrics import summary
-from cuemill.operators.sampling import add_gold, sample_per_class, shuffle, three_way_split
+from cuemill.operators.sampling import gold_rows, sample_per_class, shuffle, three_way_split
 from cuemill.operators.schema import annotation_rows
 from cuemill.operators.sentences import sentences
 
@@ -42,27 +42,30 @@ def label_training_sentences(
 def prepare_training_set(
     articles: DataFrame, gold: DataFrame, cues: Sequence[str] = KEYWORD_CUES,
     junk: Sequence[str] = TRAINING_JUNK, seed: int = 42, text: str = "text", key: str = "doc_id",
-    dedup: bool = False,
+    dedup: bool = False, scratch: str | None = None,
 ) -> DataFrame:
     """``sentence, label, source, split``: training rows, and val and test with their gold rows.
 
     ``gold`` holds ``sentence, gold_label, split`` with splits ``dev`` and ``test``. Repeated
     sentences may fall into several splits unless ``dedup`` is set.
+
+    The split reads the labelled sentences three times, twice without their text. With ``scratch``,
+    a path in a shared folder, they are written there once instead of being cut and labelled anew.
     """
     rows = label_training_sentences(articles, cues, junk, text, key)
     if dedup:
         rows = dedup_by(rows, ["sentence"], [key, "pos"])
-    # Place in the corpus, ordered like a number by its zero-padded text.
     rows = rows.withColumn("_key", F.concat_ws("_", F.col(key).cast("string"),
                                                F.col("pos").cast("string")))
+    if scratch:
+        rows.select("_key", "label", "sentence").write.parquet(scratch)
+        rows = articles.sparkSession.read.parquet(scratch)
     split = three_way_split(rows, "label", seed, "_key").select("sentence", "label", "split")
+    # One scan gives all splits; training rows carry no source.
+    own = split.withColumn("source", F.when(F.col("split") != "train", F.lit("external")))
     golden = gold.withColumn("split", F.when(F.col("split") == "dev", "val")
                              .otherwise(F.col("split")))
-    parts = [split.filter("split = 'train'").withColumn("source", F.lit(None).cast("string"))]
-    for name in ("val", "test"):
-        own = split.filter(F.col("split") == name).drop("split")
-        parts.append(add_gold(own, golden, name).withColumn("split", F.lit(name)))
-    return union_all(*parts)
+    return own.unionByName(gold_rows(golden.filter(F.col("split").isin("val", "test"))))
 
 
 def keyword_baseline_eval(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -45,17 +45,25 @@ def read_csv(
     return out
 
 
-def files_by_encoding(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
-    """Files that are valid UTF-8 and files that are not.
+def csv_files(spark: SparkSession, path: str | list[str]) -> list[Row]:
+    """``(file, valid, header)`` of each file: whether it is UTF-8, and its first line.
 
-    The test runs line by line over splits, so neither a large file nor many files meet in one
-    task; the driver only receives file names.
+    One scan by line over splits, so neither a large file nor many files meet in one task; the
+    driver only receives a row per file. The first line is the first one of the split at byte 0,
+    which one task reads in order.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"),
-                                         F.is_valid_utf8("value").alias("valid"))
-    files = lines.groupBy("file").agg(F.bool_and("valid").alias("valid")).collect()
-    return (sorted(r["file"] for r in files if r["valid"]),
-            sorted(r["file"] for r in files if not r["valid"]))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.col("value")).alias("line"))
+    return lines.groupBy("file").agg(
+        F.bool_and("valid").alias("valid"),
+        F.first("line", ignorenulls=True).alias("header")).orderBy("file").collect()
+
+
+def files_by_encoding(spark: SparkSession, path: str | list[str]) -> tuple[list[str], list[str]]:
+    """Files that are valid UTF-8 and files that are not."""
+    files = csv_files(spark, path)
+    return [r["file"] for r in files if r["valid"]], [r["file"] for r in files if not r["valid"]]
 
 
 def read_csv_any_encoding(
@@ -104,13 +112,18 @@ def list_files(spark: SparkSession, folder: str) -> list[str]:
         raise
 
 
-def _csv_columns(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files grouped by header, read from the first record of each."""
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for name in files:
-        header = _csv_reader(spark, False, "UTF-8").csv(name).columns
-        by_header.setdefault(tuple(header), []).append(name)
-    return by_header
+def _read_csv_by_header(spark: SparkSession, files: list[str]) -> list[DataFrame]:
+    """One frame per header and encoding, all cells text."""
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for row in csv_files(spark, files):
+        groups.setdefault((row["header"], row["valid"]), []).append(row["file"])
+    parts = []
+    for (_, valid), names in groups.items():
+        encoding = "UTF-8" if valid else "ISO-8859-1"
+        header = _csv_reader(spark, False, encoding).csv(names[0]).columns
+        schema = StructType([StructField(c, StringType()) for c in header])
+        parts.append(read_csv(spark, names, schema, encoding=encoding))
+    return parts
 
 
 def read_mixed(
@@ -140,9 +153,7 @@ def read_mixed(
     if csv and csv_schema:
         parts.append(read_csv_any_encoding(spark, csv, csv_schema))
     elif csv:
-        for header, names in _csv_columns(spark, csv).items():
-            schema = StructType([StructField(c, StringType()) for c in header])
-            parts.append(read_csv_any_encoding(spark, names, schema))
+        parts += _read_csv_by_header(spark, csv)
     json = [f for f in files if f.endswith(".json")]
     if json:
         reader = spark.read.option("ignoreCorruptFiles", True).option("mode", "DROPMALFORMED")

@@ -55,7 +55,8 @@ def stream_dedup(
     """Drops repeats of a key that come within ``delay`` of each other.
 
     State is one row per key seen in that time, spread over the state partitions by key; on large
-    feeds use the RocksDB state store, which keeps it off the heap.
+    feeds use the RocksDB state store, which keeps it off the heap. All repeats of a key that come in
+    one batch meet in one task, so bound the batch (``files_per_batch``).
     """
     stamped = feed.withColumn(ts, F.col(ts).cast("timestamp"))
     return stamped.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
