@@ -16,7 +16,7 @@ from cuemill.operators.dedup import dedup_by, union_all
 
 def drop_denied(df: DataFrame, deny: DataFrame, on: str = "sentence") -> DataFrame:
     """Rows whose exact text is not denied. Rows without text stay."""
-    return df.join(deny.select(on).distinct(), on, "left_anti")
+    return df.join(deny.select(on).distinct(), on, "left_anti").select(*df.columns)
 
 
 def denied_sentences(annotations: DataFrame, ignore_case: bool = False) -> DataFrame:
@@ -50,13 +50,13 @@ def apply_annotations(queue: DataFrame, labels: DataFrame, on: str = "id") -> Da
     """The queue with the labels given so far; open rows keep their mark."""
     given = labels.select(on, F.col("label").cast("string").alias("_given"))
     return (queue.join(given, on, "left")
-            .withColumn("gold_label", F.coalesce("_given", "gold_label")).drop("_given"))
+            .withColumn("gold_label", F.coalesce("_given", "gold_label")).select(*queue.columns))
 
 
 def attach_predictions(df: DataFrame, predictions: DataFrame, on: str = "id") -> DataFrame:
     """Rows with the prediction, and the probability where there is one, of the same key."""
     extra = [c for c in predictions.columns if c != on and c not in df.columns]
-    return df.join(predictions.select(on, *extra), on)
+    return df.join(predictions.select(on, *extra), on).select(*df.columns, *extra)
 
 
 def fold_rows(df: DataFrame, fold: int, part: str = "val") -> DataFrame:
@@ -70,4 +70,5 @@ def fold_rows_by_index(
 ) -> DataFrame:
     """The same by a fold index table, whose lists come in chunks."""
     wanted = index.filter((F.col("fold") == fold) & (F.col("part") == part))
-    return df.join(wanted.select(F.explode("indices").alias(key)), key, "left_semi")
+    keys = wanted.select(F.explode("indices").alias(key))
+    return df.join(keys, key, "left_semi").select(*df.columns)
