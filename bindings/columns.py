@@ -163,7 +163,7 @@ PAGES = rf"""cleaned AS (SELECT page_id, url, {_CLEAN} AS html FROM pages),
         lambda b: string_split(b, chr(10)))),
       flatten(list_transform(regexp_extract_all(html, '(?is)<section(?:\s[^>]*)?>(.*?)</section\s*>', 1),
         lambda b: string_split(b, chr(10))))) AS parts FROM cleaned),
-  raw AS (SELECT page_id, url, unnest(parts) AS piece, generate_subscripts(parts, 1) - 1 AS pos
+  raw AS (SELECT page_id, url, unnest(parts) AS piece, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS pos
           FROM blocks),
   texts AS (SELECT page_id, url, pos,
       {norm_sql(unescape_sql("regexp_replace(piece, '<[^>]*>', ' ', 'g')"))} AS text FROM raw),

@@ -184,7 +184,7 @@ def junk_sql(x: str, patterns=JUNK) -> str:
 
 def split_sql(source: str, keys: str, text: str = "text") -> str:
     """All pieces of a text column, with their position from 0."""
-    return rf"""SELECT {keys}, unnest(parts) AS piece, generate_subscripts(parts, 1) - 1 AS pos
+    return rf"""SELECT {keys}, unnest(parts) AS piece, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS pos
     FROM (SELECT {keys}, string_split(regexp_replace({text}, '([.!?])\s+([A-Z])',
           '\1' || chr(1) || '\2', 'g'), chr(1)) AS parts FROM {source})"""
 

@@ -12,6 +12,7 @@ from bindings.common import (
     METRIC_NAMES,
     METRICS,
     PREDICTIONS,
+    RELEVANCE,
     SCORED,
     TOPICS,
     VALID,
@@ -27,7 +28,6 @@ from bindings.common import (
     valid,
     with_position,
 )
-from bindings.common import RELEVANCE
 from bindings.splits import FOLDS, folded
 from cuemill.operators.agreement import agreement, cohen_kappa
 from cuemill.operators.features import term_stats

@@ -7,7 +7,6 @@ import datetime
 from pyspark.sql import functions as F
 
 from bindings.common import (
-
     METRIC_NAMES,
     METRICS,
     PIECES,
@@ -16,7 +15,6 @@ from bindings.common import (
     SCORED,
     VALID,
     articles,
-
     counts_sql,
     gold,
     pieces,
@@ -26,21 +24,15 @@ from bindings.common import (
     table,
     valid,
 )
-
 from cuemill.operators.classify import fit_pipeline, logistic_regression, score
 from cuemill.operators.filters import only
-from cuemill.operators.metrics import confusion_metrics
+from cuemill.operators.metrics import confusion_metrics, hedge_rate
 from cuemill.operators.ranking import score_articles
 from cuemill.operators.sampling import hash_split
 from cuemill.session import scratch_path
 from cuemill.sources.metrics_files import read_metrics, write_metrics
 from cuemill.sources.models import load_models, save_model
-from cuemill.sources.sinks import (
-    write_csv,
-    write_json_array,
-    write_json_run,
-    write_splits,
-)
+from cuemill.sources.sinks import write_csv, write_json_array, write_json_run, write_splits
 from cuemill.sources.tables import (
     read_csv,
     read_csv_any_encoding,
@@ -169,7 +161,5 @@ def split_sink(spark, sf):
   SELECT lang, source, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives,
          round(avg(label), 6) AS rate FROM valid GROUP BY lang, source""")
 def labelled_sentences_by_source(spark, sf):
-    from cuemill.operators.metrics import hedge_rate
-
     rates = hedge_rate(valid(spark, sf), ["lang", "source"])
     return rounded(rates, "rate").select("lang", "source", "n", "positives", "rate")

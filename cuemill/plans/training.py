@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cuemill.functions.labels import label_substring, label_word_boundary
 from cuemill.lexicons import KEYWORD_CUES, SUBSTRING_CUES, TRAINING_JUNK
 from cuemill.operators.dedup import dedup_by, union_all
-from cuemill.operators.filters import min_length, valid_sentence
+from cuemill.operators.filters import errors, min_length, valid_sentence
 from cuemill.operators.metrics import summary
 from cuemill.operators.sampling import gold_rows, sample_per_class, shuffle, three_way_split
 from cuemill.operators.schema import annotation_rows
@@ -92,8 +92,6 @@ def error_analysis(
     predictions: DataFrame, y: str = "gold_label", p: str = "prediction"
 ) -> DataFrame:
     """Misclassified rows of every model and dataset, told apart by ``error_type``."""
-    from cuemill.operators.filters import errors
-
     return errors(predictions, y, p)
 
 
