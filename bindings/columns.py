@@ -18,9 +18,7 @@ from bindings.common import (
     norm_sql,
     pieces,
     query,
-    quote,
     rounded,
-    strip_sql,
     substring_sql,
     table,
     token_set_sql,

@@ -12,7 +12,6 @@ from bindings.common import (
     ARTICLES,
     DOMAINS,
     JUNK,
-    NW,
     PATTERNS,
     PHRASES,
     PIECES,
