@@ -28,8 +28,8 @@ def _ratio(a: Column, b: Column) -> Column:
 def label_distribution(df: DataFrame, label: str = "label", classes: Sequence[int] = (0, 1)) -> DataFrame:
     """Count and percent per class; ``classes`` without a row count 0."""
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    named = df.sparkSession.createDataFrame([(c, 0) for c in classes], "label int, n long")
-    named = named.select(F.col("label").cast(df.schema[label].dataType).alias("label"), "n")
+    listed = F.explode(F.array(*[F.lit(c).cast(df.schema[label].dataType) for c in classes]))
+    named = df.sparkSession.range(1).select(listed.alias("label"), F.lit(0).cast("long").alias("n"))
     full = counts.unionByName(named).groupBy("label").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     return full.select("label", "n", (_ratio(F.col("n"), total) * 100).alias("pct"))
