@@ -100,7 +100,7 @@ def test_bad_paragraph(column):
     assert column(texts, bad_paragraph("t")) == [True, True, False, True, True]
 
 
-def reference_excluded(text, rules):
+def plain_excluded(text, rules):
     for rule in rules:
         later = rf"(?!.*\b({'|'.join(rule.unless)})\b)" if rule.unless else ""
         if re.search(rf"\b({'|'.join(rule.triggers)})\b{later}", text.lower()):
@@ -116,7 +116,7 @@ def test_hard_exclusions(column, rules):
              "share", "sale", "film", "x", "how to", "salaryfiling", "deal"]
     texts = ["", "salary", "salary\nfiling", "filing salary", "salary filing", "salary, report salary",
              "guide book", "guide book guide"] + mixed(500, words, 9)
-    assert column(texts, hard_excluded("t", rules)) == [reference_excluded(t, rules) for t in texts]
+    assert column(texts, hard_excluded("t", rules)) == [plain_excluded(t, rules) for t in texts]
     assert column([None], hard_excluded("t", rules)) == [False]
 
 
@@ -130,7 +130,7 @@ def test_relevance_score(spark):
     def score(title, description):
         title, description = title or "", description or ""
         text = (title + " " + description).lower()
-        if reference_excluded(text, lexicon.exclude):
+        if plain_excluded(text, lexicon.exclude):
             return -1
         total = sum(3 + 2 * (t in title.lower()) for t in lexicon.strong if t in text)
         total += sum(t in text for t in lexicon.moderate)
