@@ -5,16 +5,19 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse, islice
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import bounded_batches, tasks
+from cuemill.llm.common import BATCH_ROWS, bounded_batches, tasks
 
 MAGIC = b"TIDS"
 HEADER = struct.Struct("<4sHHQQqQQ")  # magic, version, id width, documents, ids, first id, 2 sizes
@@ -91,55 +94,109 @@ class EliasFano:
         return ((ones - np.arange(self.n)) << self.low_bits) | low
 
 
+#: Fixed value: the pattern by which byte-level BPE cuts a text into pieces.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Words whose characters are classed alike by every Unicode version: printable ASCII, line ends, Latin.
+PLAIN = regex.compile(r"[!-~\n\u00a1-\u024f]+")
+
+
+#: A blank behind which no word begins.
+LOOSE_BLANK = regex.compile(r" (?:\s|\Z)")
+LOOSE_ASCII = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", " \x1c", " \x1d", " \x1e", " \x1f")
+
+
+def loose_blank(text: str) -> bool:
+    if text.isascii():  # substring tests cost next to nothing
+        return text.endswith(" ") or any(x in text for x in LOOSE_ASCII)
+    return LOOSE_BLANK.search(text) is not None
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves,
+    the others, in order, from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
 class Encoder:
     """Texts to id bytes by a tokenizer file; words between blanks are encoded once and kept.
 
     A byte-level pre-tokenizer always starts a new piece at a blank that no white space follows, so
-    a text's ids are its words' ids, each with its blank in front. Texts with two blanks in a row,
-    a blank at the end or a special token, and other tokenizers, are encoded whole.
+    a text's ids are its words' ids, each with its blank in front. A new word is cut into pieces and
+    these go to the library's BPE model, past the cost of whole encodings. Texts with another blank
+    or a special token, words with rarer characters, and other tokenizers are encoded by the library
+    as they are.
     """
 
-    CACHED_WORDS = 400_000
+    CACHED = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         config = json.loads(self.tokenizer.to_str())
-        pre = config.get("pre_tokenizer") or {}
+        pre, model = config.get("pre_tokenizer") or {}, config.get("model") or {}
         self.by_word = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
                         and not pre.get("add_prefix_space") and not config.get("normalizer")
-                        and not config.get("truncation") and not config.get("padding"))
+                        and not config.get("truncation") and not config.get("padding")
+                        and model.get("type") == "BPE" and not model.get("ignore_merges"))
         self.special = [t["content"] for t in config.get("added_tokens", [])]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.model, self.table = self.tokenizer.model, {ord(chr(b)): c for b, c in byte_alphabet().items()}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in
                 self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _tokenized(self, pieces: Iterable[str], blank: str) -> dict[str, bytes]:
+        """Ids of single pieces, ``blank`` put in front, by the BPE model itself."""
+        tokenize, table, kind = self.model.tokenize, self.table, "H" if self.dtype.itemsize == 2 else "I"
+        own = blank.translate(table)
+        return {p: array(kind, [t.id for t in tokenize(
+            own + (p if p.isalpha() and p.isascii() else p.encode().decode("latin-1").translate(table)))])
+            .tobytes() for p in pieces}
+
+    def _add(self, words: set[str]) -> None:
+        """Takes up new words, each with a blank in front."""
+        plain = list(filter(PLAIN.fullmatch, words))
+        single = {w for w in plain if w.isalpha()}
+        mixed = [w for w in plain if w not in single]
+        # A mixed word is a word, the piece behind the blank, and pieces without one.
+        pieces = PIECES.findall(" " + " ".join(mixed)) if mixed else []
+        heads = {p[1:] for p in pieces if p[0] == " "}
+        self.words.update(self._tokenized(single.union(filterfalse(self.words.__contains__, heads)), " "))
+        tails = {p for p in pieces if p[0] != " "}
+        self.pieces.update(self._tokenized(filterfalse(self.pieces.__contains__, tails), ""))
+        parts: list[bytes] = []
+        for p in pieces:
+            if p[0] == " ":
+                parts.append(self.words[p[1:]])
+            else:
+                parts[-1] += self.pieces[p]
+        self.words.update(zip(mixed, parts, strict=True))
+        other = list(words.difference(plain))
+        self.words.update(zip(other, self._encode([" " + w for w in other])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encode(texts)
-        if len(self.words) > self.CACHED_WORDS:
-            self.words.clear()
-        split: list[list[str] | None] = []
-        whole: list[str] = []
-        unseen: dict[str, None] = {}
-        for text in texts:
-            if "  " in text or text.endswith(" ") or any(s in text for s in self.special):
-                split.append(None)
-                whole.append(text)
-                continue
-            parts = text.split(" ")
-            split.append(parts)
-            whole.append(parts[0])
-            unseen.update(dict.fromkeys(p for p in parts[1:] if p not in self.words))
-        new = list(unseen)
-        self.words.update(zip(new, self._encode([" " + p for p in new])))
+        for kept in (self.words, self.pieces):
+            if len(kept) > self.CACHED:  # the older half goes
+                late = list(islice(kept.items(), len(kept) // 2, None))
+                kept.clear()
+                kept.update(late)
+        whole = [loose_blank(t) or any(s in t for s in self.special) for t in texts]
+        split = [[t] if w else t.split(" ") for t, w in zip(texts, whole)]
+        heads = self._encode([parts.pop(0) for parts in split])
+        new: set[str] = set()
+        for parts in split:
+            new.update(filterfalse(self.words.__contains__, parts))
+        self._add(new)
         get = self.words.__getitem__
-        return [first if parts is None else first + b"".join(map(get, parts[1:]))
-                for first, parts in zip(self._encode(whole), split)]
+        return [head + b"".join(map(get, parts)) for head, parts in zip(heads, split)]
 
 
 @lru_cache(maxsize=2)
@@ -202,9 +259,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, *, id_co
 
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
-            for at in range(0, len(texts), 128):
-                codes = enc.encode(texts[at:at + 128])
-                for i, body in zip(batch["id"].iloc[at:at + 128], codes):
+            for at in range(0, len(texts), BATCH_ROWS):
+                codes = enc.encode(texts[at:at + BATCH_ROWS])
+                for i, body in zip(batch["id"].iloc[at:at + BATCH_ROWS], codes):
                     ids.append(int(i))
                     bodies.append(body + end)
                     held += len(bodies[-1]) // size

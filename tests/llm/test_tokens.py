@@ -28,6 +28,7 @@ def test_encoder_equals_the_library():
     library, own = Tokenizer.from_file(PATH), Encoder(PATH)
     rng = random.Random(5)
     texts = ["", " ", "  ", "a ", " a", "a  b", "a\n b", "a \nb", "\xa0 x", "it's 's 42 é ü", "x<|endoftext|> y"]
+    texts += ["".join(rng.choice("aB é½²²\xad'st \n\r\x1c\x85\xa0 1.,!ßŁ中 ") for _ in range(rng.randrange(40))) for _ in range(800)]
     texts += ["".join(rng.choice("ab é'\n\t 1., ß") for _ in range(rng.randrange(60))) for _ in range(800)]
     got = own.encode(texts) + own.encode(texts)
     for text, body in zip(texts * 2, got):
