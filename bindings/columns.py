@@ -16,6 +16,7 @@ from bindings.common import (
     boundary_sql,
     contains_sql,
     norm_sql,
+    strip_sql,
     pieces,
     query,
     rounded,
@@ -154,17 +155,22 @@ def unescape_sql(x: str) -> str:
 
 
 PAGES = rf"""cleaned AS (SELECT page_id, url, {_CLEAN} AS html FROM pages),
+  block AS (SELECT page_id, tag, unnest(regexp_extract_all(html,
+        '(?is)<' || tag || '(?:\s[^>]*)?>(.*?)</' || tag || '\s*>', 1)) AS body,
+      generate_subscripts(regexp_extract_all(html, '(?is)<' || tag || '(?:\s[^>]*)?>(.*?)</' || tag || '\s*>', 1), 1) AS nth
+    FROM cleaned, (VALUES ('article'), ('section')) t(tag)),
+  node AS (SELECT page_id, tag, nth, unnest(string_split(regexp_replace(body, '<[^>]*>', chr(1), 'g'), chr(1))) AS n,
+      generate_subscripts(string_split(regexp_replace(body, '<[^>]*>', chr(1), 'g'), chr(1)), 1) AS i FROM block),
+  joined_nodes AS (SELECT page_id, tag, nth, string_agg({strip_sql(unescape_sql('n'))}, ' ' ORDER BY i) AS body
+    FROM node WHERE {strip_sql(unescape_sql('n'))} <> '' GROUP BY page_id, tag, nth),
+  line AS (SELECT page_id, list(string_split(body, chr(10)) ORDER BY tag, nth) AS parts FROM joined_nodes GROUP BY page_id),
   blocks AS (SELECT page_id, url, list_concat(
       list_transform(regexp_split_to_array(html, '(?i)<p(?:\s[^>]*)?>')[2:],
-        lambda p: regexp_replace(p, '(?is)</(?:p|article|section|div|body)\s*>.*', '')),
-      flatten(list_transform(regexp_extract_all(html, '(?is)<article(?:\s[^>]*)?>(.*?)</article\s*>', 1),
-        lambda b: string_split(b, chr(10)))),
-      flatten(list_transform(regexp_extract_all(html, '(?is)<section(?:\s[^>]*)?>(.*?)</section\s*>', 1),
-        lambda b: string_split(b, chr(10))))) AS parts FROM cleaned),
+        lambda p: {unescape_sql("regexp_replace(regexp_replace(p, '(?is)</(?:p|article|section|div|body)\s*>.*', ''), '<[^>]*>', ' ', 'g')")}),
+      coalesce(flatten(line.parts), [])) AS parts FROM cleaned LEFT JOIN line USING (page_id)),
   raw AS (SELECT page_id, url, unnest(parts) AS piece, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS pos
           FROM blocks),
-  texts AS (SELECT page_id, url, pos,
-      {norm_sql(unescape_sql("regexp_replace(piece, '<[^>]*>', ' ', 'g')"))} AS text FROM raw),
+  texts AS (SELECT page_id, url, pos, {norm_sql('piece')} AS text FROM raw),
   paragraphs AS (SELECT * FROM texts WHERE {words_sql('text')} > 5
       AND NOT {contains_sql('text', PAGE_PHRASES)})"""
 

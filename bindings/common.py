@@ -50,7 +50,7 @@ DOMAINS = ("m.tionsh.example.net", "ththin.example.com", "thther.example.org", "
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf}/{name}.parquet", spread=name in ("documents", "pages"))
+    return read_parquet(spark, f"{sf}/{name}.parquet")
 
 
 def pieces(spark: SparkSession, sf: str) -> DataFrame:

@@ -42,13 +42,14 @@ from cuemill.operators.sampling import fold_index_table
 from cuemill.operators.sentences import sentences
 from cuemill.plans.curation import (
     articles_to_sentences,
+    clean_annotations,
     clean_corpus,
     cue_candidates,
     load_external_news,
     merge_corpora,
     split_external,
 )
-from cuemill.session import scratch_path
+from cuemill.session import scratch_path, stored
 from cuemill.sources.sinks import write_csv
 
 BENCH = f"""braw AS ({split_sql('benchmark', 'item_id')}),
@@ -165,10 +166,18 @@ def merge_corpora_(spark, sf):
 @query("step_counts", f"""WITH {MERGED} SELECT 'base' AS step, count(*) AS n FROM base
   UNION ALL SELECT 'external', count(*) FROM ext UNION ALL SELECT 'merged', count(*) FROM merged""")
 def step_counts_(spark, sf):
-    base, external = _corpora(spark, sf)
+    # Each step's rows are cut once and written, as the job itself does.
+    base, external = (stored(df, "step") for df in _corpora(spark, sf))
     return step_counts(base=base, external=external, merged=merge_corpora(base, external))
 
 
+@query("clean_annotations", f"""WITH {ANNOTATED} SELECT id, sentence, url, CAST(gold_label AS INTEGER) AS gold_label
+  FROM annotated WHERE lower(gold_label) <> 'delete'
+  QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY id) = 1""")
+def clean_annotations_(spark, sf):
+    return clean_annotations(annotated_sentences(spark, sf)).select("id", "sentence", "url", "gold_label")
+
+
 @query("clean_corpus", f"""WITH {ANNOTATED},
   denied AS (SELECT sentence FROM annotated WHERE gold_label = 'delete'),
   clean AS (SELECT doc_id, pos, sentence, source AS url FROM pieces

@@ -108,7 +108,8 @@ def roc_auc_(spark, sf):
   SELECT kind, round(score, 6) AS threshold,
     round(sum(n) OVER w / sum(n) OVER (PARTITION BY kind)::DOUBLE, 6) AS fpr,
     round(sum(p) OVER w / sum(p) OVER (PARTITION BY kind)::DOUBLE, 6) AS tpr
-  FROM g WINDOW w AS (PARTITION BY kind ORDER BY score DESC)""")
+  FROM g WINDOW w AS (PARTITION BY kind ORDER BY score DESC)
+  UNION ALL SELECT DISTINCT kind, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM g""")
 def roc_curve_(spark, sf):
     return rounded(roc_curve(scores(spark, sf), "y", "score", ["kind"]), "threshold", "fpr", "tpr")
 
@@ -207,9 +208,7 @@ LISTED = "list_position(['substring', 'boundary', 'token_set'], model)"
 def best_model_(spark, sf):
     rows = rounded(confusion_metrics(predictions(spark, sf), by=["model", "dataset"]), *METRIC_NAMES)
     test = with_position(rows.filter("dataset = 'test'"))
-    both = [best_model(test, metric).withColumn("value", F.col("value").cast("double"))
-            for metric in ("f1", "accuracy")]
-    return both[0].unionByName(both[1])
+    return best_model(test, ["f1", "accuracy"])
 
 
 SHOWN = {"substring": "Baseline (Keyword)", "boundary": "Boundary", "token_set": "Token Set"}
@@ -233,14 +232,20 @@ def comparison_report_(spark, sf):
 
 @query("comparison_report_json", f"""WITH {SUMMARY}, t AS (SELECT *, {LISTED} AS place,
     CASE model WHEN 'substring' THEN 'Baseline (Keyword)' WHEN 'boundary' THEN 'Boundary'
-      ELSE 'Token Set' END AS shown FROM summary WHERE dataset = 'test')
-  SELECT shown AS best_f1_model, tp, tn, fp, fn FROM t ORDER BY f1 DESC, place LIMIT 1""")
+      ELSE 'Token Set' END AS shown FROM summary)
+  SELECT dataset, shown AS model, {COLUMNS},
+    (SELECT shown FROM t WHERE dataset = 'test' ORDER BY f1 DESC, place LIMIT 1) AS best_f1_model,
+    (SELECT shown FROM t WHERE dataset = 'test' ORDER BY accuracy DESC, place LIMIT 1) AS best_accuracy_model
+  FROM t""")
 def comparison_report_json(spark, sf):
-    body = F.from_json("report", """best_f1_model string,
-        test_results map<string, struct<tp: bigint, tn: bigint, fp: bigint, fn: bigint>>""")
+    numbers = ", ".join(f"{c}: double" for c in METRIC_NAMES) + ", tp: bigint, tn: bigint, fp: bigint, fn: bigint"
+    body = F.from_json("report", f"""best_f1_model string, best_accuracy_model string,
+        test_results map<string, struct<{numbers}>>, dev_results map<string, struct<{numbers}>>""")
     rows = report_json(_report(spark, sf)).select(body.alias("r"))
-    best = F.col("r.test_results")[F.col("r.best_f1_model")]
-    return rows.select("r.best_f1_model", *[best[c].alias(c) for c in ("tp", "tn", "fp", "fn")])
+    best = ["r.best_f1_model", "r.best_accuracy_model"]
+    parts = [rows.select(F.lit(name).alias("dataset"), *best, F.explode(f"r.{name}_results").alias("model", "m"))
+             for name in ("test", "dev")]
+    return parts[0].union(parts[1]).select("dataset", "model", "m.*", "best_f1_model", "best_accuracy_model")
 
 
 @query("term_doc_freq", f"""WITH {TOKENS}, u AS (SELECT doc_id, unnest(g) AS term FROM grams)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from bindings.columns import TOKENS
 from bindings.common import (
+    GOLD,
+    METRIC_NAMES,
     RELEVANCE,
     SCORED,
     articles,
@@ -14,20 +16,32 @@ from bindings.common import (
     query,
     rounded,
     table,
+    word_regex,
 )
-from bindings.splits import folded
+from bindings.splits import FOLDS, folded
 from cuemill.operators.classify import (
     cross_val_predict,
     fit_pipeline,
+    linear_svm,
     logistic_regression,
     logreg_grid,
+    objective,
     score,
     svm_grid,
 )
 from cuemill.operators.features import term_stats, tfidf_fit, tfidf_transform, top_vocabulary
+from cuemill.operators.metrics import fold_metrics
 from cuemill.operators.scoring import batch_predict, linear_head
-from cuemill.session import scratch_path
-from cuemill.streaming.feeds import read_feed, run_to_end, stream_dedup, stream_relevance
+from cuemill.plans.training import evaluate_models
+from cuemill.session import scratch_path, stored
+from cuemill.sources.models import load_model, save_model
+from cuemill.streaming.feeds import (
+    read_feed,
+    run_to_end,
+    stream_dedup,
+    stream_relevance,
+    write_feed_run,
+)
 
 VOCABULARY = f"""{TOKENS}, u AS (SELECT doc_id, unnest(g) AS term FROM grams),
   stats AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM u GROUP BY term),
@@ -62,41 +76,90 @@ def tfidf_transform_(spark, sf):
     return rounded(tfidf_transform(docs, tfidf_fit(docs)), "weight")
 
 
-def _training(spark, sf, k: int = 3):
-    """Gold documents with three folds; read by many passes."""
-    texts = gold(spark, sf).select("doc_id", F.col("sentence").alias("text"))
-    folds = folded(spark, sf, k).select("doc_id", F.col("gold_label").alias("label"), "fold")
-    return folds.join(texts, "doc_id").persist()
+def _training(spark, sf):
+    """Gold documents with five folds; written once, read by many passes."""
+    texts = gold(spark, sf).select("doc_id", "dataset", F.col("sentence").alias("text"))
+    folds = folded(spark, sf).select("doc_id", F.col("gold_label").alias("label"), "fold")
+    return stored(folds.join(texts, "doc_id"), "training")
+
 
+# The values depend on the optimizer's path; these say what must hold for any of them.
+GRID_SQL = """SELECT C, class_weight, 1 AS in_range, 1 AS best_is_first_maximum, 1 AS is_optimum
+  FROM (VALUES (0.01::DOUBLE), (0.1::DOUBLE), (1.0::DOUBLE), (10.0::DOUBLE)) c(C),
+       (VALUES ('balanced'), (NULL)) w(class_weight)"""
 
-# A smaller grid and fewer steps than by default, over all labelled documents.
-GRID = {"Cs": (0.1, 1.0), "k": 3, "vocabulary_size": 200, "max_iter": 25}
 
+def _grid_rows(found, rows):
+    """One row per parameter pair: F1 in [0, 1], the best one marked, the refit at its optimum."""
+    scores = [f1 for _, _, f1, _ in found.table]
+    first = scores.index(max(scores))
+    at = objective(found.model, rows, found.params["C"], found.params["class_weight"])
+    optimum = int(at[2] <= min(at) + 1e-4)
+    out = [(c, w, int(0 <= f1 <= 1), int(best == (i == first)), optimum)
+           for i, (c, w, f1, best) in enumerate(found.table)]
+    return rows.sparkSession.createDataFrame(
+        out, "C double, class_weight string, in_range int, best_is_first_maximum int, is_optimum int")
 
-@query("logreg_grid")
+
+@query("logreg_grid", GRID_SQL)
 def logreg_grid_(spark, sf):
     rows = _training(spark, sf)
-    return rounded(logreg_grid(rows, **GRID).frame(rows), "mean_f1", digits=3)
+    return _grid_rows(logreg_grid(rows), rows)
 
 
-@query("svm_grid")
+@query("svm_grid", GRID_SQL)
 def svm_grid_(spark, sf):
     rows = _training(spark, sf)
-    return rounded(svm_grid(rows, **GRID).frame(rows), "mean_f1", digits=3)
+    return _grid_rows(svm_grid(rows), rows)
 
 
-@query("cross_val_predict")
+@query("cross_val_predict", f"""WITH {FOLDS} SELECT doc_id, gold_label AS label, dataset, fold, 1 AS is_class
+  FROM folds""")
 def cross_val_predict_(spark, sf):
-    rows = _training(spark, sf)
-    return cross_val_predict(rows, logistic_regression, 1.0, "balanced", k=3, vocabulary_size=200,
-                             max_iter=25).drop("text")
+    out = cross_val_predict(_training(spark, sf), logistic_regression, 1.0, "balanced")
+    return out.select("doc_id", "label", "dataset", "fold", F.col("prediction").isin(0, 1).cast("int").alias("is_class"))
 
 
-@query("score_model")
+@query("out_of_fold_metrics", f"""WITH {FOLDS} SELECT fold, count(*) AS n,
+    count(*) FILTER (gold_label = 1) AS positives, 1 AS in_range FROM folds GROUP BY fold
+  UNION ALL SELECT -1, count(*), count(*) FILTER (gold_label = 1), 1 FROM folds""")
+def out_of_fold_metrics(spark, sf):
+    out = cross_val_predict(_training(spark, sf), linear_svm, 1.0, "balanced")
+    metrics = fold_metrics(out, "label")
+    in_range = F.lit(True)
+    for c in METRIC_NAMES:
+        in_range = in_range & F.col(c).between(0, 1)
+    return metrics.select("fold", (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("n"),
+                          (F.col("tp") + F.col("fn")).alias("positives"), in_range.cast("int").alias("in_range"))
+
+
+@query("score_model", "SELECT doc_id, 1 AS in_range, 1 AS is_half_rule FROM documents")
 def score_model(spark, sf):
-    model = fit_pipeline(_training(spark, sf), logistic_regression, 1.0, "balanced",
-                         vocabulary_size=200, max_iter=25)
-    return rounded(score(model, _docs(spark, sf)).drop("text"), "probability", digits=3)
+    model = fit_pipeline(_training(spark, sf), logistic_regression, 1.0, "balanced")
+    rule = (F.col("probability") > 0.5).cast("int") == F.col("prediction")
+    return score(model, _docs(spark, sf)).select(
+        "doc_id", F.col("probability").between(0, 1).cast("int").alias("in_range"),
+        rule.cast("int").alias("is_half_rule"))
+
+
+@query("evaluate_models", f"""WITH {GOLD}, m AS (SELECT unnest(['lr', 'svm']) AS model)
+  SELECT model, dataset, count(*) AS n, count(*) FILTER (gold_label = 1) AS positives,
+    CAST(model = 'lr' AS INTEGER) AS has_auc, 1 AS errors_add_up, 1 AS in_range
+  FROM gold, m GROUP BY model, dataset""")
+def evaluate_models_(spark, sf):
+    train = _training(spark, sf)
+    models = {name: load_model(save_model(fit_pipeline(train, trainer, 1.0, "balanced"), scratch_path(spark, name)))
+              for name, trainer in (("lr", logistic_regression), ("svm", linear_svm))}
+    rows = train.withColumnRenamed("label", "gold_label")
+    table_, errors = evaluate_models(models, rows, "doc_id")
+    wrong = errors.groupBy("model", "dataset").agg(F.count("*").alias("errors"))
+    both = table_.join(wrong, ["model", "dataset"], "left").withColumn("errors", F.coalesce("errors", F.lit(0)))
+    in_range = F.coalesce(F.col("auc").between(0, 1), F.lit(True)) & F.col("f1_macro").between(0, 1)
+    return both.select(
+        "model", "dataset", (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("n"),
+        (F.col("tp") + F.col("fn")).alias("positives"), F.col("auc").isNotNull().cast("int").alias("has_auc"),
+        (F.col("errors") == F.col("fp") + F.col("fn")).cast("int").alias("errors_add_up"),
+        in_range.cast("int").alias("in_range"))
 
 
 HEAD = np.array([[((j * 17) % 7 - 3) / 10 for j in range(64)],
@@ -120,15 +183,26 @@ def batch_predict_(spark, sf):
     return rounded(out, "probability").drop("embedding")
 
 
-@query("stream_relevance", f"""WITH {SCORED} SELECT doc_id, title, relevance_score FROM scored
-  WHERE lang = 'en' AND relevance_score >= 3""")
+ANY_OF, NONE_OF = ("the", "que", "und"), ("password",)
+
+
+@query("stream_relevance", f"""WITH {SCORED}, q AS (SELECT * FROM scored
+    WHERE regexp_matches(lower(title || ' ' || description), '{word_regex(ANY_OF)}')
+      AND NOT regexp_matches(lower(title || ' ' || description), '{word_regex(NONE_OF)}'))
+  SELECT doc_id, title, relevance_score, 'filtered' AS kind FROM q WHERE lang = 'en' AND relevance_score >= 3
+  UNION ALL SELECT doc_id, title, NULL, 'raw' FROM scored""")
 def stream_relevance_(spark, sf):
-    folder = scratch_path(spark, "feed")
+    folder, out = scratch_path(spark, "feed"), scratch_path(spark, "run")
     feed = articles(spark, sf).select("doc_id", "lang", "title", "description")
     feed.write.json(folder)
-    rows = stream_relevance(read_feed(spark, folder, feed.schema), RELEVANCE, lang="en")
-    out = run_to_end(rows, scratch_path(spark, "scored"), scratch_path(spark, "checkpoint"))
-    return out.select("doc_id", "title", "relevance_score")
+    source = read_feed(spark, folder, feed.schema)
+    rows = stream_relevance(source, RELEVANCE, lang="en", any_of=ANY_OF, none_of=NONE_OF)
+    for query_ in write_feed_run(rows, out, scratch_path(spark, "checkpoint"), source):
+        query_.awaitTermination()
+    kinds = [spark.read.schema(df.schema).parquet(f"{out}/{kind}").select(
+        "doc_id", "title", score.cast("int").alias("relevance_score"), F.lit(kind).alias("kind"))
+        for kind, df, score in (("filtered", rows, F.col("relevance_score")), ("raw", source, F.lit(None)))]
+    return kinds[0].unionByName(kinds[1])
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
@@ -136,7 +210,8 @@ def stream_dedup_(spark, sf):
     folder = scratch_path(spark, "events")
     events = table(spark, sf, "events").select("user_id", "event_type", "ts")
     events.write.parquet(folder)
-    rows = stream_dedup(read_feed(spark, folder, events.schema, "parquet"),
-                        ["user_id", "event_type"], "ts", "40 days")
+    # One batch: within it, repeats go at any distance.
+    rows = stream_dedup(read_feed(spark, folder, events.schema, "parquet", files_per_batch=1_000_000),
+                        ["user_id", "event_type"], "ts", "7 days")
     out = run_to_end(rows, scratch_path(spark, "unique"), scratch_path(spark, "checkpoint"))
     return out.select("user_id", "event_type")

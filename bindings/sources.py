@@ -100,15 +100,15 @@ def sink_csv(spark, sf):
 
 
 @query("sink_json_run", f"""WITH {SCORED}
-  SELECT doc_id, relevance_score, '20240131_120500' AS run_ts, 'filtered' AS kind
+  SELECT doc_id, title, description, relevance_score, '20240131_120500' AS run_ts, 'filtered' AS kind
   FROM scored WHERE relevance_score >= 3
-  UNION ALL SELECT doc_id, NULL, '20240131_120500', 'raw' FROM scored""")
+  UNION ALL SELECT doc_id, title, description, NULL, '20240131_120500', 'raw' FROM scored""")
 def sink_json_run(spark, sf):
     raw = articles(spark, sf).select("doc_id", "title", "description")
     run = F.lit(datetime.datetime(2024, 1, 31, 12, 5)).cast("timestamp_ntz")
     paths = write_json_run(score_articles(raw, RELEVANCE), scratch_path(spark, "run"), run, raw,
                            save_all=True)
-    schema = "doc_id bigint, relevance_score int, run_ts string"
+    schema = "doc_id bigint, title string, description string, relevance_score int, run_ts string"
     kinds = [read_jsonl(spark, p, schema).withColumn("kind", F.lit(kind))
              for p, kind in zip(paths, ("filtered", "raw"))]
     return kinds[0].unionByName(kinds[1])
@@ -132,8 +132,7 @@ def require_columns_(spark, sf):
 @query("model_save_load", """SELECT doc_id, 1 AS same FROM documents JOIN labels USING (doc_id)""")
 def model_save_load(spark, sf):
     rows = gold(spark, sf)
-    model = fit_pipeline(rows, logistic_regression, 1.0, "balanced", "sentence", "gold_label",
-                         vocabulary_size=100, max_iter=20)
+    model = fit_pipeline(rows, logistic_regression, 1.0, "balanced", "sentence", "gold_label")
     path = save_model(model, scratch_path(spark, "model"))
     loaded = load_models({"lr": path, "absent": f"{path}-absent"})
     assert list(loaded) == ["lr"]
@@ -149,12 +148,16 @@ HASH_TEST = ("CAST('0x' || substr(md5('42:' || doc_id || '_' || pos), 1, 8) AS B
 
 
 @query("split_sink", f"""WITH {VALID}
-  SELECT doc_id, pos, label, 'test' AS split FROM valid WHERE {HASH_TEST}""")
+  SELECT doc_id, pos, label, sentence, CASE WHEN {HASH_TEST} THEN 'test' ELSE 'train' END AS split,
+    CASE WHEN {HASH_TEST} THEN 1 ELSE 0 END AS alone FROM valid""")
 def split_sink(spark, sf):
     rows = valid(spark, sf).withColumn("key", F.concat_ws("_", F.col("doc_id").cast("string"),
                                                           F.col("pos").cast("string")))
     path = write_splits(hash_split(rows, "key"), scratch_path(spark, "splits"))
-    return only(spark.read.parquet(path), "split", "test").select("doc_id", "pos", "label", "split")
+    parts = spark.read.parquet(path)
+    # Every split, and whether reading it alone gives it.
+    alone = [only(parts, "split", name).withColumn("alone", F.lit(int(name == "test"))) for name in ("train", "test")]
+    return alone[0].union(alone[1]).select("doc_id", "pos", "label", "sentence", "split", "alone")
 
 
 @query("entry", f"""WITH {VALID}

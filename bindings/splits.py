@@ -81,10 +81,9 @@ def stratified_sample_n(spark, sf):
     return sample_per_class(rows, "label", 50, key="key").drop("key")
 
 
-@query("seeded_shuffle", f"""SELECT doc_id, lang FROM documents
-  ORDER BY {hash_sql('doc_id')}, doc_id LIMIT 300""")
+@query("seeded_shuffle", "SELECT doc_id, lang, text FROM documents")
 def seeded_shuffle(spark, sf):
-    return shuffle(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").limit(300)
+    return shuffle(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
 
 
 ANNOTATION_SET = f"""{PIECES}, cued AS (SELECT *, {substring_sql('sentence')} AS rule_pred FROM pieces
@@ -151,12 +150,12 @@ GOLD_SPLIT = f"""{GOLD}, granked AS (SELECT *, CASE WHEN dataset = 'test' THEN '
 
 
 @query("add_gold_to_eval", f"""WITH {VALID}, {GOLD_SPLIT}
-  SELECT sentence, label, 'external' AS source FROM valid WHERE lang = 'fr'
+  SELECT sentence, label, 'external' AS source FROM valid
   UNION ALL SELECT sentence, gold_label, 'gold' FROM granked WHERE split = 'val'""")
 def add_gold_to_eval(spark, sf):
     golden = gold(spark, sf).withColumn(
         "split", F.when(F.col("dataset") == "test", "test").otherwise("val"))
-    own = valid(spark, sf).filter("lang = 'fr'").select("sentence", "label")
+    own = valid(spark, sf).select("sentence", "label")
     return add_gold(own, golden, "val")
 
 

@@ -34,9 +34,28 @@ def portable(pattern: str) -> str:
     return pattern
 
 
+# What keeps its case: group names, back-references, property classes and escapes; then plain text.
+_TOKENS = re.compile(r"\(\?P?<[A-Za-z]\w*>|\\k<\w+>|\\[pP]\{\^?\w+\}|\\[pP]\w|\\x[0-9a-fA-F]{2}"
+                     r"|\\x\{[0-9a-fA-F]+\}|\\u[0-9a-fA-F]{4}|\\.|[^\\(]+|\(", re.S)
+_CASED = {"Lu", "Ll", "Lt", "Upper", "Lower"}
+
+
 def lower_pattern(pattern: str) -> str:
-    """The pattern for lower-cased text; escapes keep their case."""
-    return re.sub(r"\\.|[^\\]+", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), pattern)
+    """The pattern for lower-cased text: letters, also those given by code, are lowered; a class of
+    upper or lower case takes both; group names and other escapes stay."""
+
+    def lower(m: re.Match) -> str:
+        token = m[0]
+        if token[:2] in (r"\p", r"\P"):
+            if token[2:].strip("{}") not in _CASED:
+                return token
+            return r"[\p{Lu}\p{Ll}\p{Lt}]" if token[1] == "p" else r"[^\p{Lu}\p{Ll}\p{Lt}]"
+        if token[:2] in (r"\x", r"\u"):
+            low = chr(int(token[2:].strip("{}"), 16)).lower()
+            return token if len(low) > 1 else rf"\x{{{ord(low):x}}}"
+        return token if token[0] == "\\" or token.startswith("(?") else token.lower()
+
+    return _TOKENS.sub(lower, pattern)
 
 
 def any_pattern(patterns: Iterable[str]) -> str:

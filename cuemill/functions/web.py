@@ -7,8 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cuemill.functions.patterns import SPACE
-from cuemill.functions.text import col, let, normalize_space
+from cuemill.functions.text import col, let, normalize_space, strip
 
 # Named entities; "&amp;" is decoded after all others.
 ENTITIES = {
@@ -35,18 +34,19 @@ def unescape(c: Column | str) -> Column:
     out = col(c)
 
     def decode(match: Column, base: int) -> Column:
-        # One piece after "&#": digits, ";", then plain text.
-        digits = F.regexp_extract(match, r"^[xX]?([0-9a-fA-F]+);", 1)
-        code = F.lpad(F.conv(digits, base, 16), 8, "0")
-        surrogate = code.between("0000D800", "0000DFFF")
-        code = F.when(surrogate, F.lit("0000FFFD")).otherwise(code)
+        # One piece after "&#": digits, ";", then plain text. Nine digits are beyond any character.
+        digits = F.regexp_extract(match, r"^[xX]?0*([0-9a-fA-F]{0,9})[0-9a-fA-F]*;", 1)
+        long = match.rlike(r"^[xX]?0*[1-9a-fA-F][0-9a-fA-F]{8}")
+        code = F.lpad(F.conv(F.concat(F.lit("0"), digits), base, 16), 10, "0")
+        none = code.between("000000D800", "000000DFFF") | (code > "000010FFFF") | (code == "0" * 10) | long
+        code = F.when(none, F.lit("0000FFFD")).otherwise(F.substring(code, 3, 8))
         return F.concat(F.decode(F.unhex(code), "UTF-32"),
                         F.regexp_replace(match, r"^[xX]?[0-9a-fA-F]+;", ""))
 
     def piece(p: Column, i: Column) -> Column:
         return (F.when(i == 0, p)
-                .when(p.rlike(r"^[0-9]{1,6};"), decode(p, 10))
-                .when(p.rlike(r"^[xX][0-9a-fA-F]{1,5};"), decode(p, 16))
+                .when(p.rlike(r"^[0-9]+;"), decode(p, 10))
+                .when(p.rlike(r"^[xX][0-9a-fA-F]+;"), decode(p, 16))
                 .otherwise(F.concat(F.lit("&#"), p)))
 
     numeric = F.concat_ws("", F.transform(F.split(out, "&#"), piece))
@@ -68,8 +68,21 @@ def strip_tags(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"<[^>]*>", " ")
 
 
+def block_text(piece: Column | str) -> Column:
+    """Plain text of one raw piece."""
+    return normalize_space(unescape(strip_tags(piece)))
+
+
+def block_lines(block: Column) -> Column:
+    """Lines of a block: its text nodes, stripped, the blank ones left out, joined by a blank, and cut
+    where a node itself holds a line break. Line breaks inside tags or between them do not cut."""
+    nodes = F.split(F.regexp_replace(block, r"<[^>]*>", "\x01"), "\x01")
+    texts = F.filter(F.transform(nodes, lambda n: strip(unescape(n))), lambda n: n != "")
+    return F.transform(F.split(F.array_join(texts, " "), "\n"), normalize_space)
+
+
 def page_blocks(html: Column | str, blocks: bool = True) -> Column:
-    """Paragraphs of a page, then the lines of its article and section blocks, as raw text.
+    """Paragraphs of a page, then the lines of its article and section blocks, as plain text.
 
     A paragraph ends at the next ``<p``, at ``</p>`` or where its block closes, so unclosed tags
     need no parser. Paragraph text inside a block comes twice, once in each form.
@@ -79,18 +92,12 @@ def page_blocks(html: Column | str, blocks: bool = True) -> Column:
         after = F.split(markup, r"(?i)<p(?:\s[^>]*)?>")
         paragraphs = F.transform(
             F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0))),
-            lambda p: F.regexp_replace(p, r"(?is)</(?:p|article|section|div|body)\s*>.*", ""))
-        paragraphs = F.transform(paragraphs, lambda p: F.regexp_replace(p, f"{SPACE}+", " "))
+            lambda p: block_text(F.regexp_replace(p, r"(?is)</(?:p|article|section|div|body)\s*>.*", "")))
         if not blocks:
             return paragraphs
         lines = [F.flatten(F.transform(
             F.regexp_extract_all(markup, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), F.lit(1)),
-            lambda b: F.split(b, "\n"))) for tag in ("article", "section")]
+            block_lines)) for tag in ("article", "section")]
         return F.concat(paragraphs, *lines)
 
     return let(visible_html(html), pieces)
-
-
-def block_text(piece: Column | str) -> Column:
-    """Plain text of one raw piece."""
-    return normalize_space(unescape(strip_tags(piece)))

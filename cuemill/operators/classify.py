@@ -15,12 +15,12 @@ from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.operators.features import tfidf_fit, tfidf_model
+from cuemill.operators.features import fold_vocabularies, tfidf_fit, tfidf_model
 from cuemill.operators.metrics import confusion_metrics
 
 # The grid.
@@ -41,14 +41,16 @@ class Grid:
             self.table, "C double, class_weight string, mean_f1 double, best boolean")
 
 
-# Rows that one task handles in a step of a fit; a step on fewer rows is all overhead.
-ROWS_PER_TASK = 10_000
-
 Counts = dict[float, int]
 
 
 def class_counts(df: DataFrame, label: str) -> Counts:
-    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    """Rows of class 0 and of class 1; any other label is an error."""
+    value = F.col(label).cast("double")
+    n, zeros, ones = df.agg(F.count("*"), F.count_if(value == 0), F.count_if(value == 1)).first()
+    if zeros + ones != n:
+        raise ValueError(f"{label} holds {n - zeros - ones} values besides 0 and 1")
+    return {c: m for c, m in ((0.0, zeros), (1.0, ones)) if m}
 
 
 def _weighted(df: DataFrame, label: str, class_weight: str | None, counts: Counts) -> DataFrame:
@@ -61,13 +63,9 @@ def _weighted(df: DataFrame, label: str, class_weight: str | None, counts: Count
     return df.withColumn("_weight", weight)
 
 
-def _features(df: DataFrame, vectors: PipelineModel, rows: int, *columns: str) -> DataFrame:
-    """Cached feature rows; a small set in no more partitions than it fills."""
-    out = vectors.transform(df).select(*columns, "features")
-    tasks = max(1, -(-rows // ROWS_PER_TASK))
-    if tasks <= 64:
-        out = out.repartition(tasks)
-    out = out.persist()
+def _features(df: DataFrame, vectors: PipelineModel, *columns: str) -> DataFrame:
+    """Cached feature rows, which every step of a fit reads."""
+    out = vectors.transform(df).select(*columns, "features").persist()
     out.count()
     return out
 
@@ -86,7 +84,7 @@ def logistic_regression(
 
 def linear_svm(
     train: DataFrame, C: float, class_weight: str | None, label: str = "label",
-    counts: Counts | None = None, max_iter: int = 100, tol: float = 1e-6,
+    counts: Counts | None = None, max_iter: int = 2000, tol: float = 1e-6,
 ) -> Model:
     """Linear SVM over ``features`` with hinge loss and a free intercept."""
     counts = counts or class_counts(train, label)
@@ -108,7 +106,7 @@ def fit_pipeline(
     rows = df.withColumn(label, F.col(label).cast("double"))
     vectors = vectors or tfidf_model(tfidf_fit(rows, text, size=vocabulary_size), text)
     counts = class_counts(rows, label)
-    features = _features(rows, vectors, sum(counts.values()), label)
+    features = _features(rows, vectors, label)
     try:
         model = trainer(features, C, class_weight, label, counts, **options)
     finally:
@@ -129,18 +127,14 @@ def grid_search(
     rows = df.withColumn(label, F.col(label).cast("double"))
     params = list(product(Cs, weights))
     whole = tfidf_model(tfidf_fit(rows, text, size=vocabulary_size), text)
-    by_fold = {(r[0], r[1]): r[2] for r in rows.groupBy(fold, label).count().collect()}
+    by_fold = _fold_counts(rows, label, fold, k)
+    own = _fold_vectors(rows, text, fold, k, vocabulary_size) if per_fold_vocabulary else [whole] * k
     scores: dict[tuple, float] = dict.fromkeys(params, 0.0)
     with ThreadPool(parallelism) as pool:
         for i in range(k):
-            counts: Counts = {}
-            for (f, value), n in by_fold.items():
-                if f != i:
-                    counts[value] = counts.get(value, 0) + n
-            vectors = whole if not per_fold_vocabulary else tfidf_model(
-                tfidf_fit(rows.filter(F.col(fold) != i), text, size=vocabulary_size), text)
+            counts = _without(by_fold, i)
             # Every fit of the fold reads the same features.
-            cached = _features(rows, vectors, sum(by_fold.values()), fold, label)
+            cached = _features(rows, own[i], fold, label)
             try:
                 part = cached.filter(F.col(fold) != i)
                 held_out = cached.filter(F.col(fold) == i)
@@ -167,21 +161,70 @@ def svm_grid(df: DataFrame, **options) -> Grid:
     return grid_search(df, linear_svm, **options)
 
 
+def _fold_counts(rows: DataFrame, label: str, fold: str, k: int) -> dict[int, Counts]:
+    """Class counts of each of the ``k`` folds: at most k rows."""
+    value = F.col(label).cast("double")
+    found = rows.filter(F.col(fold).between(0, k - 1)).groupBy(fold).agg(
+        F.count_if(value == 0), F.count_if(value == 1)).collect()
+    return {r[0]: {0.0: r[1], 1.0: r[2]} for r in found}
+
+
+def _without(by_fold: dict[int, Counts], i: int) -> Counts:
+    """Class counts of the rows that train for fold ``i``."""
+    sums = {c: sum(n[c] for f, n in by_fold.items() if f != i) for c in (0.0, 1.0)}
+    return {c: n for c, n in sums.items() if n}
+
+
+def _fold_vectors(rows: DataFrame, text: str, fold: str, k: int, size: int) -> list[PipelineModel]:
+    return [tfidf_model(v, text) for v in fold_vocabularies(rows, fold, k, text, size=size)]
+
+
 def cross_val_predict(
     df: DataFrame, trainer: Trainer, C: float, class_weight: str | None, text: str = "text",
     label: str = "label", fold: str = "fold", k: int = 5, vocabulary_size: int = 500,
-    per_fold_vocabulary: bool = True, **options,
+    per_fold_vocabulary: bool = True, parallelism: int = 4, **options,
 ) -> DataFrame:
-    """All rows with the prediction of the model that was not trained on them."""
-    whole = None
-    if not per_fold_vocabulary:
-        whole = tfidf_model(tfidf_fit(df, text, size=vocabulary_size), text)
-    parts = []
-    for i in range(k):
+    """All rows with the prediction of the model that was not trained on them.
+
+    The vocabularies of all folds come from one pass, and the folds are fitted side by side.
+    """
+    own: list[PipelineModel | None] = [None] * k
+    if per_fold_vocabulary:
+        own = _fold_vectors(df, text, fold, k, vocabulary_size)
+    else:
+        own = [tfidf_model(tfidf_fit(df, text, size=vocabulary_size), text)] * k
+
+    def one(i: int) -> DataFrame:
         model = fit_pipeline(df.filter(F.col(fold) != i), trainer, C, class_weight, text, label,
-                             vocabulary_size, whole, **options)
-        parts.append(score(model, df.filter(F.col(fold) == i)).drop("probability"))
-    return reduce(DataFrame.unionByName, parts)
+                             vocabulary_size, own[i], **options)
+        return score(model, df.filter(F.col(fold) == i)).drop("probability")
+
+    with ThreadPool(parallelism) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, range(k)))
+
+
+def objective(
+    model: PipelineModel, df: DataFrame, C: float, class_weight: str | None, label: str = "label",
+    scales: Sequence[float] = (0.0, 0.9, 1.0, 1.1),
+) -> list[float]:
+    """The regularised mean loss of a fitted pipeline with its coefficients and intercept scaled by
+    each of ``scales``: at the optimum none is below the one at 1. One pass over ``df``."""
+    classifier = model.stages[-1]
+    counts = class_counts(df, label)
+    rows = _weighted(model.transform(df.withColumn(label, F.col(label).cast("double"))), label, class_weight, counts)
+    # The raw prediction of class 1 is the margin.
+    margin = vector_to_array("rawPrediction")[1] * (2 * F.col(label) - 1)
+    hinge = isinstance(classifier, LinearSVCModel)
+    n = sum(counts.values())
+    penalty = float(classifier.coefficients.dot(classifier.coefficients)) / (2 * C * n)
+
+    def loss(scale: float) -> Column:
+        m = margin * scale
+        value = F.greatest(F.lit(0.0), 1 - m) if hinge else F.log1p(F.exp(-F.abs(m))) + F.greatest(F.lit(0.0), -m)
+        return F.sum(F.col("_weight") * value)
+
+    sums = rows.agg(*[loss(s).alias(f"s{i}") for i, s in enumerate(scales)]).first()
+    return [total / n + penalty * s * s for total, s in zip(sums, scales)]
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ size is a parameter, reaches the driver and is sent to the tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     CountVectorizerModel,
@@ -21,19 +23,23 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions.text import ngrams
+from cuemill.session import stored
 
 
-def term_stats(df: DataFrame, text: str = "text", lo: int = 1, hi: int = 2) -> DataFrame:
-    """``(term, tf, df)``: corpus and document frequency, one row of ``df`` being one document.
+def term_stats(
+    df: DataFrame, text: str = "text", lo: int = 1, hi: int = 2, by: Sequence[str] = ()
+) -> DataFrame:
+    """``(term, tf, df)``: corpus and document frequency, one row of ``df`` being one document; per
+    group of ``by``.
 
     The n-grams of a row are sorted, so the first of equal ones marks the document. Both counts
     then come from one aggregation, and a term found in every row is summed inside each task.
     """
-    grams = df.select(F.sort_array(ngrams(text, lo, hi)).alias("g"))
+    grams = df.select(*by, F.sort_array(ngrams(text, lo, hi)).alias("g"))
     shifted = F.concat(F.array(F.lit(None).cast("string")), F.col("g"))
-    rows = grams.select(F.inline(F.arrays_zip(F.col("g").alias("term"), shifted.alias("last"))))
+    rows = grams.select(*by, F.inline(F.arrays_zip(F.col("g").alias("term"), shifted.alias("last"))))
     first = (~F.col("term").eqNullSafe(F.col("last"))).cast("long")
-    return (rows.filter("term is not null").groupBy("term")
+    return (rows.filter("term is not null").groupBy(*by, "term")
             .agg(F.count("*").alias("tf"), F.sum(first).alias("df")))
 
 
@@ -59,6 +65,32 @@ def tfidf_fit(
     return vocabulary.select("term", idx.alias("idx"), "tf", "df", idf.alias("idf"))
 
 
+def fold_vocabularies(
+    df: DataFrame, fold: str, k: int, text: str = "text", min_df: int = 2, max_df: float = 0.95,
+    size: int = 500, lo: int = 1, hi: int = 2,
+) -> list[list[Row]]:
+    """For each fold the vocabulary of the other folds' rows.
+
+    One pass counts terms by fold; what the training rows of a fold hold is the total without it.
+    The counts are written once, and each fold takes its top terms from them.
+    """
+    counts = term_stats(df, text, lo, hi, by=[fold])
+    folds = F.map_from_entries(F.collect_list(F.struct(fold, F.struct("tf", "df"))))
+    terms = stored(counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"), folds.alias("own")), "terms")
+    docs = {r[0]: r[1] for r in df.groupBy(fold).count().filter(F.col(fold).between(0, k - 1)).collect()}
+    total = df.count()
+    out = []
+    for i in range(k):
+        own = F.col("own")[F.lit(i)]
+        rest = terms.select("term", *[(F.col(c) - F.coalesce(own[c], F.lit(0))).alias(c) for c in ("tf", "df")])
+        n = total - docs.get(i, 0)
+        top = top_vocabulary(rest, n, min_df, max_df, size)
+        idf = F.log(F.lit(float(1 + n)) / (1 + F.col("df"))) + 1
+        rows = sorted(top.select("term", idf.alias("idf")).collect(), key=lambda r: r["term"])
+        out.append([Row(idx=j, term=r["term"], idf=r["idf"]) for j, r in enumerate(rows)])
+    return out
+
+
 def vocabulary_rows(vocabulary: DataFrame) -> list[Row]:
     """The fitted terms, in index order. Their number is the vocabulary size given at the fit."""
     rows = vocabulary.select("idx", "term", "idf").collect()
@@ -103,6 +135,7 @@ def tfidf_transform(
     """
     rows = vocabulary_rows(vocabulary)
     scored = tfidf_model(rows, text, "features", hi).transform(df.select(key, text))
-    cells = scored.select(key, F.posexplode(vector_to_array("features")).alias("_idx", "weight"))
     names = F.array(*[F.lit(r["term"]) for r in rows])
-    return cells.filter("weight > 0").select(key, F.get(names, F.col("_idx")).alias("term"), "weight")
+    cells = F.arrays_zip(names.alias("term"), vector_to_array("features").alias("weight"))
+    # Only the row's own terms leave the row.
+    return scored.select(key, F.inline(F.filter(cells, lambda c: c["weight"] > 0)))

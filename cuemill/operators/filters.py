@@ -37,9 +37,15 @@ def valid_sentence(
 
 
 def drop_rejected(df: DataFrame, label: str = "gold_label") -> DataFrame:
-    """Without the rows marked ``delete`` in any case; the label becomes an integer."""
-    kept = df.filter(F.coalesce(F.lower(label) != "delete", F.lit(True)))
-    return kept.withColumn(label, F.col(label).try_cast("int"))
+    """Rows with a label that is an integer. ``delete`` in any case, open marks, other text and nulls
+    are no gold labels; ``unparsable_labels`` lists what is neither a number nor ``delete``."""
+    return df.withColumn(label, F.col(label).try_cast("int")).filter(F.col(label).isNotNull())
+
+
+def unparsable_labels(df: DataFrame, label: str = "gold_label") -> DataFrame:
+    """Rows whose label is neither an integer nor ``delete``."""
+    rejected = F.coalesce(F.lower(label) == "delete", F.lit(False))
+    return df.filter(F.col(label).try_cast("int").isNull() & ~rejected)
 
 
 def lookback(ts: Column | str, to: Column, days_back: int = 7) -> Column:

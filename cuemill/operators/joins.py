@@ -26,18 +26,16 @@ def denied_sentences(annotations: DataFrame, ignore_case: bool = False) -> DataF
 
 
 def backfill_missing(
-    df: DataFrame, annotated: DataFrame, on: str = "sentence", order: Sequence[str] = ("url",),
-    dedup: bool = True,
+    df: DataFrame, annotated: DataFrame, on: str = "sentence", order: Sequence[str] = ("url",)
 ) -> DataFrame:
-    """Adds the annotated rows whose text is absent, and keeps one row per text.
+    """One row per text: the first of ``df``, or of the annotated rows where ``df`` lacks the text.
 
-    The annotated side is the small one: it reduces the corpus to the texts both have, so the
-    corpus is not shuffled to find them. With ``dedup=False`` both sides must be free of repeats.
+    Both sides meet in one aggregate, reduced to one row per text and task before the shuffle, so a
+    repeated text is no hot key.
     """
-    present = df.join(annotated.select(on).distinct(), on, "left_semi").select(on).distinct()
-    absent = annotated.join(present, on, "left_anti")
-    both = union_all(df, absent.select(*[c for c in df.columns if c in absent.columns]))
-    return dedup_by(both, [on], order) if dedup else both
+    extra = annotated.select(*[c for c in df.columns if c in annotated.columns])
+    both = union_all(df.withColumn("_side", F.lit(0)), extra.withColumn("_side", F.lit(1)))
+    return dedup_by(both, [on], ["_side", *order]).select(*df.columns)
 
 
 def pair_annotators(a: DataFrame, b: DataFrame, on: str = "id", label: str = "gold_label") -> DataFrame:

@@ -17,6 +17,7 @@ from cuemill.functions.labels import contains_any
 from cuemill.functions.text import article_text
 from cuemill.functions.web import url_host
 from cuemill.lexicons import ALLOWED_DOMAINS, TOPIC_KEYWORDS
+from cuemill.session import stored
 
 COUNTS = ("tp", "tn", "fp", "fn")
 
@@ -79,12 +80,19 @@ def summary(
     predictions: DataFrame, y: str = "gold_label", p: str = "prediction",
     probability: str | None = None,
 ) -> DataFrame:
-    """One row per model and dataset; ``auc`` is null for models without probabilities."""
+    """One row per model and dataset; ``auc`` is null for models without probabilities.
+
+    The predictions are read once: counts per score serve the confusion table and the AUC.
+    """
     by = ["model", "dataset"]
-    out = with_macro_f1(confusion_metrics(predictions, y, p, by))
     if probability is None:
+        out = with_macro_f1(confusion_metrics(predictions, y, p, by))
         return out.withColumn("auc", F.lit(None).cast("double"))
-    return out.join(roc_auc(predictions, y, probability, by), by, "left")
+    counts = stored(predictions.groupBy(*by, F.col(probability).cast("double").alias("score"))
+                    .agg(*confusion_counts(y, p), *_class_counts(y)), "scores")
+    summed = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in COUNTS])
+    out = with_macro_f1(summed.select(*by, *metrics_from_counts(), *COUNTS))
+    return out.join(_auc(_ranges(counts, by, 256), by), by, "left")
 
 
 def metrics_by_source(
@@ -103,20 +111,27 @@ def fold_metrics(df: DataFrame, y: str = "gold_label", p: str = "prediction") ->
     return counted.select(fold.alias("fold"), *metrics_from_counts(), *COUNTS)
 
 
-def _by_score(
-    df: DataFrame, y: str, score: str, by: Sequence[str], buckets: int
-) -> DataFrame:
+def _class_counts(y: str) -> list[Column]:
+    return [F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")]
+
+
+def _by_score(df: DataFrame, y: str, score: str, by: Sequence[str], buckets: int) -> DataFrame:
     """Distinct scores with their class counts, in ranges of about equal size.
 
-    Equal scores collapse before the shuffle. The range ends are quantiles of the distinct scores,
-    so no range outgrows the others however the scores cluster.
+    Equal scores collapse before the shuffle, and what is left is written once, so ``df`` is read
+    once. Null and NaN scores have no place in the order and are left out.
     """
-    truth = F.col(y)
-    counts = (df.filter(F.col(score).isNotNull())
-              .groupBy(*by, F.col(score).cast("double").alias("score"))
-              .agg(F.count_if(truth == 1).alias("pos"), F.count_if(truth == 0).alias("neg")))
+    counts = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(*_class_counts(y))
+    return _ranges(stored(counts, "scores"), by, buckets)
+
+
+def _ranges(counts: DataFrame, by: Sequence[str], buckets: int) -> DataFrame:
+    """The range ends are quantiles of the distinct scores, so no range outgrows the others however
+    the scores cluster."""
+    counts = counts.filter(F.col("score").isNotNull() & ~F.isnan("score")).select(*by, "score", "pos", "neg")
     steps = [i / buckets for i in range(1, buckets)]
     ends = sorted(set(counts.approxQuantile("score", steps, 0.25 / buckets)))
+    ends = [e for e in ends if abs(e) != float("inf")]
     splits = [-float("inf"), *(ends or [0.0]), float("inf")]
     return Bucketizer(splits=splits, inputCol="score", outputCol="_range").transform(counts)
 
@@ -130,7 +145,10 @@ def roc_auc(
     A positive beats the negatives of lower ranges and the lower ones of its own range, so each
     range is summed by itself and the few range totals are combined afterwards.
     """
-    rows = _by_score(df, y, score, by, buckets)
+    return _auc(_by_score(df, y, score, by, buckets), by)
+
+
+def _auc(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     below = (Window.partitionBy(*by, "_range").orderBy("score")
              .rowsBetween(Window.unboundedPreceding, -1))
     wins = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
@@ -147,7 +165,8 @@ def roc_curve(
     df: DataFrame, y: str = "gold_label", score: str = "probability", by: Sequence[str] = (),
     buckets: int = 256,
 ) -> DataFrame:
-    """One ``(threshold, fpr, tpr)`` row per distinct score, for ``score >= threshold``."""
+    """One ``(threshold, fpr, tpr)`` row per distinct score, for ``score >= threshold``, and before
+    them the start (0, 0) at an infinite threshold."""
     rows = _by_score(df, y, score, by, buckets)
     totals = rows.groupBy(*by, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     higher = (Window.partitionBy(*by).orderBy(F.desc("_range"))
@@ -158,12 +177,14 @@ def roc_curve(
         F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_n_above"),
         F.sum("_p").over(group).alias("_p_all"), F.sum("_n").over(group).alias("_n_all"))
     within = Window.partitionBy(*by, "_range").orderBy(F.desc("score"))
-    return (rows.withColumn("_tp", F.sum("pos").over(within))
-            .withColumn("_fp", F.sum("neg").over(within))
-            .join(above, [*by, "_range"])
-            .select(*by, F.col("score").alias("threshold"),
-                    _ratio(F.col("_fp") + F.col("_n_above"), F.col("_n_all")).alias("fpr"),
-                    _ratio(F.col("_tp") + F.col("_p_above"), F.col("_p_all")).alias("tpr")))
+    points = (rows.withColumn("_tp", F.sum("pos").over(within))
+              .withColumn("_fp", F.sum("neg").over(within))
+              .join(above, [*by, "_range"])
+              .select(*by, F.col("score").alias("threshold"),
+                      _ratio(F.col("_fp") + F.col("_n_above"), F.col("_n_all")).alias("fpr"),
+                      _ratio(F.col("_tp") + F.col("_p_above"), F.col("_p_all")).alias("tpr")))
+    start = rows.select(*by).distinct() if by else rows.limit(1)
+    return points.union(start.select(*by, F.lit(float("inf")), F.lit(0.0), F.lit(0.0)))
 
 
 def score_stats(df: DataFrame, column: str = "relevance_score") -> DataFrame:
@@ -200,12 +221,16 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.select("label", "n", (rows / (classes * F.col("n"))).alias("weight"))
 
 
-def best_model(summary_df: DataFrame, metric: str = "f1", position: str = "position") -> DataFrame:
-    """The model with the highest value; the first listed wins a tie."""
-    best = F.max_by(F.struct("model", metric), F.struct(F.col(metric), -F.col(position)))
-    return summary_df.agg(best.alias("b")).select(
-        F.lit(metric).alias("metric"), F.col("b.model").alias("model"),
-        F.col(f"b.{metric}").alias("value"))
+def best_model(
+    summary_df: DataFrame, metrics: str | Sequence[str] = "f1", position: str = "position"
+) -> DataFrame:
+    """Per metric the model with the highest value, in one pass; the first listed wins a tie."""
+    names = [metrics] if isinstance(metrics, str) else list(metrics)
+    best = [F.max_by(F.struct("model", F.col(m).cast("double").alias("value")),
+                     F.struct(F.col(m), -F.col(position))).alias(m) for m in names]
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m)["model"].alias("model"),
+                              F.col(m)["value"].alias("value")) for m in names])
+    return summary_df.agg(*best).select(F.inline(rows))
 
 
 def comparison_report(

@@ -2,30 +2,36 @@
 
 The order is ``(md5(seed:key), key)``, so results do not depend on layout or task order, and
 ``key`` must be unique. A class may hold most rows, hence no operator sorts a class in one task:
-rows are counted in ``BUCKETS`` ranges of the hash, and only inside a range are they ranked.
+rows are counted in ranges of the hash, and only inside a range are they ranked. Classes may be
+many: their counts and quotas stay tables.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions.text import col, seeded_hash
+from cuemill.session import stored
 
-# Ranges of the first four hex digits. 10^12 rows leave about 15 million in one range.
-BUCKETS = 16 ** 4
-# Strata are class labels; more than this many means that a wrong column was given.
-MAX_CLASSES = 100
 _HASH, _BUCKET = "_hash", "_bucket"
+# Rows that one range of the hash may hold on average.
+ROWS_PER_RANGE = 1_000_000
 
 
-def _with_hash(df: DataFrame, key: str, seed: int) -> DataFrame:
-    hashed = df.withColumn(_HASH, seeded_hash(F.col(key), seed))
-    return hashed.withColumn(_BUCKET, F.conv(F.substring(_HASH, 1, 4), 16, 10).cast("int"))
+def _narrow(df: DataFrame, columns: Sequence[str], key: str, seed: int) -> DataFrame:
+    """``columns``, the key, its hash and hash range, written once: what the passes below read.
+
+    The ranges are as many as keep each at about ``ROWS_PER_RANGE`` rows, 65 536 at least.
+    """
+    rows = stored(df.select(*dict.fromkeys([*columns, key])).withColumn(_HASH, seeded_hash(F.col(key), seed)), "keys")
+    digits = 4
+    while rows.count() > ROWS_PER_RANGE * 16 ** digits:
+        digits += 1
+    return rows.withColumn(_BUCKET, F.conv(F.substring(_HASH, 1, digits), 16, 10).cast("long"))
 
 
 def _first_per_class(df: DataFrame, label: str, order: Sequence[Column], n: int) -> DataFrame:
@@ -57,96 +63,84 @@ def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(seeded_hash(F.col(key), seed), F.col(key))
 
 
-def quotas(counts: dict[Any, int], draws: int) -> dict[Any, int]:
-    """``draws`` shared out in proportion to ``counts``; the largest remainders round up,
-    earlier classes first."""
-    total = sum(counts.values())
+def quotas(counts: DataFrame, label: str, n: str, name: str, draws: int) -> DataFrame:
+    """Adds ``name``: ``draws`` shared out in proportion to ``n``; the largest remainders round up,
+    earlier classes first. One row per class, however many there are."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
     if not total:
-        return dict.fromkeys(counts, 0)
-    floors = {c: n * draws // total for c, n in counts.items()}
-    left = draws - sum(floors.values())
-    by_remainder = sorted(counts, key=lambda c: -(counts[c] * draws % total))
-    return {c: floors[c] + (c in by_remainder[:left]) for c in counts}
-
-
-def split_quotas(counts: dict[Any, int], fractions: Sequence[float]) -> list[dict[Any, int]]:
-    """Rows of each class for all parts but the last: each step leaves ``ceil(fraction · rest)``
-    rows to the later parts."""
-    rest, out = dict(counts), []
-    for fraction in fractions:
-        total = sum(rest.values())
-        taken = quotas(rest, total - math.ceil(fraction * total))
-        out.append(taken)
-        rest = {c: rest[c] - taken[c] for c in rest}
-    return out
+        return counts.withColumn(name, F.lit(0).cast("long"))
+    shares = counts.withColumn("_product", (F.col(n).cast("decimal(19,0)") * F.lit(draws).cast("decimal(19,0)")))
+    shares = shares.withColumn("_floor", F.expr(f"cast(_product div cast({total} as decimal(19,0)) as long)"))
+    shares = shares.withColumn("_rest", F.col("_product") % F.lit(total).cast("decimal(19,0)"))
+    left = draws - (shares.agg(F.sum("_floor")).first()[0] or 0)
+    order = Window.orderBy(F.desc("_rest"), F.col(label).asc_nulls_last())
+    return (shares.withColumn("_place", F.row_number().over(order))
+            .withColumn(name, F.col("_floor") + F.when(F.col("_place") <= left, 1).otherwise(0))
+            .drop("_product", "_floor", "_rest", "_place"))
+
+
+def split_quotas(counts: DataFrame, label: str, fractions: Sequence[float]) -> DataFrame:
+    """``end_0, end_1, …``: rows of each class up to the end of each part but the last. Each step
+    leaves ``ceil(fraction · rest)`` rows to the later parts."""
+    out = counts.withColumn("_left", F.col("n"))
+    before = F.lit(0).cast("long")
+    for i, fraction in enumerate(fractions):
+        total = out.agg(F.sum("_left")).first()[0] or 0
+        out = quotas(out, label, "_left", f"_take_{i}", total - math.ceil(fraction * total))
+        before = before + F.col(f"_take_{i}")
+        out = out.withColumn("_left", F.col("_left") - F.col(f"_take_{i}")).withColumn(f"end_{i}", before)
+    return out.select(label, *[f"end_{i}" for i in range(len(fractions))])
 
 
 def class_cutoffs(
     df: DataFrame, label: str, key: str, fractions: Sequence[float], seed: int = 42
-) -> dict[Any, list[tuple[str, Any] | None]]:
-    """Where in the seeded order each class passes from one part to the next.
+) -> DataFrame:
+    """Where in the seeded order each class passes from one part to the next: per class the hash and
+    key of the last row of each part but the last, null for an empty part.
 
-    Two narrow passes over label and key: one counts hash ranges, whose number is fixed, the other
-    ranks only the ranges that hold a boundary. The result, one place per class and boundary, is
-    all that a split needs, so rows never move. None stands for an empty part.
+    Label and key are written once; then one aggregate counts hash ranges, and only the ranges that
+    hold a boundary are ranked. The result is all that a split needs, so rows never move.
     """
-    hashed = _with_hash(df.select(label, key), key, seed)
-    ranges = hashed.groupBy(label, _BUCKET).agg(F.count("*").alias("n"))
-    histogram = ranges.groupBy(label).agg(
-        F.map_from_entries(F.collect_list(F.struct(_BUCKET, "n"))).alias("n"))
-    rows = histogram.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    counts = {r[0]: r[1] for r in sorted(rows, key=lambda r: (r[0] is None, r[0]))}
-    parts = split_quotas({c: sum(b.values()) for c, b in counts.items()}, fractions)
-
-    # The range in which the running count reaches each boundary, and the rank inside it.
-    wanted = {}
-    cutoffs: dict[Any, list[tuple[str, Any] | None]] = {}
-    for c, buckets in counts.items():
-        cutoffs[c] = [None] * len(parts)
-        ends = [sum(part[c] for part in parts[: i + 1]) for i in range(len(parts))]
-        for i, end in enumerate(ends):
-            before = 0
-            for bucket in sorted(buckets):
-                if before < end <= before + buckets[bucket]:
-                    wanted[c, bucket, end - before] = [*wanted.get((c, bucket, end - before), []), i]
-                    break
-                before += buckets[bucket]
-    if wanted:
-        places = [F.col(label).eqNullSafe(F.lit(c)) & (F.col(_BUCKET) == b) for c, b, _ in wanted]
-        within = Window.partitionBy(label, _BUCKET).orderBy(_HASH, key)
-        ranked = (hashed.filter(_any(places)).withColumn("_rank", F.row_number().over(within)))
-        hits = [place & (F.col("_rank") == r) for place, (_, _, r) in zip(places, wanted)]
-        for row in ranked.filter(_any(hits)).collect():
-            for i in wanted[row[label], row[_BUCKET], row["_rank"]]:
-                cutoffs[row[label]][i] = (row[_HASH], row[key])
-    return cutoffs
-
-
-def _any(conditions: Sequence[Column]) -> Column:
-    out = F.lit(False)
-    for condition in conditions:
-        out = out | condition
-    return out
+    hashed = _narrow(df, [label], key, seed)
+    ranges = stored(hashed.groupBy(label, _BUCKET).agg(F.count("*").alias("n")), "ranges")
+    counts = ranges.groupBy(label).agg(F.sum("n").alias("n"))
+    ends = stored(split_quotas(counts, label, fractions), "ends").withColumnRenamed(label, "_class")
+    running = Window.partitionBy(label).orderBy(_BUCKET)
+    spans = ranges.withColumn("_upto", F.sum("n").over(running))
+    part = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"end_{i}").alias("end"))
+                               for i in range(len(fractions))]))
+    wanted = spans.join(ends, F.col(label).eqNullSafe(F.col("_class"))).select(
+        "_class", F.col(_BUCKET).alias("_range"), "n", "_upto", part.alias("p"))
+    wanted = wanted.filter((F.col("p.end") <= F.col("_upto")) & (F.col("p.end") > F.col("_upto") - F.col("n")))
+    wanted = wanted.select("_class", "_range", F.col("p.part").alias("_part"),
+                           (F.col("p.end") - F.col("_upto") + F.col("n")).alias("_at"))
+    same = F.col(label).eqNullSafe(F.col("_class")) & (F.col(_BUCKET) == F.col("_range"))
+    within = Window.partitionBy(label, _BUCKET).orderBy(_HASH, key)
+    places = wanted.select("_class", "_range").distinct()
+    ranked = hashed.join(places, same).drop("_class", "_range").withColumn("_rank", F.row_number().over(within))
+    hits = ranked.join(wanted, same & (F.col("_rank") == F.col("_at"))).groupBy("_class").agg(*[
+        F.max(F.when(F.col("_part") == i, F.struct(F.col(_HASH).alias("hash"), F.col(key).alias("key"))))
+        .alias(f"cut_{i}") for i in range(len(fractions))])
+    found = ends.select("_class").alias("e").join(hits.alias("h"), F.col("e._class").eqNullSafe(F.col("h._class")), "left")
+    return stored(found.select("e._class", *[f"cut_{i}" for i in range(len(fractions))]), "cutoffs")
 
 
 def assign_split(
-    df: DataFrame, label: str, key: str, names: Sequence[str],
-    cutoffs: dict[Any, list[tuple[str, Any] | None]], seed: int = 42,
+    df: DataFrame, label: str, key: str, names: Sequence[str], cutoffs: DataFrame, seed: int = 42
 ) -> DataFrame:
-    """Adds ``split`` by comparing each row's place with its class's cutoffs: one narrow pass."""
+    """Adds ``split`` by comparing each row's place with its class's cutoffs: one narrow pass.
+
+    The cutoffs have one row per class; Spark broadcasts them where they are few.
+    """
+    part = F.lit(names[-1])
+    place = F.col(_HASH)
+    for i, name in reversed(list(enumerate(names[:-1]))):
+        cut = F.col(f"cut_{i}")
+        inside = (place < cut["hash"]) | ((place == cut["hash"]) & (F.col(key) <= cut["key"]))
+        part = F.when(F.coalesce(inside, F.lit(False)), F.lit(name)).otherwise(part)
     hashed = df.withColumn(_HASH, seeded_hash(F.col(key), seed))
-    split = F.lit(None)
-    for c, ends in cutoffs.items():
-        part = F.lit(names[-1])
-        for name, end in reversed(list(zip(names, ends))):
-            if end is not None:
-                at, last = F.lit(end[0]), F.lit(end[1])
-                inside = (F.col(_HASH) < at) | ((F.col(_HASH) == at) & (F.col(key) <= last))
-                part = F.when(inside, F.lit(name)).otherwise(part)
-        split = F.when(F.col(label).eqNullSafe(F.lit(c)), part).otherwise(split)
-    return hashed.withColumn("split", split).drop(_HASH)
+    joined = hashed.join(cutoffs, F.col(label).eqNullSafe(F.col("_class")))
+    return joined.withColumn("split", part).select(*df.columns, "split")
 
 
 def stratified_split(
@@ -170,10 +164,10 @@ def three_way_split(
 def rank_in_order(
     df: DataFrame, by: Sequence[str], key: str, seed: int = 42, name: str = "_rank"
 ) -> DataFrame:
-    """Rank from 1 of each row in the seeded order of its group, without a task per group."""
-    hashed = _with_hash(df, key, seed)
-    counts = _with_hash(df.select(*by, key), key, seed).groupBy(*by, _BUCKET).agg(
-        F.count("*").alias("_n"))
+    """``by``, the key and the rank from 1 of each row in the seeded order of its group, without a
+    task per group. Only these columns are shuffled."""
+    hashed = _narrow(df, by, key, seed)
+    counts = hashed.groupBy(*by, _BUCKET).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, _BUCKET,
                             F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -181,27 +175,26 @@ def rank_in_order(
     # Both sides are laid out by group and range, so a join that is not broadcast moves no row.
     return (hashed.withColumn("_within", F.row_number().over(within))
             .join(offsets, [*by, _BUCKET])
-            .withColumn(name, F.col("_before") + F.col("_within"))
-            .drop(_HASH, _BUCKET, "_within", "_before"))
+            .select(*by, key, (F.col("_before") + F.col("_within")).alias(name)))
 
 
 def stratified_kfold(
     df: DataFrame, label: str, k: int = 5, seed: int = 42, key: str = "id"
 ) -> DataFrame:
-    """Adds ``fold``: classes are dealt out in turn, each starting where the last one stopped."""
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
-    rows = counts.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    if any(r[0] is None for r in rows):
+    """Adds ``fold``: classes are dealt out in turn, each starting where the last one stopped.
+
+    Folds are found on label and key alone and joined back by key.
+    """
+    ranked = stored(rank_in_order(df, [label], key, seed), "ranks")
+    # Null labels drop out of the equi-join by label above.
+    counts = ranked.groupBy(label).agg(F.count("*").alias("_n"))
+    if not df.filter(F.col(label).isNull()).limit(1).isEmpty():
         raise ValueError(f"{label} has null values")
-    start, offset = F.lit(0), 0
-    for value, n in sorted(rows, key=lambda r: r[0]):
-        start = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(offset % k)).otherwise(start)
-        offset += n
-    ranked = rank_in_order(df, [label], key, seed)
-    fold = ((F.col("_rank") - 1 + start) % k).cast("int")
-    return ranked.withColumn("fold", fold).drop("_rank")
+    before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(label, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    fold = ((F.col("_rank") - 1 + F.col("_start")) % k).cast("int").alias("fold")
+    folds = ranked.join(starts, label).select(key, fold)
+    return df.join(folds, key).select(*df.columns, "fold")
 
 
 def fold_index_table(
@@ -224,15 +217,15 @@ def fold_index_table(
             .agg(F.sort_array(F.collect_list(key)).alias("indices")))
 
 
-def fold_index(folded: DataFrame, key: str, k: int = 5, max_rows: int = 1_000_000) -> DataFrame:
-    """Rows ``(fold, train_indices, val_indices)`` for small sets; larger ones raise an error."""
-    if folded.select(key).limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows: use fold_index_table")
-    parts = fold_index_table(folded, key, k, chunk=max_rows)
-    wide = parts.groupBy("fold").pivot("part", ["train", "val"]).agg(F.first("indices"))
-    empty = F.array().cast(parts.schema["indices"].dataType)
-    return wide.select("fold", F.coalesce("train", empty).alias("train_indices"),
-                       F.coalesce("val", empty).alias("val_indices"))
+def fold_index(folded: DataFrame, key: str, k: int = 5, seed: int = 42, chunk: int = 100_000) -> DataFrame:
+    """The same with both lists side by side: ``(fold, chunk, train_indices, val_indices)``."""
+    parts = fold_index_table(folded, key, k, seed, chunk)
+
+    def of(part: str) -> Column:
+        empty = F.array().cast(parts.schema["indices"].dataType)
+        return F.coalesce(F.max(F.when(F.col("part") == part, F.col("indices"))), empty).alias(f"{part}_indices")
+
+    return parts.groupBy("fold", "chunk").agg(of("train"), of("val"))
 
 
 def hash_split(

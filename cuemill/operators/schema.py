@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import AtomicType, StringType
 
 from cuemill.functions.labels import label_substring
 from cuemill.lexicons import COLUMN_VARIANTS, SUBSTRING_CUES, TEXT_COLUMNS
@@ -19,16 +19,16 @@ def resolve_text_column(
     """The first candidate name present; else the first text column with a long first value.
 
     Only the second case reads data: one aggregate over all text columns. ``order`` says which row
-    is the first; without it any row's value decides.
+    is the first; without it the row with the smallest values in its sortable columns.
     """
     for name in candidates:
         if name in df.columns:
             return name
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     if texts:
+        order = order or [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+
         def first(name: str) -> Column:
-            if not order:
-                return F.first(name, ignorenulls=True)
             rank = F.when(F.col(name).isNotNull(), F.struct(*order))
             return F.min_by(name, rank)
 
@@ -43,18 +43,29 @@ def canonicalize(
     df: DataFrame, mapping: Mapping[str, Sequence[str]] = COLUMN_VARIANTS,
     text_column: str | None = None,
 ) -> DataFrame:
-    """Rename the first variant present of each column; later variants keep their names."""
+    """Rename the first variant present of each column; later variants keep their names.
+
+    A later variant that already bears the canonical name would be ambiguous: it is kept with
+    ``_other`` behind its name.
+    """
     renames = {text_column: "sentence"} if text_column else {}
     for canonical, variants in mapping.items():
         for variant in variants:
             if variant in df.columns and variant not in renames:
                 renames[variant] = canonical
                 break
-    # A later variant may already bear a canonical name, which would be ambiguous: it is left out.
     # Columns are named by position, as names that differ in case only are one name to Spark.
-    names = [renames.get(c, f"_variant_{i}" if c in renames.values() else c)
-             for i, c in enumerate(df.columns)]
-    return df.toDF(*names).select([n for n in names if not n.startswith("_variant_")])
+    taken = {c.lower() for c in renames.values()}
+    names: list[str] = []
+    for c in df.columns:
+        name = renames.get(c) or c
+        if c not in renames and c.lower() in taken:
+            name = f"{c}_other"
+            while name.lower() in taken:
+                name += "_other"
+            taken.add(name.lower())
+        names.append(name)
+    return df.toDF(*names)
 
 
 def select_existing(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions.labels import bad_paragraph
 from cuemill.functions.text import min_words, sentence_array, strip
-from cuemill.functions.web import block_text, page_blocks
+from cuemill.functions.web import page_blocks
 from cuemill.lexicons import PARAGRAPH_JUNK
 
 
@@ -35,7 +35,7 @@ def html_paragraphs(
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """``key``, ``pos`` and ``text`` of each paragraph that is neither boilerplate nor a fragment."""
-    texts = F.transform(page_blocks(html, blocks), block_text)
+    texts = page_blocks(html, blocks)
     rows = df.select(key, *keep, F.posexplode(texts).alias("pos", "text"))
     return rows.filter(min_words("text", min_word_count) & ~bad_paragraph("text", phrases))
 
@@ -50,7 +50,7 @@ def html_article_text(
     A page is one row, so its paragraphs are cleaned and joined as an array inside the row: no
     shuffle, whatever the page's size.
     """
-    texts = F.transform(page_blocks(html, blocks), block_text)
+    texts = page_blocks(html, blocks)
     kept = F.filter(texts, lambda t: min_words(t, min_word_count) & ~bad_paragraph(t, phrases))
     return df.select(
         key, F.col(url).alias("url"),

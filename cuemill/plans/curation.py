@@ -19,7 +19,7 @@ from cuemill.lexicons import (
 )
 from cuemill.operators.dedup import dedup_by, dedup_rows, union_all
 from cuemill.operators.filters import drop_rejected, min_length
-from cuemill.operators.joins import backfill_missing, denied_sentences, drop_denied
+from cuemill.operators.joins import denied_sentences
 from cuemill.operators.ranking import limit_in_order
 from cuemill.operators.schema import (
     canonicalize,
@@ -54,14 +54,19 @@ def clean_corpus(
 ) -> DataFrame:
     """``url, sentence`` rows: distinct, not denied, not junk, and every gold sentence kept.
 
-    Deny-list and junk depend on the sentence alone, so their order is free. Junk goes in the scan's
-    stage, repeats are reduced to one row per task before the only shuffle of the corpus, and the
-    deny-list meets distinct sentences, of which none can be hot.
+    Corpus, deny-list and gold rows meet in one aggregate by sentence, so the corpus is cut,
+    filtered and shuffled once, and a repeated sentence is one row per task before the shuffle.
     """
-    unique = dedup_by(corpus.filter(~is_junk("sentence", junk)), ["sentence"], order)
-    unique = drop_denied(unique.select("url", "sentence"), denied_sentences(annotations, ignore_case))
-    gold = clean_annotations(annotations).select("url", "sentence")
-    return backfill_missing(unique, gold, dedup=False)
+    own = corpus.filter(~is_junk("sentence", junk)).select(
+        "sentence", "url", F.struct(*order).alias("_order"))
+    denied = denied_sentences(annotations, ignore_case).select("sentence", F.lit(True).alias("_denied"))
+    gold = clean_annotations(annotations).select("sentence", F.col("url").alias("_gold"), F.lit(True).alias("_is_gold"))
+    found = union_all(own, denied, gold).groupBy("sentence").agg(
+        F.min_by(F.struct("url"), "_order").alias("_own"), F.bool_or("_denied").alias("_denied"),
+        F.min(F.when(F.col("_is_gold"), F.struct("_gold"))).alias("_gold"))
+    kept = F.col("_own").isNotNull() & F.col("_denied").isNull()
+    return found.filter(kept | F.col("_gold").isNotNull()).select(
+        F.when(kept, F.col("_own.url")).otherwise(F.col("_gold._gold")).alias("url"), "sentence")
 
 
 def split_external(

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions.labels import label_substring, label_word_boundary
 from cuemill.lexicons import KEYWORD_CUES, SUBSTRING_CUES, TRAINING_JUNK
+from cuemill.operators.classify import score
 from cuemill.operators.dedup import dedup_by, union_all
 from cuemill.operators.filters import errors, min_length, valid_sentence
 from cuemill.operators.metrics import summary
 from cuemill.operators.sampling import gold_rows, sample_per_class, shuffle, three_way_split
 from cuemill.operators.schema import annotation_rows
 from cuemill.operators.sentences import sentences
+from cuemill.session import scratch_path, stored
 
 
 def build_annotation_set(
@@ -49,17 +52,17 @@ def prepare_training_set(
     ``gold`` holds ``sentence, gold_label, split`` with splits ``dev`` and ``test``. Repeated
     sentences may fall into several splits unless ``dedup`` is set.
 
-    The split reads the labelled sentences three times, twice without their text. With ``scratch``,
-    a path in a shared folder, they are written there once instead of being cut and labelled anew.
+    The labelled sentences are cut once and written to ``scratch``, a path in a shared folder (by
+    default a new one below ``spark.checkpoint.dir``), which the split then reads.
     """
     rows = label_training_sentences(articles, cues, junk, text, key)
     if dedup:
         rows = dedup_by(rows, ["sentence"], [key, "pos"])
     rows = rows.withColumn("_key", F.concat_ws("_", F.col(key).cast("string"),
                                                F.col("pos").cast("string")))
-    if scratch:
-        rows.select("_key", "label", "sentence").write.parquet(scratch)
-        rows = articles.sparkSession.read.parquet(scratch)
+    scratch = scratch or scratch_path(articles.sparkSession, "sentences")
+    rows.select("_key", "label", "sentence").write.parquet(scratch)
+    rows = articles.sparkSession.read.parquet(scratch)
     split = three_way_split(rows, "label", seed, "_key").select("sentence", "label", "split")
     # One scan gives all splits; training rows carry no source.
     own = split.withColumn("source", F.when(F.col("split") != "train", F.lit("external")))
@@ -95,6 +98,16 @@ def error_analysis(
     return errors(predictions, y, p)
 
 
+def evaluate_models(
+    models: dict[str, PipelineModel], rows: DataFrame, id: str = "id", y: str = "gold_label"
+) -> tuple[DataFrame, DataFrame]:
+    """The evaluation job: summary and error tables of fitted models over ``id, text, gold_label,
+    dataset`` rows. Every model scores the rows once; the AUC is null without probabilities."""
+    scored = {name: score(model, rows) for name, model in models.items()}
+    found = stored(model_predictions(scored, id, y), "predictions")
+    return summary(found, y, probability="probability"), error_analysis(found, y)
+
+
 def write_error_tables(rows: DataFrame, path: str) -> str:
     """One folder per model, dataset and error type."""
     (rows.write.mode("overwrite").partitionBy("model", "dataset", "error_type")

@@ -5,22 +5,31 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from cuemill.sources.schemas import METRICS
 
-# The splits a metric file may nest its numbers under.
-SPLITS = ("dev", "val", "test", "gold_test")
+def _quoted(c: str) -> Column:
+    """A JSON string."""
+    text = F.to_json(F.array(c))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> str:
-    """``(model, dataset, …)`` rows as one nested JSON object per model."""
+    """``(model, dataset, …)`` rows as one nested JSON object per model, any datasets.
+
+    A model's repeated dataset is an error, since an object holds a key once.
+    """
     fields = [c for c in METRICS.names if c in metrics.columns]
-    nested = metrics.groupBy("model").pivot("dataset", list(SPLITS)).agg(
-        F.first(F.struct(*fields)))
-    nested.write.mode("overwrite").json(path)
+    entry = F.concat(_quoted("dataset"), F.lit(":"), F.to_json(F.struct(*fields)))
+    models = metrics.groupBy("model").agg(
+        F.array_sort(F.collect_list("dataset")).alias("names"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    once = F.size("names") == F.size(F.array_distinct("names"))
+    value = F.when(once, F.concat(F.lit('{"model":'), _quoted("model"), F.lit(","), F.array_join("entries", ","), F.lit("}")))
+    problem = F.raise_error(F.concat(F.lit("a dataset comes twice for model "), "model"))
+    models.select(F.coalesce(value, problem).alias("value")).write.mode("overwrite").text(path)
     return path
 
 
@@ -55,20 +64,23 @@ def _read_one(spark: SparkSession, path: str, name: str | None, whole: bool) ->
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
-    # Each object as a map from its keys to their JSON text; a small file, a few keys.
-    keys = text.select(F.from_json("value", MapType(StringType(), StringType())).alias("top"))
+    # Each object as a map from its keys to their JSON text; a small file, a few keys. An object with
+    # numbers is a dataset, an object of such objects a model.
+    as_map = MapType(StringType(), StringType())
+    keys = text.select(F.from_json("value", as_map).alias("top"))
     model = F.coalesce(F.col("top")["model"], F.lit(name))
     flat = keys.filter(F.map_contains_key("top", "accuracy")).select(
         model.alias("model"), F.lit("test").alias("dataset"), F.to_json("top").alias("body"))
     entries = (keys.filter(~F.map_contains_key("top", "accuracy"))
-               .select(model.alias("model"), F.explode("top").alias("key", "body")))
-    by_split = entries.filter(F.col("key").isin(*SPLITS)).select(
+               .select(model.alias("model"), F.explode("top").alias("key", "body"))
+               .filter(F.col("body").startswith("{"))
+               .withColumn("inner", F.from_json("body", as_map)))
+    by_split = entries.filter(F.map_contains_key("inner", "accuracy")).select(
         "model", F.col("key").alias("dataset"), "body")
-    deeper = (entries.filter(~F.col("key").isin(*SPLITS) & F.col("body").startswith("{"))
-              .select(F.col("key").alias("model"),
-                      F.explode(F.from_json("body", MapType(StringType(), StringType())))
-                      .alias("dataset", "body"))
-              .filter(F.col("dataset").isin(*SPLITS)))
+    deeper = (entries.filter(~F.map_contains_key("inner", "accuracy"))
+              .select(F.col("key").alias("model"), F.explode("inner").alias("dataset", "body"))
+              .filter(F.col("body").startswith("{"))
+              .filter(F.map_contains_key(F.from_json("body", as_map), "accuracy")))
     rows = flat.unionByName(by_split).unionByName(deeper)
     return (rows.withColumn("m", F.from_json("body", _TEXT_METRICS)).filter("m is not null")
             .select("model", "dataset",

@@ -37,6 +37,15 @@ def write_feed(
             .option("checkpointLocation", checkpoint).start(sink))
 
 
+def write_feed_run(
+    scored: DataFrame, path: str, checkpoint: str, raw: DataFrame | None = None, **options
+) -> list[StreamingQuery]:
+    """Appends the scored articles and, if given, the raw feed beside them, each a query of its own
+    with its own place in the feed."""
+    targets = [("filtered", scored)] + ([("raw", raw)] if raw is not None else [])
+    return [write_feed(df, f"{path}/{name}", f"{checkpoint}/{name}", **options) for name, df in targets]
+
+
 def stream_relevance(
     feed: DataFrame, lexicon: RelevanceLexicon = RelevanceLexicon(), min_score: int | None = 3,
     lang: str | None = None, any_of: Sequence[str] = (), none_of: Sequence[str] = (),
@@ -63,13 +72,16 @@ def stream_dedup(
 
 
 def run_to_end(
-    feed: DataFrame, sink: str, checkpoint: str, timeout: int = 600,
+    feed: DataFrame, sink: str, checkpoint: str, timeout: float | None = None,
     write: Callable[..., StreamingQuery] = write_feed,
 ) -> DataFrame:
-    """Runs a stream over what has arrived and returns the sink as a table."""
+    """Runs a stream over what has arrived and returns the sink as a table; ``timeout`` (seconds) is
+    for callers that would rather have an error than wait."""
     query = write(feed, sink, checkpoint)
     try:
-        if not query.awaitTermination(timeout):
+        if timeout is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout):
             raise TimeoutError(f"stream into {sink} did not end within {timeout} s")
     finally:
         if query.isActive:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cuemill.operators.dedup import dedup_by, dedup_rows, union_all
 from cuemill.operators.filters import (
     drop_rejected,
+    unparsable_labels,
     errors,
     lookback,
     min_length,
@@ -68,10 +69,11 @@ def test_rejected_rows_and_deny_list(spark):
     a = spark.createDataFrame(ANNOTATED, SCHEMA)
     kept = drop_rejected(a)
     assert {(r["id"], r["gold_label"]) for r in kept.collect()} == {
-        ("S1", 1), ("S4", 0), ("S5", 0), ("S6", None)}
+        ("S1", 1), ("S4", 0), ("S5", 0)}
+    assert [r["id"] for r in unparsable_labels(a).collect()] == ["S6"]
     gold = clean_annotations(a)
     assert "rule_pred" not in gold.columns
-    assert {r["id"] for r in gold.collect()} == {"S1", "S5", "S6"}
+    assert {r["id"] for r in gold.collect()} == {"S1", "S5"}
     assert [r[0] for r in denied_sentences(a).collect()] == ["throw me away"]
     assert denied_sentences(a, ignore_case=True).count() == 2
     df = spark.createDataFrame([("throw me away",), (None,), ("Throw me away",)], "sentence string")
@@ -87,7 +89,7 @@ def test_clean_corpus(spark):
     out = clean_corpus(corpus, spark.createDataFrame(ANNOTATED, SCHEMA))
     assert sorted(map(tuple, out.collect())) == [
         ("a", "plain text"), ("c", "spelled otherwise"), ("u1", "keep me please"),
-        ("u5", "a newsletter with a label"), ("u6", "unparsable")]
+        ("u5", "a newsletter with a label")]
 
 
 def test_backfill(spark):

@@ -158,3 +158,11 @@ def test_no_python_in_the_plan(spark):
     df = spark.range(1).select(F.lit("x").alias("t"))
     plan = df.select(label_word_boundary("t"), is_junk("t"), relevance_score("t", "t"))
     assert "Python" not in plan._jdf.queryExecution().toString()
+
+
+def test_lowered_patterns_keep_their_meaning(column):
+    texts = ["ÀB X", "ab x", "12 X", "aXb", "A-A"]
+    for pattern, wanted in ((r"\p{L}+ X", [True, True, False, False, False]),
+                            (r"^\p{Lu}", [True, True, False, True, True]), (r"\x58b", [False] * 3 + [True, False]),
+                            (r"(?<Name>A)-\k<Name>", [False] * 4 + [True]), (r"\P{L}\S", [True] * 3 + [False, True])):
+        assert column(texts, matches_any_regex("t", [pattern])) == wanted, pattern

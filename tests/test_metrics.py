@@ -62,17 +62,21 @@ def test_auc_and_curve(spark):
     groups = {"a": [(rng.randint(0, 1), rng.choice([0.5, rng.random(), rng.random()])) for _ in range(400)],
               "b": [(int(i % 7 == 0), round(rng.random(), 1)) for i in range(200)]}
     df = spark.createDataFrame([(g, y, s) for g, rows in groups.items() for y, s in rows]
-                               + [("a", 1, None)], "model string, y int, s double")
+                               + [("a", 1, None), ("a", 0, float("nan"))], "model string, y int, s double")
     for buckets in (2, 16, 256):
         out = {r["model"]: r["auc"] for r in roc_auc(df, "y", "s", ["model"], buckets).collect()}
         assert out == {g: pytest.approx(brute_auc(rows), abs=1e-12) for g, rows in groups.items()}
         curve = roc_curve(df, "y", "s", ["model"], buckets).collect()
         for g, rows in groups.items():
             p, n = sum(y for y, _ in rows), sum(1 - y for y, _ in rows)
-            assert sorted((r["threshold"], r["fpr"], r["tpr"]) for r in curve if r["model"] == g) == [
+            points = sorted((r["threshold"], r["fpr"], r["tpr"]) for r in curve if r["model"] == g)
+            assert points == [
                 (t, pytest.approx(sum(s >= t for y, s in rows if not y) / n),
                  pytest.approx(sum(s >= t for y, s in rows if y) / p))
-                for t in sorted({s for _, s in rows})]
+                for t in [*sorted({s for _, s in rows}), float("inf")]]
+            # From (0, 0) on, the trapezoids make up the whole area.
+            area = sum((a[1] - b[1]) * (a[2] + b[2]) / 2 for a, b in zip(points, points[1:]))
+            assert area == pytest.approx(brute_auc(rows))
     assert roc_auc(df.filter("y = 1"), "y", "s").first()["auc"] is None
     assert roc_auc(df.limit(0), "y", "s").first()["auc"] is None
 

@@ -6,16 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from bindings.common import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
-# These depend on the optimizer's path, so SQL cannot say their values.
-ROWS_ONLY = {"logreg_grid", "svm_grid", "cross_val_predict", "score_model"}
-
-
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -24,12 +21,11 @@ def duck():
     return con
 
 
-def test_every_query_has_sql_but_the_fitted_models():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == ROWS_ONLY
-    assert set(driver.oracle_sql()) <= set(driver.queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(driver.queries()) - ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = driver.queries()[name](spark, SF)
     columns = sorted(df.columns)

@@ -42,13 +42,20 @@ def ranked(df):
     return {c: sorted(ids, key=place) for c, ids in by_class.items()}
 
 
-def test_quotas():
-    assert quotas({0: 56, 1: 25}, 64) == {0: 44, 1: 20}
-    assert quotas({0: 3, 1: 3, 2: 3}, 4) == {0: 2, 1: 1, 2: 1}
-    assert quotas({}, 0) == {} and quotas({0: 0}, 0) == {0: 0}
-    train, val = split_quotas({0: 35_000, 1: 12_632}, [0.2, 0.5])
-    assert (sum(train.values()), sum(val.values())) == (38_105, 4_763)
-    assert 47_632 - 38_105 - 4_763 == 4_764
+def test_quotas(spark):
+    def counts(rows):
+        return spark.createDataFrame(list(rows.items()), "c int, n long")
+
+    def shared(rows, draws):
+        return {r["c"]: r["q"] for r in quotas(counts(rows), "c", "n", "q", draws).collect()}
+
+    assert shared({0: 56, 1: 25}, 64) == {0: 44, 1: 20}
+    assert shared({0: 3, 1: 3, 2: 3}, 4) == {0: 2, 1: 1, 2: 1}
+    assert shared({}, 0) == {} and shared({0: 0}, 0) == {0: 0}
+    large = {i: 10 ** 12 + i for i in range(5)}
+    assert sum(shared(large, 3 * 10 ** 12 + 1).values()) == 3 * 10 ** 12 + 1
+    ends = split_quotas(counts({0: 35_000, 1: 12_632}), "c", [0.2, 0.5]).collect()
+    assert (sum(r["end_0"] for r in ends), sum(r["end_1"] for r in ends)) == (38_105, 38_105 + 4_763)
 
 
 def test_split_sizes_and_members(labelled):
@@ -79,18 +86,23 @@ def test_split_with_few_rows_and_null_labels(spark):
     assert sum(r["split"] == "train" for r in out if r["label"] is None) == 8
 
 
-def test_split_refuses_a_column_that_is_no_class(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "MAX_CLASSES", 3)
-    df = spark.range(10).select(F.col("id").cast("string").alias("id"), F.col("id").alias("label"))
-    with pytest.raises(ValueError, match="classes"):
-        stratified_split(df, "label")
-    with pytest.raises(ValueError, match="classes"):
-        stratified_kfold(df, "label")
+def test_many_classes(spark):
+    df = spark.range(900).select(F.col("id").cast("string").alias("id"), (F.col("id") % 150).alias("label"))
+    split = Counter((r["label"], r["split"]) for r in stratified_split(df, "label", 0.5).collect())
+    assert all(split[c, "test"] == split[c, "train"] == 3 for c in range(150))
+    folds = Counter((r["label"], r["fold"]) for r in stratified_kfold(df, "label", 3).collect())
+    assert all(folds[c, f] == 2 for c in range(150) for f in range(3))
+
+
+def test_ranges_follow_the_table(labelled, monkeypatch):
+    whole = {(r["id"], r["split"]) for r in stratified_split(labelled, "label").collect()}
+    monkeypatch.setattr(sampling, "ROWS_PER_RANGE", 1 / 16 ** 5)
+    assert {(r["id"], r["split"]) for r in stratified_split(labelled, "label").collect()} == whole
 
 
 def test_split_moves_no_row(labelled):
     plan = stratified_split(labelled.coalesce(2), "label")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") <= 1 and "Window" not in plan  # The fixture's own repartition.
+    assert plan.count("Exchange hashpartitioning") <= 1 and "Window" not in plan  # The fixture's own repartition.
 
 
 def test_folds(spark, labelled):
@@ -103,18 +115,18 @@ def test_folds(spark, labelled):
     expected |= {key: (44 + i) % 5 for i, key in enumerate(order[1])}
     assert {r["id"]: r["fold"] for r in folds.collect()} == expected
 
-    index = {r["fold"]: r for r in fold_index(folds, "id").collect()}
-    assert set(index) == set(range(5))
-    for f, row in index.items():
-        assert row["val_indices"] == sorted(k for k, v in expected.items() if v == f)
-        assert row["train_indices"] == sorted(k for k, v in expected.items() if v != f)
+    for chunk in (100_000, 10):
+        index = fold_index(folds, "id", chunk=chunk).collect()
+        assert {r["fold"] for r in index} == set(range(5)) and (len(index) > 5) == (chunk == 10)
+        for f in range(5):
+            lists = [r for r in index if r["fold"] == f]
+            assert sorted(k for r in lists for k in r["val_indices"]) == sorted(k for k, v in expected.items() if v == f)
+            assert sorted(k for r in lists for k in r["train_indices"]) == sorted(k for k, v in expected.items() if v != f)
     chunks = fold_index_table(folds, "id", chunk=10)
     assert chunks.filter("fold = 0 AND part = 'train'").count() > 1
     for part in ("train", "val"):
         by_index = {r["id"] for r in fold_rows_by_index(dev, chunks, 2, part, "id").collect()}
         assert by_index == {r["id"] for r in fold_rows(folds, 2, part).collect()}
-    with pytest.raises(ValueError, match="fold_index_table"):
-        fold_index(folds, "id", max_rows=10)
     with pytest.raises(ValueError, match="null"):
         stratified_kfold(dev.withColumn("label", F.lit(None).cast("int")), "label")
     folds.unpersist()

@@ -10,13 +10,13 @@ from cuemill.sources.schemas import ANNOTATIONS, ARTICLES
 from cuemill.sources.sinks import write_csv, write_json_array, write_json_run, write_splits
 from cuemill.sources.tables import (
     NULL_WORDS,
-    files_by_encoding,
-    list_files,
+    csv_headers,
     read_csv,
     read_csv_any_encoding,
     read_json_array,
     read_jsonl,
     read_mixed,
+    read_mixed_rejects,
     require_columns,
 )
 
@@ -37,13 +37,32 @@ def test_encodings_are_decided_per_file(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("id,t\n1,café\n".encode())
     (tmp_path / "b.csv").write_bytes("id,t\n2,naïve\n3,plain\n".encode("latin-1"))
     (tmp_path / "c.csv").write_bytes(b"")
-    utf8, other = files_by_encoding(spark, str(tmp_path))
-    assert [os.path.basename(f) for f in utf8] == ["a.csv"]
-    assert [os.path.basename(f) for f in other] == ["b.csv"]
+    found = {os.path.basename(r["file"]): r["valid"] for r in csv_headers(spark, str(tmp_path)).collect()}
+    assert found == {"a.csv": True, "b.csv": False}
     rows = read_csv_any_encoding(spark, str(tmp_path), "id int, t string").collect()
     assert {tuple(r) for r in rows} == {(1, "café"), (2, "naïve"), (3, "plain")}
 
 
+def test_columns_are_found_by_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufefftitle,url\nTa,Ua\n"T, b",Ub\n')
+    (tmp_path / "b.csv").write_text("url,n,title\nUc,7,Tc\nUd,x,\n")
+    (tmp_path / "c.csv").write_text("url\n")
+    for reader in (read_csv, read_csv_any_encoding):
+        rows = reader(spark, str(tmp_path), "title string, url string, n int").collect()
+        assert {tuple(r) for r in rows} == {("Ta", "Ua", None), ("T, b", "Ub", None), ("Tc", "Uc", 7), (None, "Ud", None)}
+    assert read_csv(spark, str(tmp_path / "a.csv"), "other string").collect() == [(None,), (None,)]
+
+
+def test_header_is_the_first_line_of_a_split_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,t\n" + "".join(f"{i},row {i}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = read_csv(spark, str(tmp_path), "t string, n int", multiline=False)
+        assert rows.agg(F.count("*"), F.sum("n"), F.countDistinct("t")).first() == (20_000, 199_990_000, 20_000)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_json_forms(spark, tmp_path):
     (tmp_path / "feed.json").write_text('[{"url": "u", "title": null,\n"description": "d"}, {"url": "v"}]')
     rows = read_json_array(spark, str(tmp_path / "feed.json"), ARTICLES).collect()
@@ -71,7 +90,9 @@ def test_mixed_folder(spark, tmp_path):
                       json_schema="title string, url string").collect()
     assert {r["title"] for r in rows if r["title"]} == {"From csv", "From json", "From parquet"}
     assert [r["extra"] for r in rows if r["Headline"]] == ["5"]
-    assert list_files(spark, str(tmp_path / "absent")) == []
+    bad = read_mixed_rejects(spark, [str(tmp_path / "absent"), str(data)], "title string, url string").collect()
+    assert sorted((os.path.basename(r["file"]), r["line"]) for r in bad) == [("broken.parquet", None), ("c.json", "not json")]
+    assert read_mixed(spark, [str(data)]).filter("title = 'From json'").count() == 1
     with pytest.raises(FileNotFoundError):
         read_mixed(spark, [str(empty)])
 

@@ -3,7 +3,14 @@ import datetime
 from cuemill.functions.labels import relevance_score
 from cuemill.session import scratch_path
 from cuemill.sources.schemas import ARTICLES
-from cuemill.streaming.feeds import read_feed, run_to_end, stream_dedup, stream_relevance, write_feed
+from cuemill.streaming.feeds import (
+    read_feed,
+    run_to_end,
+    stream_dedup,
+    stream_relevance,
+    write_feed,
+    write_feed_run,
+)
 
 
 def day(n, hour=0):
@@ -64,3 +71,23 @@ def test_running_query_can_be_stopped(spark):
     query.processAllAvailable()
     query.stop()
     assert not query.isActive
+
+
+def test_a_key_expires(spark):
+    feed, sink, checkpoint = (scratch_path(spark, n) for n in ("feed", "sink", "checkpoint"))
+    spark.createDataFrame([], ARTICLES).write.json(feed)
+    rows = stream_dedup(read_feed(spark, feed, ARTICLES), ["url"], delay="7 days")
+    for url, n in (("u1", 1), ("u2", 20), ("u3", 21), ("u1", 22), ("u3", 23)):
+        spark.createDataFrame([(url, "t", "d", day(n))], ARTICLES).write.mode("append").json(feed)
+        out = run_to_end(rows, sink, checkpoint)
+    # The watermark has passed u1's week, not u3's.
+    assert sorted(r["url"] for r in out.collect()) == ["u1", "u1", "u2", "u3"]
+
+
+def test_raw_copy_beside_the_filtered_feed(spark):
+    feed, out = scratch_path(spark, "feed"), scratch_path(spark, "run")
+    spark.createDataFrame(ROWS, ARTICLES).write.json(feed)
+    source = read_feed(spark, feed, ARTICLES)
+    for query in write_feed_run(stream_relevance(source), out, scratch_path(spark, "checkpoint"), source):
+        query.awaitTermination()
+    assert spark.read.parquet(f"{out}/raw").count() == 4 and spark.read.parquet(f"{out}/filtered").count() == 2

@@ -17,9 +17,10 @@ def test_url_host(column):
 
 def test_unescape(column):
     texts = ["a &amp; b", "&amp;lt;", "&lt;p&gt;", "&#8364;&#x20AC;x &#xe9;", "&#; &#xZZ; &#55296;",
-             "&quot;&nbsp;&copy;", "plain", None]
+             "&quot;&nbsp;&copy;", "plain", None, "&#0000065;&#1114111;&#x10FFFF;", "&#1114112;&#x110000;&#0;",
+             "&#99999999999999999999999;&#x0000000000041;"]
     assert column(texts, unescape("t")) == [
-        "a & b", "&lt;", "<p>", "€€x é", "&#; &#xZZ; �", '"\xa0©', "plain", None]
+        "a & b", "&lt;", "<p>", "€€x é", "&#; &#xZZ; �", '"\xa0©', "plain", None, "A\U0010ffff\U0010ffff", "���", "�A"]
 
 
 PAGE = """<html><head><script>var a = "<p>never see these six words here</p>";</script></head><body>
@@ -39,12 +40,13 @@ def test_html_paragraphs(spark):
     texts = [t for _, t in rows]
     assert texts[0] == "One two three four five six."
     assert texts[1] == "Seven eight nine, ten & eleven twelve"
-    assert "A line of its own with words" in texts
-    assert "Section text of six words here" in texts
+    # The article is one line, since no line break lies inside a text node; a phrase drops it whole.
+    assert texts[2:] == ["Section text of six words here"]
     assert not any("never" in t or "nor any" in t or "sign up" in t.lower() or t == "too short"
                    for t in texts)
-    # Paragraph text comes again as a line of its block.
-    assert sum("One two three" in t for t in texts) == 2
+    # Without phrases, paragraph text comes again in the line of its block.
+    again = [r["text"] for r in html_paragraphs(df, phrases=("nothing",)).collect()]
+    assert sum("One two three" in t for t in again) == 2
     assert len(html_paragraphs(df, blocks=False).collect()) == 2
 
     full = {r["page_id"]: r for r in html_article_text(df).collect()}
@@ -60,3 +62,16 @@ def test_page_jobs_do_not_shuffle(spark):
     for out in (html_paragraphs(df), html_article_text(df)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_block_lines(spark):
+    """Tags go before lines are cut; only a line break inside a text node cuts."""
+    html = """<article><b>one two three</b>
+<i>four five six</i> <a
+href="http://x.example/y">seven</a> eight
+nine ten © eleven twelve thirteen fourteen<br>
+
+</article><section>&nbsp;<b>&lt;one two&gt; three</b> four five six</section>"""
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    rows = [r["text"] for r in html_paragraphs(df, phrases=("©",)).orderBy("pos").collect()]
+    assert rows == ["one two three four five six seven eight", "<one two> three four five six"]
