@@ -15,7 +15,7 @@ from cuemill.llm.simhash import simhash_components
 from cuemill.llm.substrings import substring_dedup
 from cuemill.llm.tokens import read_token_documents, write_token_shards
 from cuemill.llm.topk import exact_topk
-from cuemill.llm.urls import url_filter
+from cuemill.llm.urls import LINK, LOWER, RULES, UPPER, url_filter
 from cuemill.session import scratch_path
 
 QUERIES: dict = {}
@@ -102,6 +102,48 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
+def _url_sql(rounds: int = 12) -> str:
+    """The rules, the host graph and as many rounds of both ranks, one CTE each."""
+    upper, lower = UPPER, LOWER
+    ordered = sorted(RULES, key=lambda r: (-len(r[0]), r[0]))
+
+    def fits(text: str) -> str:
+        host, path = text.split("/", 1)
+        return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+
+    rule = " ".join(f"WHEN {fits(t)} THEN '{t}'" for t, _ in ordered)
+    says = " ".join(f"WHEN {fits(t)} THEN '{v}'" for t, v in ordered)
+    link = LINK.replace("'", "''")
+    ranks = ", ".join(f"""r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (
+      SELECT s.kind, s.dst AS host, r.rank * s.p AS rank FROM r{i} r JOIN steps s ON r.kind = s.kind AND r.host = s.src
+      UNION ALL SELECT kind, host, rank * 0.15::DOUBLE FROM r0) GROUP BY kind, host)""" for i in range(rounds))
+    return rf"""WITH u AS (SELECT page_id, html,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+  j AS (SELECT page_id, host, path, html, CASE {rule} END AS rule, CASE {says} END AS says FROM u),
+  found AS (SELECT host AS src, translate(unnest(list_distinct(regexp_extract_all(html, '{link}', 1))), '{upper}', '{lower}') AS dst
+    FROM j WHERE host <> ''),
+  hosts AS (SELECT host FROM j WHERE host <> '' UNION SELECT dst FROM found WHERE dst <> src),
+  parts AS (SELECT DISTINCT array_to_string(l[i:], '.') AS src, array_to_string(l[i + 1:], '.') AS dst
+    FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM (SELECT string_split(host, '.') AS l FROM hosts))),
+  edges AS (SELECT src, dst, sum(n)::DOUBLE AS n FROM (
+      SELECT src, dst, 1 AS n FROM found WHERE src <> dst UNION ALL SELECT src, dst, 1 FROM parts
+      UNION ALL SELECT dst, src, 1 FROM parts) GROUP BY src, dst),
+  both_ways AS (SELECT 'trust' AS kind, src, dst, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges),
+  steps AS MATERIALIZED (SELECT kind, src, dst, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY kind, src) AS p FROM both_ways),
+  seeds AS (SELECT 'trust' AS kind, host, count(*) AS n FROM j WHERE says = 'allow' AND host <> '' GROUP BY host
+    UNION ALL SELECT 'distrust', host, count(*) FROM j WHERE says = 'block' AND host <> '' GROUP BY host),
+  r0 AS MATERIALIZED (SELECT kind, host, n::DOUBLE / sum(n) OVER (PARTITION BY kind) AS rank FROM seeds), {ranks},
+  score AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS t,
+      coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS d FROM r{rounds} GROUP BY host)
+  SELECT page_id, j.host, path, rule,
+    coalesce(says, CASE WHEN round(d / (t + d), 9) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+  FROM j LEFT JOIN score s ON s.host = j.host"""
+
+
+ORACLES["op7_url_filter"] = _url_sql()
+
+
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents"), with_text=False)
