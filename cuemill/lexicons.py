@@ -47,7 +47,7 @@ CORPUS_JUNK = (
     r"^The stock market will close early",
 )
 
-# The merge of external news lets a bare "WATCH:" inside a sentence pass.
+# The merge of external news lets a bare "WATCH:" inside a sentence pass.
 MERGE_JUNK = tuple(p for p in CORPUS_JUNK if p != r"WATCH:")
 
 # Junk sentences of the training set.

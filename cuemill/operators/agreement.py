@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The category names.
 AGREED, MISSED, FALSE_ALARM = "Agreed", "Missed Hedge (A2 found)", "False Alarm (A2 found)"
 
 

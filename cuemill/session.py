@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package where their path does not hold its folder.
+
+    A package found through PYTHONPATH or the working folder, or sent along with ``--py-files``, is
+    left alone; otherwise its modules go to the executors once per application.
+    """
+    home = os.path.dirname(os.path.abspath(__file__))
+    root, name = os.path.split(home)
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if root in known or os.path.abspath(os.getcwd()) == root or not os.path.isdir(home) or any(
+            f.endswith(f"/{name}-package.zip") for f in context.listFiles):
+        return
+    # A file of the driver: Spark serves it to the executors.
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}-package.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, files in os.walk(home):
+            for file in files:
+                if file.endswith(".py"):
+                    full = os.path.join(folder, file)
+                    archive.write(full, os.path.relpath(full, root))
+    context.addPyFile(path)
