@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import bounded_batches, pack_sorted, tasks, unpack_sorted, utf8, written
+from cuemill.llm.common import bounded_batches, distinct, pack_sorted, tasks, unpack_sorted, utf8, written
 
-#: A planar difference set: every residue modulo 73 is a difference of two of its members once.
-PERIOD, COVER = 73, (1, 2, 4, 8, 16, 32, 37, 55, 64)
+#: A planar difference set: every residue modulo 57 but 0 is a difference of two members once.
+PERIOD, COVER = 57, (1, 6, 7, 9, 19, 38, 42, 49)
 CELLS = 4096
 
 
@@ -52,14 +52,15 @@ class Block:
         self.left = np.repeat(self.ends, sizes) - np.arange(len(self.raw))  # bytes up to the text's end
         self.place = np.arange(len(self.raw)) - np.repeat(self.starts, sizes)
 
-    def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the cover sample and their fingerprints, of what is left after a period."""
+    def samples(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the cover sample and ``bits`` of the fingerprints of what they begin: as much
+        as a string of ``width`` bytes has behind any offset below a period."""
         size = self.width - PERIOD + 1
         prints = window_prints(self.raw, size)
         cover = np.zeros(PERIOD, bool)
         cover[[c % PERIOD for c in COVER]] = True
         at = np.flatnonzero(cover[self.place % PERIOD][:len(prints)] & (self.left[:len(prints)] >= size))
-        return at, prints[at]
+        return at, prints[at] >> np.uint64(64 - bits)
 
     def candidates(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes with a shared sample within a period, and the keys of their first ``width`` bytes.
@@ -92,9 +93,9 @@ class Block:
         return pd.DataFrame(out, columns=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _bucketed(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """Ascending keys cut at the buckets' borders; a bucket is a range of the key order."""
-    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+def _bucketed(keys: np.ndarray, buckets: int, bits: int) -> list[tuple[int, np.ndarray]]:
+    """Ascending keys of so many bits cut at the buckets' borders; a bucket is a range of the keys."""
+    bucket = (keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
     first = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
     return [(int(bucket[a]), keys[a:b]) for a, b in zip(first, np.append(first[1:], len(keys)))]
 
@@ -103,8 +104,8 @@ SENT = "bucket int, block long, keys binary"
 BACK = "block long, kind int, bucket int, bits binary"
 
 
-def _send(block: int, keys: np.ndarray, buckets: int) -> pd.DataFrame:
-    parts = _bucketed(keys, buckets)
+def _send(block: int, keys: np.ndarray, buckets: int, bits: int) -> pd.DataFrame:
+    parts = _bucketed(keys, buckets, bits)
     return pd.DataFrame({"bucket": [b for b, _ in parts], "block": block,
                          "keys": [pack_sorted(k) for _, k in parts]})
 
@@ -130,10 +131,11 @@ def _sort_bucket(kind: int, keep_first: bool):
     return run
 
 
-def _marked(keys: np.ndarray, back: pd.DataFrame, kind: int, buckets: int) -> np.ndarray:
+def _marked(keys: np.ndarray, back: pd.DataFrame, kind: int, buckets: int, bits: int) -> np.ndarray:
     """Which of the block's distinct ascending keys the buckets have marked."""
-    bits = {r.bucket: r.bits for r in back[back["kind"] == kind].itertuples()}
-    parts = [np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(k)) for b, k in _bucketed(keys, buckets)]
+    maps = {r.bucket: r.bits for r in back[back["kind"] == kind].itertuples()}
+    parts = [np.unpackbits(np.frombuffer(maps[b], np.uint8), count=len(k))
+             for b, k in _bucketed(keys, buckets, bits)]
     return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
 
@@ -186,6 +188,9 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     placed, size = _with_blocks(rows, block_bytes)
     n = tasks(docs)
     buckets = max(n, -(-size // (4 * block_bytes)))
+    # Samples only choose candidates, so a chance match costs work, not a byte: 13 bits beyond the
+    # number of positions leave one in 8192.
+    bits = min(64, max(32, int(size).bit_length() + 10))
     # Later copies of whole texts, by hash; the first of each stays.
     prints = placed.where(F.octet_length("text") >= width).select(
         "id", "block", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("h"))
@@ -203,20 +208,20 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return Block(group, {int(b) for b in back.loc[back["kind"] == 0, "bits"]}, width)
 
     def shared_of(block: Block, back: pd.DataFrame) -> np.ndarray:
-        at, prints = block.samples()
+        at, prints = block.samples(bits)
         keys, inverse, counts = np.unique(prints, return_inverse=True, return_counts=True)
-        return at[(_marked(keys, back, 1, buckets) | (counts > 1))[inverse]]
+        return at[(_marked(keys, back, 1, buckets, bits) | (counts > 1))[inverse]]
 
     def send_samples(key, group: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
             return pd.DataFrame({"bucket": [], "block": [], "keys": []})
-        return _send(key[0], np.unique(block_of(group, back).samples()[1]), buckets)
+        return _send(key[0], distinct(block_of(group, back).samples(bits)[1]), buckets, bits)
 
     def send_candidates(key, group: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
             return pd.DataFrame({"bucket": [], "block": [], "keys": []})
         block = block_of(group, back)
-        return _send(key[0], np.unique(block.candidates(shared_of(block, back))[1]), buckets)
+        return _send(key[0], distinct(block.candidates(shared_of(block, back))[1]), buckets, 64)
 
     def finish(key, group: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
@@ -224,7 +229,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         block = block_of(group, back)
         at, prints = block.candidates(shared_of(block, back))
         keys, place, inverse = np.unique(prints, return_index=True, return_inverse=True)
-        earlier = _marked(keys, back, 2, buckets)[inverse] | (place[inverse] != np.arange(len(at)))
+        earlier = _marked(keys, back, 2, buckets, 64)[inverse] | (place[inverse] != np.arange(len(at)))
         return block.result(at[earlier], id_col)[columns]
 
     def step(fn, back: DataFrame, out: str) -> DataFrame:
