@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import bounded_batches, utf8
+from cuemill.llm.common import bounded_batches, distinct, fresh_worker, utf8
 
 #: Words per passage of the factorised matrix, and the grid on which passages start.
 PASSAGE, GRID = 32, 8
@@ -76,6 +76,8 @@ class Index:
 
     def __post_init__(self):
         self.by_span = {int(s): np.flatnonzero(self.spans == s) for s in np.unique(self.spans)}
+        # The most that one word can add to a passage's product with any item.
+        self.most = np.maximum((self.basis @ self.items.T).max(axis=1, initial=0.0), 0.0).astype(np.float64)
 
     def search(self, texts: list[str | None]) -> list[tuple]:
         """(text, item id, cosine, lcs share, answer share, first word) of the confirmed passages."""
@@ -83,21 +85,20 @@ class Index:
         found: dict[tuple, tuple] = {}
         ends = np.cumsum(sizes)
         known = ids >= 0
-        weight = np.where(known, self.idf[ids] ** 2, 0.0)
-        mass = np.concatenate([[0.0], np.cumsum(weight)])
+        reach = np.concatenate([[0.0], np.cumsum(np.where(known, self.most[ids], 0.0))])
         rest = np.concatenate([[0], np.cumsum(~known)])
         # Passages start on the grid of each text, the last one at its end minus its length.
         for span, own in self.by_span.items():
             length = span * GRID
             starts = np.concatenate([np.append(np.arange(e - n, max(e - n + 1, e - length), GRID), max(e - n, e - length))
                                      for n, e in zip(sizes, ends) if n] or [np.zeros(0, np.int64)])
-            starts = np.unique(starts)
+            starts = distinct(starts)
             text = np.searchsorted(ends, starts, side="right")
             stops = np.minimum(starts + length, ends[text])
-            inside = mass[stops] - mass[starts]
             outside = self.oov * (rest[stops] - rest[starts])
-            # The cosine is at most the root of the share of weight on the items' terms.
-            near = np.flatnonzero(inside >= self.cosine ** 2 * (inside + outside) * (1 - 1e-9) + 1e-12)
+            # No item's product with the passage is above the sum over its words, which bounds the cosine.
+            bound = (reach[stops] - reach[starts]) ** 2
+            near = np.flatnonzero(bound >= self.cosine ** 2 * (bound + outside) * (1 - 1e-6) + 1e-12)
             for a in range(0, len(near), 2048):
                 some = near[a:a + 2048]
                 size = (stops - starts)[some]
@@ -137,12 +138,13 @@ class Index:
 def document_frequencies(docs: DataFrame, text_col: str, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """Passages that hold each term, and passages: summed per task, then by slices of the terms."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fresh_worker()
         total, passages = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             ids, sizes = term_ids(list(batch["text"]), terms)
             row, n = passage_rows(sizes)
             known = ids >= 0
-            pairs = np.unique(row[known] * len(terms) + ids[known])
+            pairs = distinct(row[known] * len(terms) + ids[known])
             total += np.bincount(pairs % len(terms), minlength=len(terms))
             passages += n
         if passages:
@@ -194,6 +196,7 @@ def latent_basis(docs: DataFrame, text_col: str, terms: dict[bytes, int], idf: n
     used = idf > 0
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fresh_worker()
         total, seen = np.zeros((len(terms), rank)), 0
         for batch in batches:
             ids, sizes = term_ids(list(batch["text"]), terms)
@@ -266,7 +269,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
 
 
 #: Latent dimensions: ``rank`` of the corpus, completed by the items' own up to ``latent``.
-OPTIONS = {"chunk_items": 1024, "rank": 32, "latent": 256, "cosine": 0.35, "lcs": 0.6, "answer": 0.5, "seed": 11}
+OPTIONS = {"chunk_items": 1024, "rank": 32, "latent": 256, "cosine": 0.4, "lcs": 0.6, "answer": 0.5, "seed": 11}
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
@@ -274,7 +277,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     """``id, item_id, cosine, lcs, answer, first_word``: every benchmark item found in a document.
 
     All passages of all texts are compared with all items of about their length: an upper bound on
-    the cosine drops passages with little weight on the items' terms, the cosine in the latent space
+    the cosine drops passages whose words add too little to any item, the cosine in the latent space
     picks candidates, and the shares of the item's words and of its answer (its last sentence) that
     the passage holds in order confirm them. Term weights and the space come from all documents.
     Null, empty and wordless texts and items match nothing; repeated rows are found alike; items
@@ -285,6 +288,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     for index in _indexes(docs, benchmark, item_col, text_col, **{**OPTIONS, **options}):
         def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
+            fresh_worker()
             for batch in batches:
                 ids = batch["id"].astype("Int64")
                 hits = index.search(list(batch["text"]))
@@ -300,6 +304,7 @@ def _clean(index: Index):
     """A column function: true where no item of the index is found."""
     @F.pandas_udf("boolean")
     def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fresh_worker()
         for batch in texts:
             flags = np.ones(len(batch), bool)
             flags[[hit[0] for hit in index.search(list(batch))]] = False
