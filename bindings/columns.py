@@ -154,6 +154,8 @@ def unescape_sql(x: str) -> str:
     return x
 
 
+_PARAGRAPH = (r"regexp_replace(regexp_replace(p, '(?is)</(?:p|article|section|div|body)\s*>.*', ''), "
+              r"'<[^>]*>', ' ', 'g')")
 PAGES = rf"""cleaned AS (SELECT page_id, url, {_CLEAN} AS html FROM pages),
   block AS (SELECT page_id, tag, unnest(regexp_extract_all(html,
         '(?is)<' || tag || '(?:\s[^>]*)?>(.*?)</' || tag || '\s*>', 1)) AS body,
@@ -166,7 +168,7 @@ PAGES = rf"""cleaned AS (SELECT page_id, url, {_CLEAN} AS html FROM pages),
   line AS (SELECT page_id, list(string_split(body, chr(10)) ORDER BY tag, nth) AS parts FROM joined_nodes GROUP BY page_id),
   blocks AS (SELECT page_id, url, list_concat(
       list_transform(regexp_split_to_array(html, '(?i)<p(?:\s[^>]*)?>')[2:],
-        lambda p: {unescape_sql("regexp_replace(regexp_replace(p, '(?is)</(?:p|article|section|div|body)\s*>.*', ''), '<[^>]*>', ' ', 'g')")}),
+        lambda p: {unescape_sql(_PARAGRAPH)}),
       coalesce(flatten(line.parts), [])) AS parts FROM cleaned LEFT JOIN line USING (page_id)),
   raw AS (SELECT page_id, url, unnest(parts) AS piece, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS pos
           FROM blocks),
