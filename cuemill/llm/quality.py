@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import bounded_batches, utf8, written
+from cuemill.llm.common import bounded_batches, fresh_worker, utf8, written
 
 
 def features(text: str | None) -> np.ndarray:
@@ -71,6 +71,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
               .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(max_labelled))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fresh_worker()
         for batch in batches:
             yield pd.DataFrame({"id": batch["id"], "y": batch["y"],
                                 "x": [features(t).tobytes() for t in batch["text"]]})
@@ -90,6 +91,7 @@ def with_evidence(docs: DataFrame, model: Logistic | None, text_col: str, name:
 
     @F.pandas_udf("double")
     def evidence(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fresh_worker()
         for batch in texts:
             if model is None:
                 yield pd.Series(np.zeros(len(batch)))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import bounded_batches, tasks, utf8, written
+from cuemill.llm.common import bounded_batches, fresh_worker, tasks, utf8, written
 from cuemill.llm.components import components
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -43,6 +43,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fresh_worker()
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch["text"]], dtype=np.uint64)
             yield pd.DataFrame({"id": batch["id"], "fp": fps.view(np.int64)})

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import BATCH_ROWS, bounded_batches, tasks
+from cuemill.llm.common import BATCH_ROWS, KEPT, bounded_batches, tasks
 
 MAGIC = b"TIDS"
 HEADER = struct.Struct("<4sHHQQqQQ")  # magic, version, id width, documents, ids, first id, 2 sizes
@@ -185,9 +185,8 @@ class Encoder:
             return self._encode(texts)
         for kept in (self.words, self.pieces):
             if len(kept) > self.CACHED:  # the older half goes
-                late = list(islice(kept.items(), len(kept) // 2, None))
-                kept.clear()
-                kept.update(late)
+                for key in list(islice(kept, len(kept) // 2)):
+                    del kept[key]
         whole = [loose_blank(t) or any(s in t for s in self.special) for t in texts]
         split = [[t] if w else t.split(" ") for t, w in zip(texts, whole)]
         heads = self._encode([parts.pop(0) for parts in split])
@@ -199,11 +198,14 @@ class Encoder:
         return [head + b"".join(map(get, parts)) for head, parts in zip(heads, split)]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+KEPT.append(encoder.cache_clear)
+
+
 def pack_shard(doc_ids: list[int], bodies: list[bytes], dtype: np.dtype) -> bytes:
     """One shard: header, coded document ids, coded boundaries, ids."""
     ids = EliasFano.encode(np.array(doc_ids, dtype=np.int64) - doc_ids[0])
