@@ -39,12 +39,15 @@ def window_prints(raw: np.ndarray, width: int) -> np.ndarray:
 class Block:
     """The texts of one range of ids in order, without later copies, as one string of bytes."""
 
-    def __init__(self, rows: pd.DataFrame, copies: set, width: int):
+    def __init__(self, rows: pd.DataFrame, copies: dict[int, set[bytes]], width: int):
+        """``copies``: by id the SHA-256 of texts that an earlier block has whole."""
         texts = [utf8(t) for t in rows["text"]]
         order = sorted(range(len(texts)), key=lambda i: (rows["id"].iat[i], texts[i]))
         self.ids = [int(rows["id"].iat[i]) for i in order]
         self.texts = [texts[i] for i in order]
-        self.copy = np.array([i in copies for i in self.ids], bool)
+        known = {t for i, t in zip(self.ids, self.texts)
+                 if i in copies and hashlib.sha256(t).digest() in copies[i]}
+        self.copy = np.array([t in known for t in self.texts], bool)
         sizes = np.array([0 if c else len(t) for t, c in zip(self.texts, self.copy)], np.int64)
         self.raw = np.frombuffer(b"".join(t for t, c in zip(self.texts, self.copy) if not c), np.uint8)
         self.width, self.ends = width, np.cumsum(sizes)
@@ -191,21 +194,26 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Samples only choose candidates, so a chance match costs work, not a byte: 13 bits beyond the
     # number of positions leave one in 8192.
     bits = min(64, max(32, int(size).bit_length() + 10))
-    # Later copies of whole texts, by hash; the first of each stays.
+    # Later copies of whole texts, by hash. One row per block and text: what repeats inside a block is
+    # found there, so a text in a third of all rows is a row per block here.
     prints = placed.where(F.octet_length("text") >= width).select(
         "id", "block", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("h"))
-    first = prints.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = written(prints.join(first, "h").where("id > first").select("block", "id"), "copies")
+    prints = prints.groupBy("h", "block").agg(F.min("id").alias("id"))
+    first = prints.groupBy("h").agg(F.min("block").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = written(prints.join(first, "h").where("block > first").select("block", "id", "h"), "copies")
     based = placed.repartition(n, "block")
     columns = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][:6 if with_text else 5]
     schema = ", ".join(f"`{c}` {kind}" for c, kind in zip(columns, ("long", "long", "long", "long", "string", "binary")))
 
-    # What a block gets back in any step: ids of copies (kind 0), bit maps (kinds 1 and 2).
+    # What a block gets back in any step: hash and id of copies (kind 0), bit maps (kinds 1 and 2).
     known = copies.select("block", F.lit(0).alias("kind"), F.lit(0).alias("bucket"),
-                          F.col("id").cast("string").cast("binary").alias("bits"))
+                          F.concat("h", F.col("id").cast("string").cast("binary")).alias("bits"))
 
     def block_of(group: pd.DataFrame, back: pd.DataFrame) -> Block:
-        return Block(group, {int(b) for b in back.loc[back["kind"] == 0, "bits"]}, width)
+        found: dict[int, set[bytes]] = {}
+        for b in back.loc[back["kind"] == 0, "bits"]:
+            found.setdefault(int(b[32:]), set()).add(bytes(b[:32]))
+        return Block(group, found, width)
 
     def shared_of(block: Block, back: pd.DataFrame) -> np.ndarray:
         at, prints = block.samples(bits)

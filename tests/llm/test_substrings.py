@@ -37,7 +37,7 @@ def corpus(seed):
     rows += [(1000 + i, rows[3][1], "x") for i in range(40)]  # whole copies
     rows += [(2000 + i, rows[5][1][:50] + "!" + rows[5][1][51:], "x") for i in range(20)]  # near copies
     rows += [(3000, None, "x"), (3001, "", "x"), (3002, "short", "x"), (3003, "short", "x"), (None, rows[3][1], "x"),
-             (14, rows[2][1], "x"), (21, "another text with the same id " + shared[0], "x")]
+             (14, rows[2][1], "x"), (1005, "no copy, but a new text under an id whose other text is one " * 3, "x"), (21, "another text with the same id " + shared[0], "x")]
     return rows
 
 
