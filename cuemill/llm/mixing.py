@@ -85,8 +85,7 @@ def shard_quotas(blocks: DataFrame, n_shards: int, seed: int) -> DataFrame:
             "source_no, d.got AS n_blocks)), d -> d.n_blocks > 0) AS c), struct(node * 2 + 1 AS "
             "node, filter(transform(drawn, d -> struct(d.source_no AS source_no, d.n_blocks - d.got "
             "AS n_blocks)), d -> d.n_blocks > 0) AS c))")).alias("x")).select("x.*")
-        # One branch a level: the children must not draw again for their own sums.
-        node = written(node.repartition(tasks(blocks), "node"), "tree")
+        node = node.repartition(tasks(blocks), "node")  # a level's nodes draw side by side
     return node.select((F.col("node") - n_shards).alias("shard"), F.explode("c").alias("x")).select(
         F.col("x.source_no").alias("source_no"), "shard", F.col("x.n_blocks").alias("quota"))
 
