@@ -230,8 +230,8 @@ def latent_basis(docs: DataFrame, text_col: str, terms: dict[bytes, int], idf: n
     return u
 
 
-def build_index(docs: DataFrame, items: list[tuple], text_col: str, *, rank: int, latent: int, cosine: float,
-                lcs: float, answer: float, seed: int) -> Index | None:
+def build_index(docs: DataFrame, items: list[tuple], text_col: str, *, rank: int, cosine: float, lcs: float,
+                answer: float, seed: int) -> Index | None:
     """Index of a bounded list of items (id, text); their terms are the columns of the matrix."""
     listed = [(i, w, answer_of(t)) for i, t in items if (w := words_of(t))]
     terms = {w: k for k, w in enumerate(sorted({w for _, words, _ in listed for w in words}))}
@@ -245,8 +245,10 @@ def build_index(docs: DataFrame, items: list[tuple], text_col: str, *, rank: int
     for r, (_, words, _) in enumerate(listed):
         np.add.at(own[r], [terms[w] for w in words], 1.0)
     own *= idf
+    # No direction is cut: an item outside the space would lose even its verbatim passages to the
+    # weight of the unknown words around it.
     basis = np.linalg.svd(np.concatenate([basis * np.linalg.norm(own, axis=1).mean(), own.T], axis=1),
-                          full_matrices=False)[0][:, :latent]
+                          full_matrices=False)[0]
     placed = own @ basis
     placed /= np.linalg.norm(placed, axis=1, keepdims=True) + 1e-12
     spans = np.array([max(2, round(len(w) / GRID)) for _, w, _ in listed])
@@ -256,10 +258,12 @@ def build_index(docs: DataFrame, items: list[tuple], text_col: str, *, rank: int
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, chunk_items: int,
-             **options) -> Iterator[Index]:
-    """One index per chunk of the benchmark: a worker holds at most about ``chunk_items`` items."""
+             latent: int, **options) -> Iterator[Index]:
+    """One index per chunk of the benchmark: a worker holds at most about ``chunk_items`` items, and
+    no more than the ``latent`` directions have room for beside the corpus's own."""
     bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    chunk_items = max(1, min(chunk_items, latent - options["rank"]))
     chunks = max(1, -(-items.count() // chunk_items))
     for k in range(chunks):
         part = items.where(F.pmod(F.xxhash64("text", "id"), F.lit(chunks)) == k).collect()
@@ -268,7 +272,7 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
             yield index
 
 
-#: Latent dimensions: ``rank`` of the corpus, completed by the items' own up to ``latent``.
+#: Latent dimensions: ``rank`` of the corpus, completed by one per item of the chunk, about ``latent`` in all.
 OPTIONS = {"chunk_items": 1024, "rank": 32, "latent": 256, "cosine": 0.35, "lcs": 0.6, "answer": 0.5, "seed": 11}
 
 

@@ -146,3 +146,27 @@ def test_decontamination(spark):
     assert benchmark_matches(docs.limit(0), bench).count() == 0
     assert benchmark_matches(docs, bench.limit(0)).count() == 0
     assert decontaminate(docs, bench.limit(0)).count() == len(rows)
+
+
+def rare_words_benchmark(seed, n_items, low, high):
+    """Items that share few words, and as many documents that hold one each, word for word."""
+    rng = random.Random(seed)
+
+    def text(n):
+        return [f"w{rng.randrange(50_000)}" for _ in range(n)]
+
+    items = [(i, " ".join(text(rng.randrange(low, high)))) for i in range(n_items)]
+    rows = []
+    for i, item in items:
+        around, at = text(100), rng.randrange(101)
+        rows.append((i, " ".join([*around[:at], item, *around[at:]])))
+    return items, rows
+
+
+@pytest.mark.parametrize("n_items", [400, 1024])
+def test_verbatim_items_of_large_benchmarks(spark, n_items):
+    items, rows = rare_words_benchmark(5, n_items, 14, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = benchmark_matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    missed = {i for i, _ in items} - {r.item_id for r in got if r.doc_id == r.item_id}
+    assert len(missed) == 0
