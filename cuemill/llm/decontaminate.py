@@ -14,6 +14,8 @@ from cuemill.llm.common import bounded_batches, distinct, fresh_worker, utf8
 
 #: Words per passage of the factorised matrix, and the grid on which passages start.
 PASSAGE, GRID = 32, 8
+#: Words in a row that make a quote: half of an item, but at least and at most so many, or all of a short item.
+QUOTE = 8, 16
 #: Lower-cases A-Z, blanks ASCII punctuation, keeps letters, digits and bytes beyond ASCII.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
               for b in range(256))
@@ -56,6 +58,21 @@ def answer_of(text: str | None) -> list[bytes]:
     return raw.translate(TABLE).split()
 
 
+def quote_length(n: int) -> int:
+    return min(n, max(QUOTE[0], min(QUOTE[1], -(-n // 2))))
+
+
+def window_length(n: int) -> int:
+    """Words of the passages that are compared with an item of n words: whole grid steps, or, as
+    foreign words would outweigh a short item, its own length."""
+    return round(n / GRID) * GRID if n >= 3 * GRID // 2 else n
+
+
+def window_step(length: int) -> int:
+    """Words between the starts of such passages."""
+    return GRID if length >= 2 * GRID else max(1, length // 4)
+
+
 @dataclass
 class Index:
     """The items' vectors in the latent space, and all that a worker needs to search a text."""
@@ -68,16 +85,25 @@ class Index:
     item_ids: list
     item_words: list[list[bytes]]
     answers: list[list[bytes]]
-    spans: np.ndarray  # passage length of each item, in grid steps
+    spans: np.ndarray  # passage length of each item, in words
     cosine: float
     lcs: float
     answer: float
     by_span: dict[int, np.ndarray] = field(default_factory=dict)
+    quotes: dict[int, dict[bytes, list]] = field(default_factory=dict)  # words in a row -> (item, place) by length
 
     def __post_init__(self):
         self.by_span = {int(s): np.flatnonzero(self.spans == s) for s in np.unique(self.spans)}
         # The most that one word can add to a passage's product with any item.
         self.most = np.maximum((self.basis @ self.items.T).max(axis=1, initial=0.0), 0.0).astype(np.float64)
+        pairs = [np.zeros(0, np.int64)]
+        for j, words in enumerate(self.item_words):
+            item = np.array([self.terms[w] for w in words], np.int32)
+            n = quote_length(len(item))
+            pairs.append(item[:-1] * np.int64(len(self.terms)) + item[1:])
+            for a in range(len(item) - n + 1):
+                self.quotes.setdefault(n, {}).setdefault(item[a:a + n].tobytes(), []).append((j, a))
+        self.pairs = distinct(np.concatenate(pairs))
 
     def search(self, texts: list[str | None]) -> list[tuple]:
         """(text, item id, cosine, lcs share, answer share, first word) of the confirmed passages."""
@@ -89,8 +115,8 @@ class Index:
         rest = np.concatenate([[0], np.cumsum(~known)])
         # Passages start on the grid of each text, the last one at its end minus its length.
         for span, own in self.by_span.items():
-            length = span * GRID
-            starts = np.concatenate([np.append(np.arange(e - n, max(e - n + 1, e - length), GRID), max(e - n, e - length))
+            length, step = span, window_step(span)
+            starts = np.concatenate([np.append(np.arange(e - n, max(e - n + 1, e - length), step), max(e - n, e - length))
                                      for n, e in zip(sizes, ends) if n] or [np.zeros(0, np.int64)])
             starts = distinct(starts)
             text = np.searchsorted(ends, starts, side="right")
@@ -115,12 +141,15 @@ class Index:
                 for i, j in zip(*np.nonzero(cos >= self.cosine)):
                     self._verify(texts, ids, sizes, ends, int(text[some[i]]), int(starts[some[i]]), int(own[j]),
                                  float(cos[i, j]), found)
+        self._quoted(ids, sizes, ends, found)
         return [(t, self.item_ids[j], *rest) for (t, j), rest in found.items()]
 
     def _verify(self, texts, ids, sizes, ends, t, start, j, cos, found) -> None:
         """Word order and answer decide about a candidate; the best passage of a pair stays."""
         begin, n = int(ends[t] - sizes[t]), len(self.item_words[j])
-        low, high = max(begin, start - GRID), min(int(ends[t]), start + int(self.spans[j]) * GRID + GRID)
+        span = int(self.spans[j])
+        step = window_step(span)
+        low, high = max(begin, start - step), min(int(ends[t]), start + span + step)
         # Terms stand for words here: words that no item has cannot match.
         item = [self.terms[w] for w in self.item_words[j]]
         window = ids[low:high].tolist()
@@ -135,6 +164,52 @@ class Index:
             found[t, j] = (cos, lcs, hit, low - begin)
 
 
+    def _quoted(self, ids, sizes, ends, found) -> None:
+        """Adds the pairs that have a quote, whatever its cosine and answer; words in a row prove it.
+
+        A quote is a run of words each of which follows the one before in some item, too; few runs
+        are long enough to be looked up.
+        """
+        if not len(ids):
+            return
+        linked = np.zeros(len(ids) + 1, np.int8)  # from each word to the one behind it
+        both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+        if len(self.pairs):
+            code = ids[both] * np.int64(len(self.terms)) + ids[both + 1]
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            linked[both[self.pairs[at] == code]] = 1
+        linked[ends[sizes > 0] - 1] = 0
+        edges = np.diff(linked, prepend=0)
+        first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        long = last - first + 1 >= min(self.quotes)
+        runs = list(zip(first[long].tolist(), (last[long] + 1).tolist()))
+        if 1 in self.quotes:
+            alone = np.array([np.frombuffer(k, np.int32)[0] for k in self.quotes[1]])
+            runs += [(i, i + 1) for i in np.flatnonzero(np.isin(ids, alone)).tolist()]
+        best: dict[tuple, tuple] = {}
+        seen = set()
+        for a, b in runs:
+            t = int(np.searchsorted(ends, a, side="right"))
+            begin, end = int(ends[t] - sizes[t]), int(ends[t])
+            for n, quotes in self.quotes.items():
+                for p in range(a, b - n + 1):
+                    for j, place in quotes.get(ids[p:p + n].tobytes(), ()):
+                        start, size = p - place, len(self.item_words[j])
+                        if (t, j) in found or (t, j, start) in seen or best.get((t, j), (0, 0))[1] == 1:
+                            continue
+                        seen.add((t, j, start))
+                        low, high = max(begin, start), min(end, start + size)
+                        window = ids[low:high].tolist()
+                        lcs = lcs_length([self.terms[w] for w in self.item_words[j]], window) / size
+                        if (t, j) not in best or lcs > best[t, j][1]:
+                            hit = lcs_length([self.terms[w] for w in self.answers[j]], window) / len(self.answers[j])
+                            known = ids[low:high][ids[low:high] >= 0]
+                            latent = self.basis[known].sum(axis=0)
+                            norm = np.sqrt((latent ** 2).sum() + self.oov * (high - low - len(known))) + 1e-9
+                            best[t, j] = (float(latent @ self.items[j] / norm), lcs, hit, low - begin)
+        found.update(best)
+
+
 def document_frequencies(docs: DataFrame, text_col: str, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
     """Passages that hold each term, and passages: summed per task, then by slices of the terms."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,7 +326,7 @@ def build_index(docs: DataFrame, items: list[tuple], text_col: str, *, rank: int
                           full_matrices=False)[0]
     placed = own @ basis
     placed /= np.linalg.norm(placed, axis=1, keepdims=True) + 1e-12
-    spans = np.array([max(2, round(len(w) / GRID)) for _, w, _ in listed])
+    spans = np.array([window_length(len(w)) for _, w, _ in listed])
     return Index(terms, idf, float((np.log(n + 1) + 0.05) ** 2), (idf[:, None] * basis).astype(np.float32),
                  placed.astype(np.float32), [i for i, _, _ in listed], [w for _, w, _ in listed],
                  [a for _, _, a in listed], spans, cosine, lcs, answer)
@@ -283,7 +358,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     All passages of all texts are compared with all items of about their length: an upper bound on
     the cosine drops passages whose words add too little to any item, the cosine in the latent space
     picks candidates, and the shares of the item's words and of its answer (its last sentence) that
-    the passage holds in order confirm them. Term weights and the space come from all documents.
+    the passage holds in order confirm them. A quote needs neither: an item of up to 8 words that is
+    there word for word, or half of a longer one in a row (8 to 16 words), is always found. Term weights and the space come from all documents.
     Null, empty and wordless texts and items match nothing; repeated rows are found alike; items
     that share an id are searched each and give a row each. No partners are capped.
     """
@@ -297,7 +373,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
                 ids = batch["id"].astype("Int64")
                 hits = index.search(list(batch["text"]))
                 out = pd.DataFrame(hits, columns=["t", item_col, "cosine", "lcs", "answer", "first_word"])
-                out.insert(0, id_col, ids.iloc[out.pop("t").astype(int)].to_numpy() if len(out) else [])
+                out.insert(0, id_col, ids.iloc[out.pop("t").astype(int)].to_numpy())
                 yield out.astype({id_col: "Int64", item_col: "Int64"})
 
         found = found.union(rows.mapInPandas(run, schema))

@@ -170,3 +170,31 @@ def test_verbatim_items_of_large_benchmarks(spark, n_items):
     got = benchmark_matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     missed = {i for i, _ in items} - {r.item_id for r in got if r.doc_id == r.item_id}
     assert len(missed) == 0
+
+
+def test_short_items_and_partial_quotes(spark):
+    """Ordinary words among rare ones; a half, or all but the last sentence, of long items."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(300)]
+    around = lambda n: [f"r{rng.randrange(10**6)}" for _ in range(n)]
+    short = [rng.choices(common, k=rng.randrange(4, 9)) for _ in range(60)]
+    long = [rng.choices(common, k=rng.randrange(40, 60)) for _ in range(20)]
+    ask = [rng.choices(common, k=12) for _ in range(20)]
+    items = [(i, " ".join(w)) for i, w in enumerate(short)] + [(100 + i, " ".join(w)) for i, w in enumerate(long)]
+    items += [(200 + i, " ".join(w) + ". Which is it now?") for i, w in enumerate(ask)]
+    rows = [(i, w) for i, w in enumerate(short)] + [(100 + i, w[len(w) // 2:]) for i, w in enumerate(long)]
+    rows += [(200 + i, w) for i, w in enumerate(ask)]
+    rows += [(300 + i, w[:7]) for i, w in enumerate(long)]  # too little of them
+    rows = [(i, " ".join([*around(40), *w, *around(40)])) for i, w in rows]
+    rows += [(1000 + i, " ".join(rng.sample(common, 150) + around(150))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = benchmark_matches(docs, bench).collect()
+    assert len(got) == len({(r.doc_id, r.item_id) for r in got})
+    missed = {i for i, _ in items} - {r.item_id for r in got if r.doc_id == r.item_id}
+    assert len(missed) == 0, sorted(missed)
+    assert not [r for r in got if 300 <= r.doc_id < 1000]
+    assert {r.doc_id for r in decontaminate(docs, bench).collect()}.isdisjoint(i for i, _ in items)
+    one = spark.createDataFrame([(1, "a word"), (2, "word"), (3, "sword")], docs.schema)
+    word = spark.createDataFrame([(7, "Word!"), (8, "a word")], bench.schema)
+    assert {(r.doc_id, r.item_id) for r in benchmark_matches(one, word).collect()} == {(1, 7), (1, 8), (2, 7)}
