@@ -6,14 +6,13 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.llm.common import bounded_batches, distinct, pack_sorted, tasks, unpack_sorted, utf8, written
 
 #: A planar difference set: every residue modulo 57 but 0 is a difference of two members once.
 PERIOD, COVER = 57, (1, 6, 7, 9, 19, 38, 42, 49)
-CELLS = 4096
 
 
 def window_prints(raw: np.ndarray, width: int) -> np.ndarray:
@@ -143,27 +142,46 @@ def _marked(keys: np.ndarray, back: pd.DataFrame, kind: int, buckets: int, bits:
 
 
 def _with_blocks(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """Adds ``block``: consecutive id ranges of about ``block_bytes``, rising with the id.
+    """Adds ``block``: rows in the order of id and text, cut by the running sum of their bytes.
 
-    Bytes are summed in ``CELLS`` equal id ranges, at most that many rows, which is all that reaches
-    the driver and is broadcast; inside a cell ids are taken to be even. Also returns all bytes.
+    Nothing is assumed about the ids. Bytes are summed per id, ids are dealt to ranges, and sums run
+    inside each range behind those of the ranges before. The driver gets one sum per range and one id
+    per block. An id of more than ``block_bytes`` is cut by a running sum in the order of its texts:
+    a sort that can spill, but one task per such id. Also returns all bytes.
     """
-    low, high = rows.agg(F.min("id"), F.max("id")).first()
-    if low is None:
-        return rows.withColumn("block", F.lit(0).cast("long")), 0
-    wide = float((high - low) // CELLS + 1)
-    along = F.col("id").cast("double") - F.lit(float(low))
-    cell = F.floor(along / F.lit(wide)).cast("int")
     length = F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(1)
-    sums = dict(rows.groupBy(cell.alias("c")).agg(F.sum(length).alias("n")).collect())
+    ids = rows.groupBy("id").agg(F.sum(length).alias("n"))
+    # Written, as the borders of the ranges are drawn anew by each job.
+    ids = written(ids.repartitionByRange(tasks(rows), "id").withColumn("part", F.spark_partition_id()), "ids")
+    sums = {r.part: (r.low, r.n) for r in ids.groupBy("part").agg(F.min("id").alias("low"), F.sum("n").alias("n")).collect()}
     before, table = 0, []
-    for c in sorted(sums):
-        table.append((c, float(before), float(sums[c])))
-        before += sums[c]
-    cells = rows.sparkSession.createDataFrame(table, "c int, before double, n double")
-    inside = F.least(F.greatest(along / F.lit(wide) - F.col("c"), F.lit(0.0)), F.lit(1.0))
-    return rows.withColumn("c", cell).join(F.broadcast(cells), "c").withColumn("block", F.floor(
-        (F.col("before") + inside * F.col("n")) / F.lit(float(block_bytes))).cast("long")).drop("c", "before", "n"), before
+    for part, (_, n) in sorted(sums.items(), key=lambda x: x[1][0]):
+        table.append((part, before))
+        before += n
+    if not table:
+        return rows.withColumn("block", F.lit(0).cast("long")), 0
+    parts = rows.sparkSession.createDataFrame(table, "part int, start long")
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("id")) - F.col("n")
+    ids = ids.withColumn("inside", inside).join(F.broadcast(parts), "part").withColumn("before", F.col("start") + F.col("inside"))
+    block = F.floor(F.col("before") / F.lit(block_bytes)).cast("long")
+    marks = ids.groupBy(block.alias("block")).agg(
+        F.min("id").alias("low"), F.max(F.when(F.col("n") > block_bytes, F.struct("id", "before"))).alias("big")).collect()
+    marks.sort(key=lambda r: r.low)
+    lows, numbers = np.array([r.low for r in marks], np.int64), np.array([r.block for r in marks], np.int64)
+
+    @F.pandas_udf("long")
+    def block_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(numbers[np.searchsorted(lows, ids.to_numpy(), side="right") - 1])
+
+    # The sum of a big id passes a block's end, so it is the last of its block.
+    big = [(r.big.id, r.big.before) for r in marks if r.big]
+    if not big:
+        return rows.withColumn("block", block_of("id")), before
+    big = F.broadcast(rows.sparkSession.createDataFrame(big, "id long, before long"))
+    own = F.sum(length).over(Window.partitionBy("id").orderBy("text").rowsBetween(Window.unboundedPreceding, 0)) - length
+    cut = rows.join(big, "id").withColumn("block", F.floor((F.col("before") + own) / F.lit(block_bytes)).cast("long"))
+    whole = rows.join(big, "id", "left_anti").withColumn("block", block_of("id"))
+    return whole.select("id", "text", "block").union(cut.select("id", "text", "block")), before
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -173,13 +191,14 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A byte goes if some ``width``-byte string that covers it also starts earlier (in a smaller id,
     or before in the same text). Strings never cross texts; they are judged on the input.
 
-    Texts are cut into blocks of consecutive ids. (1) Blocks send the fingerprints of their
+    Texts are cut into blocks of consecutive ids, an id of more than ``block_bytes`` by its texts. (1) Blocks send the fingerprints of their
     difference-cover samples; each bucket of the key order is sorted by itself and marks the samples
     that several blocks share. (2) Only suffixes with a shared sample within a period, the long
     ties, are keyed by their first ``width`` bytes, each key once per block, and again sorted one
     bucket at a time; a key's first block keeps it. (3) Blocks remove what is marked. A string in a
     third of all rows is one key per block, and whole copies are found before by their hash and
-    send nothing. A task holds one block or one bucket, whatever the input. All three steps read one
+    send nothing. A task holds one block or one bucket, whatever the input; a block ends with the id
+    or, in a repeated id, the text that passes ``block_bytes``. All three steps read one
     shuffle of the texts; only packed keys and bit maps move besides.
 
     Null texts are empty. Rows without an id are left out. Rows that share an id are ordered by

@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from cuemill.llm.common import pack_sorted, unpack_sorted
-from cuemill.llm.substrings import COVER, PERIOD, substring_dedup, window_prints
+from cuemill.llm.substrings import COVER, PERIOD, _with_blocks, substring_dedup, window_prints
 
 
 def brute(rows, width):
@@ -75,3 +75,22 @@ def test_empty(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = substring_dedup(spark.createDataFrame([(1, None)], "doc_id long, text string"), with_text=False).collect()
     assert [tuple(r) for r in one] == [(1, 0, 0, 0, hashlib.sha256(b"").hexdigest())]
+
+
+def test_blocks_are_bounded_whatever_the_ids(spark):
+    rows = corpus(3)
+    dealt = [(None if i is None else (k % 3 << 33) + k, t, x) for k, (i, t, x) in enumerate(rows)]  # as by partition
+    far = [(-2**62, "far " * 60, "x"), *dealt, (2**62, "far " * 60, "x")]
+    one = [(None if i is None else 5 if k % 2 else i, t, x) for k, (i, t, x) in enumerate(rows)]  # a repeated id
+    for rows in (dealt, far, one):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(5)
+        placed, size = _with_blocks(docs.selectExpr("doc_id AS id", "text").where("id IS NOT NULL"), 2000)
+        blocks, last = {}, -1
+        for r in sorted(placed.collect(), key=lambda r: (r.id, (r.text or "").encode())):
+            assert r.block >= last
+            last = r.block
+            blocks[r.block] = blocks.get(r.block, 0) + len((r.text or "").encode()) + 1
+        longest = max(len((t or "").encode()) for _, t, _ in rows)
+        assert sum(blocks.values()) == size and max(blocks.values()) <= 2000 + longest + 1
+        got = substring_dedup(docs, block_bytes=2000, with_text=False).collect()
+        assert sorted(tuple(r) for r in got) == brute(rows, 100)
