@@ -210,8 +210,8 @@ def label_external_news_(spark, sf):
         F.col("text").alias("Article"), F.col("lang").alias("Publisher"),
         F.concat(F.lit("https://"), "source").alias("Url"))
     path = scratch_path(spark, "external")
-    raw.filter("Publisher <> 'en'").write.parquet(f"{path}/a")
-    write_csv(raw.filter("Publisher = 'en'"), f"{path}/b")
+    raw.filter("NOT (Publisher <=> 'en')").write.parquet(f"{path}/a")
+    write_csv(raw.filter("Publisher <=> 'en'"), f"{path}/b")
     return load_external_news(spark, [f"{path}/absent", path], CUES)
 
 

@@ -56,7 +56,7 @@ def scan_csv(spark, sf):
 @query("scan_csv_encoding", ALL_DOCUMENTS)
 def scan_csv_encoding(spark, sf):
     docs = table(spark, sf, "documents")
-    latin = (F.col("lang") != "en") & ~F.col("text").rlike(r"[^\x00-\xff]")
+    latin = F.coalesce((F.col("lang") != "en") & ~F.col("text").rlike(r"[^\x00-\xff]"), F.lit(False))
     path = scratch_path(spark, "csv-encoding")
     write_csv(docs.filter(~latin), f"{path}/a")
     write_csv(docs.filter(latin), f"{path}/b", encoding="ISO-8859-1")
@@ -88,7 +88,7 @@ def scan_folder_mixed(spark, sf):
     path = scratch_path(spark, "mixed")
     docs.filter("lang = 'en'").write.parquet(f"{path}/a")
     write_csv(docs.filter("lang = 'fr'"), f"{path}/b")
-    docs.filter("lang NOT IN ('en', 'fr')").write.json(f"{path}/c")
+    docs.filter("lang IS NULL OR lang NOT IN ('en', 'fr')").write.json(f"{path}/c")
     return read_mixed(spark, [f"{path}/absent", path], DOCUMENTS, DOCUMENTS)
 
 

@@ -153,3 +153,19 @@ def test_scratch_folder_is_the_shared_one():
     assert os.path.isdir(os.path.dirname(scratch_path(_Session(None, "local[2]"), "x")))
     with pytest.raises(RuntimeError):
         scratch_path(_Session(None, "yarn"), "x")
+
+
+def test_rows_without_a_language_go_to_one_part(spark, tmp_path):
+    from bindings import corpus, sources  # noqa: F401
+    from bindings.common import QUERIES
+
+    rows = [(1, "An English text, long enough.", "en", "a", 29), (2, "Un texte assez long.", "fr", "b", 20),
+            (3, "Ein Text, lang genug.", "de", "c", 21), (4, "A text of no language.", None, "d", 22)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    lost = {}
+    for name in ("scan_folder_mixed", "scan_csv_encoding"):
+        lost[name] = set(rows) ^ {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select(docs.columns).collect()}
+    news = QUERIES["label_external_news"](spark, str(tmp_path)).select("sentence", "publisher").collect()
+    lost["label_external_news"] = {(r[1], r[2]) for r in rows} ^ {tuple(r) for r in news}
+    assert not any(lost.values()), lost
