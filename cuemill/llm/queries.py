@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from cuemill.llm.decontaminate import benchmark_matches
 from cuemill.llm.langid import language_id
 from cuemill.llm.licenses import license_scan
+from cuemill.llm.manifest import merkle_manifest
 from cuemill.llm.mixing import mix_plan
+from cuemill.llm.personal import personal_data
 from cuemill.llm.quality import quality_scores
 from cuemill.llm.simhash import simhash_components
+from cuemill.llm.spelling import spelling_variants
 from cuemill.llm.substrings import substring_dedup
 from cuemill.llm.tokens import read_token_documents, write_token_shards
 from cuemill.llm.topk import exact_topk
@@ -160,3 +163,90 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_token_shards(read(spark, sf_dir, "documents"), path,
                        public_tokenizers.path("byte_bpe_50k.json"))
     return read_token_documents(spark, path)
+
+
+# CRC-32 of a text of code points below U+0100, with the table of its 256 byte steps from the polynomial.
+CRC_TABLE = """crc AS MATERIALIZED (SELECT list(step ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS step FROM range(256) r(i)))"""
+
+
+def _crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8; the table is in scope as crc.t."""
+    octets = (f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] "
+              "ELSE [(192 | (ord(c) >> 6))::BIGINT, (128 | (ord(c) & 63))::BIGINT] END))")
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), "
+            "lambda a, b: xor(a >> 8, crc.t[(xor(a, b) & 255) + 1])))")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(read(spark, sf_dir, "documents"))
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+                                   for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, source, {_leaf_sql('text')} AS leaf, CASE WHEN {_crc_sql('doc_id::VARCHAR')} % 5 = 0
+        THEN {_leaf_sql(f"translate(text, '{UPPER}', '{LOWER}')")} END AS claim FROM documents, crc),
+p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY source) AS n,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+nodes AS (SELECT 0 AS lvl, g, n, pos AS idx, leaf AS h FROM p
+  UNION ALL SELECT lvl + 1, g, (n + 15) // 16, idx // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes
+    WHERE n > 1 GROUP BY lvl, g, n, idx // 16),
+upper_nodes AS (SELECT 0 AS lvl, (SELECT count(DISTINCT g) FROM p) AS n, g AS idx, h FROM nodes WHERE n = 1
+  UNION ALL SELECT lvl + 1, (n + 15) // 16, idx // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM upper_nodes
+    WHERE n > 1 GROUP BY lvl, n, idx // 16),
+depth AS (SELECT g, max(lvl) AS top FROM nodes GROUP BY g),
+-- A row's place among the nodes of each level, of its source's tree and of the tree above.
+own AS (SELECT p.g, p.pos, w.lvl AS k, p.pos // (16 ** w.lvl)::BIGINT AS mine, w.idx, w.h
+  FROM p JOIN nodes w ON w.n > 1 AND w.g = p.g AND w.idx // 16 = p.pos // (16 ** (w.lvl + 1))::BIGINT
+  UNION ALL SELECT p.g, p.pos, top + u.lvl, p.g // (16 ** u.lvl)::BIGINT, u.idx, u.h
+  FROM p JOIN depth USING (g) JOIN upper_nodes u ON u.n > 1 AND u.idx // 16 = p.g // (16 ** (u.lvl + 1))::BIGINT),
+steps AS (SELECT g, pos, k, coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx < mine), '') AS before,
+    coalesce(string_agg(h, '' ORDER BY idx) FILTER (idx > mine), '') AS after FROM own GROUP BY g, pos, k),
+fold AS (SELECT g, pos, 0 AS k, coalesce(claim, leaf) AS h FROM p
+  UNION ALL SELECT f.g, f.pos, f.k + 1, sha256(s.before || f.h || s.after) FROM fold f JOIN steps s USING (g, pos, k)),
+ends AS (SELECT g, pos, arg_max(h, k) AS h FROM fold GROUP BY g, pos),
+proof AS (SELECT g, pos, sha256(string_agg(before || after, '' ORDER BY k)) AS proof FROM steps GROUP BY g, pos),
+root AS (SELECT h FROM upper_nodes WHERE n = 1)
+SELECT doc_id, leaf, t.h AS subroot, root.h AS root, coalesce(proof, sha256('')) AS proof_sha256, ends.h AS folded_root,
+  ends.h = root.h AS verified
+FROM root, p JOIN ends USING (g, pos) LEFT JOIN proof USING (g, pos) JOIN nodes t ON t.g = p.g AND t.n = 1"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+# Near words by deletion: two words share what is left without the code point at one place, or one
+# is what is left of the other.
+ORACLES["op12_spelling_variants"] = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{UPPER}', '{LOWER}') AS run
+  FROM documents),
+own AS (SELECT doc_id, run, count(*) AS m FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, m, {_crc_sql("(doc_id || ':' || run)")} AS h FROM own, crc),
+slips AS (SELECT m, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % len(run))::BIGINT) || substr(run, (h % len(run))::BIGINT + 2)
+    ELSE run END AS word FROM hashed),
+w AS MATERIALIZED (SELECT word, sum(m)::BIGINT AS n FROM slips WHERE len(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(len(word))) AS i FROM w)),
+longer AS (SELECT DISTINCT cut.word AS a, cut.n AS an, w.word AS b, w.n AS bn FROM cut JOIN w ON cut.rest = w.word),
+near AS (SELECT DISTINCT a.word AS a, b.word AS b, b.n AS bn FROM cut a JOIN cut b USING (rest, i) WHERE a.word <> b.word
+  UNION ALL SELECT a, b, bn FROM longer UNION ALL SELECT b, a, an FROM longer),
+best AS (SELECT a, count(*) AS n_near, max(bn) AS most, arg_min(b, struct_pack(m := -bn, b := b)) AS b FROM near GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN b END AS form,
+    CASE WHEN most >= 2 * n THEN most END AS form_n FROM w LEFT JOIN best ON a = word),
+chain AS (SELECT word, word AS root, form AS onward FROM f
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN f ON c.onward = f.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN chain c ON c.word = f.word AND c.onward IS NULL"""
+
+
+@query
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"))

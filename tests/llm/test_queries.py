@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_has_a_query():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name, first", [
