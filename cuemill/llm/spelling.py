@@ -156,11 +156,14 @@ def near_pairs(words: DataFrame) -> DataFrame:
     lists = written(index.groupBy(*keys).agg(F.expr(f"cast((count(*) - 1) div {KEY_ROWS} + 1 as int)").alias("deals")), "keys")
     index = index.join(lists, keys).withColumn("deal", F.pmod(F.xxhash64("word"), F.col("deals")).cast("int")).alias("i")
     looked_up = looked_up.join(lists, keys).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).alias("p")
-    meets = (F.struct("p.last", "p.word") < F.struct("i.last", "i.word"))
+    meets = (F.col("p.last") < F.col("i.last")) | ((F.col("p.last") == F.col("i.last")) & (F.col("p.word") < F.col("i.word")))
+    # One edit leaves the first or the last half of the shorter word alone.
+    half = F.expr("least(length(p.word), i.size) div 2").cast("int")
+    halves = ((F.left("p.word", half) == F.left("i.word", half)) | (F.right("p.word", half) == F.right("i.word", half)))
     same = [F.col(f"p.{c}") == F.col(f"i.{c}") for c in (*keys, "deal")]
     near = F.levenshtein("p.word", "i.word", 1) == 1
     on = same[0]
-    for condition in (*same[1:], meets, near):
+    for condition in (*same[1:], meets, halves, near):
         on = on & condition
     return looked_up.join(index, on).select(
         F.col("p.word").alias("a"), F.col("p.n").alias("a_n"), F.col("i.word").alias("b"), F.col("i.n").alias("b_n")).distinct()
