@@ -4,18 +4,22 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from cuemill.operators.classify import (
+    _fit_all,
+    class_counts,
     cross_val_predict,
     fit_pipeline,
     linear_svm,
     logistic_regression,
     logreg_grid,
+    objective,
     score,
     svm_grid,
 )
-from cuemill.operators.features import term_stats, tfidf_fit, tfidf_model, tfidf_transform, top_vocabulary
+from cuemill.operators.features import fold_vocabularies, term_stats, tfidf_fit, tfidf_model, tfidf_transform, top_vocabulary
 from cuemill.operators.sampling import stratified_kfold
 from cuemill.operators.scoring import batch_predict, linear_head
 from cuemill.session import scratch_path
@@ -112,17 +116,17 @@ def test_logistic_regression_is_the_optimum(training):
 
 
 def test_grid_search_and_out_of_fold(training):
-    found = logreg_grid(training, Cs=(0.001, 10.0), k=3, max_iter=50)
+    found = logreg_grid(training, Cs=(0.001, 10.0), k=3, max_iter=40)
     table = found.frame(training).collect()
     assert len(table) == 4 and sum(r["best"] for r in table) == 1
     best = next(r for r in table if r["best"])
     assert best["mean_f1"] == max(r["mean_f1"] for r in table) > 0.8
     assert found.params == {"C": best["C"], "class_weight": best["class_weight"]}
 
-    out = cross_val_predict(training, logistic_regression, **found.params, k=3, max_iter=50)
+    out = cross_val_predict(training, logistic_regression, **found.params, k=3, max_iter=40)
     assert out.columns == [*training.columns, "prediction"] and out.count() == 60
     assert out.filter("label = prediction").count() >= 57
-    shared = cross_val_predict(training, logistic_regression, 10.0, None, k=3, max_iter=50,
+    shared = cross_val_predict(training, logistic_regression, 10.0, None, k=3, max_iter=40,
                                per_fold_vocabulary=False)
     assert shared.count() == 60
 
@@ -151,6 +155,56 @@ def test_linear_svm_separates(training):
     assert score(model, training).filter("label = prediction").count() >= 57
 
 
+def sums(training, fold=None):
+    """The features and signed labels of the rows outside a fold, with that fold's vocabulary."""
+    rows = training if fold is None else training.filter(F.col("fold") != fold)
+    found = tfidf_model(tfidf_fit(rows)).transform(rows).select("features", "label").collect()
+    return np.array([r["features"].toArray() for r in found]), np.array([2.0 * r["label"] - 1 for r in found])
+
+
+def test_squared_hinge_is_the_optimum(training):
+    """Against gradient descent on C · Σ w · max(0, 1 - margin)² + ½|b|², the intercept penalised too."""
+    for C, weighting in ((0.5, "balanced"), (10.0, None)):
+        model = fit_pipeline(training, linear_svm, C, weighting)
+        x, y = sums(training)
+        x = np.hstack([x, np.ones((len(x), 1))])
+        n1 = (y > 0).sum()
+        weight = np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * (len(y) - n1))) if weighting else np.ones(len(y))
+        w = np.zeros(x.shape[1])
+        rate = 1 / (1 + 2 * C * weight.max() * np.linalg.norm(x, 2) ** 2)
+        for _ in range(100_000):
+            w -= rate * (w - 2 * C * x.T @ (weight * np.maximum(0, 1 - y * (x @ w)) * y))
+        assert model.stages[-1].coefficients.toArray() == pytest.approx(w[:-1], abs=1e-3)
+        assert model.stages[-1].intercept == pytest.approx(w[-1], abs=1e-3)
+        at = objective(model, training, C, weighting)
+        assert at[2] < min(at[0], at[1], at[3])
+
+
+def test_stacked_fits_equal_single_ones(training):
+    """All fits of a grid, in few passes, against Spark's own solver fold by fold."""
+    params = [(0.1, None), (10.0, "balanced")]
+    own = fold_vocabularies(training, "fold", 3)
+    counts = [class_counts(training.filter(F.col("fold") != i), "label") for i in range(3)]
+    *_, tasks, fits, _ = _fit_all(training, logistic_regression, "text", "label", "fold", own, [0, 1, 2], [params] * 3, counts)
+    assert len(fits) == 6 and max(f.passes for f in fits) <= 15 and all(f.converged for f in fits)
+    for m, (task, fit) in enumerate(zip(tasks, fits)):
+        i, (C, weighting) = task.space, params[m % 2]
+        rows = tfidf_model(own[i]).transform(training.filter(F.col("fold") != i)).withColumn("label", F.col("label").cast("double"))
+        weight = F.when(F.col("label") == 1, task.weights[1]).otherwise(task.weights[0])
+        wanted = LogisticRegression(weightCol="w", regParam=1 / (C * rows.count()), standardization=False, maxIter=1000,
+                                    tol=1e-12).fit(rows.withColumn("w", weight))
+        assert fit.coefficients == pytest.approx(wanted.coefficients.toArray(), abs=1e-3)
+        assert fit.intercept == pytest.approx(wanted.intercept, abs=1e-3)
+
+
+def test_one_class_and_rows_without_terms(training):
+    only = training.withColumn("label", F.lit(1))
+    for loss in (logistic_regression, linear_svm):
+        assert score(fit_pipeline(only, loss, 1.0, "balanced"), only).filter("prediction = 1").count() == 60
+    blank = training.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")))
+    assert score(fit_pipeline(blank, linear_svm, 1.0, "balanced"), blank).filter("prediction is null").count() == 0
+
+
 def test_batch_predict(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(50, 4)).astype("float32")
