@@ -154,22 +154,27 @@ def unescape_sql(x: str) -> str:
     return x
 
 
-_PARAGRAPH = (r"regexp_replace(regexp_replace(p, '(?is)</(?:p|article|section|div|body)\s*>.*', ''), "
-              r"'<[^>]*>', ' ', 'g')")
+# Depth per element name by running sums; an element ends where its name's depth falls below its own, or
+# where an element around it ends.
+_VOID = "'area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr'"
 PAGES = rf"""cleaned AS (SELECT page_id, url, {_CLEAN} AS html FROM pages),
-  block AS (SELECT page_id, tag, unnest(regexp_extract_all(html,
-        '(?is)<' || tag || '(?:\s[^>]*)?>(.*?)</' || tag || '\s*>', 1)) AS body,
-      generate_subscripts(regexp_extract_all(html, '(?is)<' || tag || '(?:\s[^>]*)?>(.*?)</' || tag || '\s*>', 1), 1) AS nth
-    FROM cleaned, (VALUES ('article'), ('section')) t(tag)),
-  node AS (SELECT page_id, tag, nth, unnest(string_split(regexp_replace(body, '<[^>]*>', chr(1), 'g'), chr(1))) AS n,
-      generate_subscripts(string_split(regexp_replace(body, '<[^>]*>', chr(1), 'g'), chr(1)), 1) AS i FROM block),
-  joined_nodes AS (SELECT page_id, tag, nth, string_agg({strip_sql(unescape_sql('n'))}, ' ' ORDER BY i) AS body
-    FROM node WHERE {strip_sql(unescape_sql('n'))} <> '' GROUP BY page_id, tag, nth),
-  line AS (SELECT page_id, list(string_split(body, chr(10)) ORDER BY tag, nth) AS parts FROM joined_nodes GROUP BY page_id),
-  blocks AS (SELECT page_id, url, list_concat(
-      list_transform(regexp_split_to_array(html, '(?i)<p(?:\s[^>]*)?>')[2:],
-        lambda p: {unescape_sql(_PARAGRAPH)}),
-      coalesce(flatten(line.parts), [])) AS parts FROM cleaned LEFT JOIN line USING (page_id)),
+  tag AS (SELECT page_id, unnest(regexp_extract_all(html, '<[^>]*>')) AS t,
+      generate_subscripts(regexp_extract_all(html, '<[^>]*>'), 1) AS i FROM cleaned),
+  named AS (SELECT page_id, i, ltrim(n, '/') AS n, CASE WHEN n[1] = '/' THEN -1 ELSE 1 END AS way
+    FROM (SELECT page_id, i, lower(regexp_extract(t, '^<(/?[A-Za-z][^\s/>]*)', 1)) AS n FROM tag WHERE NOT ends_with(t, '/>'))
+    WHERE n <> '' AND n NOT IN ({_VOID})),
+  deep AS (SELECT *, sum(way) OVER (PARTITION BY page_id, n ORDER BY i) AS d FROM named),
+  ended AS (SELECT a.page_id, a.n, a.i, coalesce(min(b.i), 1000000000) AS j FROM deep a
+    LEFT JOIN deep b ON b.page_id = a.page_id AND b.n = a.n AND b.i > a.i AND b.d < a.d WHERE a.way = 1 GROUP BY a.page_id, a.n, a.i),
+  span AS (SELECT a.page_id, a.n, a.i, min(b.j) AS j FROM ended a JOIN ended b
+    ON b.page_id = a.page_id AND b.i <= a.i AND b.j > a.i WHERE a.n IN ('p', 'article', 'section') GROUP BY a.page_id, a.n, a.i),
+  node AS (SELECT page_id, {strip_sql(unescape_sql('n'))} AS n, k FROM (SELECT page_id, unnest(regexp_split_to_array(html, '<[^>]*>')) AS n,
+      generate_subscripts(regexp_split_to_array(html, '<[^>]*>'), 1) AS k FROM cleaned)),
+  body AS (SELECT s.page_id, s.n, s.i, coalesce(string_agg(node.n, ' ' ORDER BY k) FILTER (node.n <> ''), '') AS body
+    FROM span s LEFT JOIN node ON node.page_id = s.page_id AND k > s.i AND k <= s.j GROUP BY s.page_id, s.n, s.i),
+  line AS (SELECT page_id, flatten(list(CASE WHEN n = 'p' THEN [body] ELSE string_split(body, chr(10)) END
+      ORDER BY CASE n WHEN 'p' THEN 0 WHEN 'article' THEN 1 ELSE 2 END, i)) AS parts FROM body GROUP BY page_id),
+  blocks AS (SELECT page_id, url, parts FROM cleaned JOIN line USING (page_id)),
   raw AS (SELECT page_id, url, unnest(parts) AS piece, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS pos
           FROM blocks),
   texts AS (SELECT page_id, url, pos, {norm_sql('piece')} AS text FROM raw),

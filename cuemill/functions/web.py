@@ -63,41 +63,72 @@ def visible_html(html: Column | str) -> Column:
     return F.regexp_replace(out, r"(?s)<!--.*?-->", "")
 
 
-def strip_tags(c: Column | str) -> Column:
-    """Each tag becomes a blank."""
-    return F.regexp_replace(col(c), r"<[^>]*>", " ")
+# Elements that hold nothing, and those whose text is wanted.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+BLOCKS = ("p", "article", "section")
+TAG = r"<[^>]*>"
+_STACK, _DONE = "array<struct<name:string,at:int>>", "array<struct<name:string,first:int,last:int>>"
 
 
-def block_text(piece: Column | str) -> Column:
-    """Plain text of one raw piece."""
-    return normalize_space(unescape(strip_tags(piece)))
+def block_spans(tags: Column) -> Column:
+    """``(name, first, last)`` of every wanted element, by the tags between which its text lies.
 
+    A stack of open elements runs over the tags: an end tag closes the innermost open element of its
+    name and all that is open inside it, one without an open element is ignored, and what is open at the
+    end closes there. Elements may nest in their own kind.
+    """
+    name = lambda t: F.lower(F.regexp_extract(t, r"^<(/?[A-Za-z][^\s/>]*)", 1))
+    listed = F.transform(tags, lambda t, i: F.struct(
+        F.when(name(t).isin(*VOID) | F.endswith(t, F.lit("/>")), "").otherwise(name(t)).alias("name"), (i + 1).cast("int").alias("at")))
+    start = F.struct(F.array().cast(_STACK).alias("open"), F.array().cast(_DONE).alias("done"))
+
+    def spans(closed: Column, last: Column) -> Column:
+        wanted = F.filter(closed, lambda s: s["name"].isin(*BLOCKS))
+        return F.transform(wanted, lambda s: F.struct(s["name"].alias("name"), s["at"].alias("first"), last.alias("last")))
+
+    def step(state: Column, tag: Column) -> Column:
+        opened = F.struct(F.concat(state["open"], F.array(F.struct(tag["name"].alias("name"), tag["at"].alias("at")))).alias("open"),
+                          state["done"].alias("done"))
+
+        def closed(depth: Column) -> Column:
+            left = F.size(state["open"]) - depth
+            inner = F.slice(state["open"], left + 1, depth)
+            return F.when(depth == 0, state).otherwise(F.struct(
+                F.slice(state["open"], F.lit(1), left).alias("open"), F.concat(state["done"], spans(inner, tag["at"])).alias("done")))
+
+        depth = F.array_position(F.reverse(F.transform(state["open"], lambda s: s["name"])), F.substring(tag["name"], 2, 1_000_000))
+        return (F.when(tag["name"] == "", state)
+                .when(F.startswith(tag["name"], F.lit("/")), let(depth.cast("int"), closed)).otherwise(opened))
 
-def block_lines(block: Column) -> Column:
-    """Lines of a block: its text nodes, stripped, the blank ones left out, joined by a blank, and cut
-    where a node itself holds a line break. Line breaks inside tags or between them do not cut."""
-    nodes = F.split(F.regexp_replace(block, r"<[^>]*>", "\x01"), "\x01")
-    texts = F.filter(F.transform(nodes, lambda n: strip(unescape(n))), lambda n: n != "")
-    return F.transform(F.split(F.array_join(texts, " "), "\n"), normalize_space)
+    end = (F.size(tags) + 1).cast("int")
+    return F.aggregate(listed, start, step, lambda state: F.concat(state["done"], spans(state["open"], end)))
 
 
 def page_blocks(html: Column | str, blocks: bool = True) -> Column:
-    """Paragraphs of a page, then the lines of its article and section blocks, as plain text.
+    """The paragraphs of a page in their order, then the lines of its articles, then of its sections.
 
-    A paragraph ends at the next ``<p``, at ``</p>`` or where its block closes, so unclosed tags
-    need no parser. Paragraph text inside a block comes twice, once in each form.
+    An element's text are the text nodes inside it, those of inner elements included, stripped, the
+    blank ones left out, joined by a blank. That of an article or section is cut where a node itself holds
+    a line break; line breaks inside tags or between them do not cut. Text that lies in several wanted
+    elements comes once for each.
     """
 
-    def pieces(markup: Column) -> Column:
-        after = F.split(markup, r"(?i)<p(?:\s[^>]*)?>")
-        paragraphs = F.transform(
-            F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0))),
-            lambda p: block_text(F.regexp_replace(p, r"(?is)</(?:p|article|section|div|body)\s*>.*", "")))
+    def texts(nodes: Column, spans: Column, name: str) -> Column:
+        own = F.array_sort(F.transform(F.filter(spans, lambda s: s["name"] == name), lambda s: F.struct(
+            s["first"].alias("first"), s["last"].alias("last"))))
+        return F.transform(own, lambda s: F.array_join(F.filter(
+            F.slice(nodes, s["first"] + 1, s["last"] - s["first"]), lambda n: n != ""), " "))
+
+    def listed(nodes: Column, spans: Column) -> Column:
+        paragraphs = F.transform(texts(nodes, spans, "p"), normalize_space)
         if not blocks:
             return paragraphs
-        lines = [F.flatten(F.transform(
-            F.regexp_extract_all(markup, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), F.lit(1)),
-            block_lines)) for tag in ("article", "section")]
+        lines = [F.flatten(F.transform(texts(nodes, spans, tag), lambda t: F.transform(F.split(t, "\n"), normalize_space)))
+                 for tag in BLOCKS[1:]]
         return F.concat(paragraphs, *lines)
 
+    def pieces(markup: Column) -> Column:
+        nodes = F.transform(F.split(markup, TAG, -1), lambda n: strip(unescape(n)))
+        return let(nodes, lambda n: let(block_spans(F.regexp_extract_all(markup, F.lit(TAG), F.lit(0))), lambda s: listed(n, s)))
+
     return let(visible_html(html), pieces)

@@ -1,8 +1,11 @@
+import random
+import re
 from urllib.parse import urlparse
 
+import pytest
 from pyspark.sql import functions as F
 
-from cuemill.functions.web import domain_in, unescape, url_host
+from cuemill.functions.web import domain_in, page_blocks, unescape, url_host
 from cuemill.operators.sentences import html_article_text, html_paragraphs
 
 
@@ -25,7 +28,7 @@ def test_unescape(column):
 
 PAGE = """<html><head><script>var a = "<p>never see these six words here</p>";</script></head><body>
 <!-- <p>nor any of these six words</p> -->
-<article><p>One two three <b>four</b> five six.<br><p class="x">Seven eight nine, ten &amp; eleven twelve</p>
+<article><p>One two three <b>four</b> five six.</p><br><p class="x">Seven eight nine, ten &amp; eleven twelve</p>
 <p>too short</p>
 <P>Please sign up for free right now today</P>
 A line of its own with words
@@ -75,3 +78,47 @@ nine ten © eleven twelve thirteen fourteen<br>
     df = spark.createDataFrame([(1, html)], "page_id int, html string")
     rows = [r["text"] for r in html_paragraphs(df, phrases=("©",)).orderBy("pos").collect()]
     assert rows == ["one two three four five six seven eight", "<one two> three four five six"]
+
+
+def stack_blocks(html):
+    """Text of every p, then article, then section, by a stack of open elements."""
+    nodes, tags = re.split("<[^>]*>", html), re.findall("<[^>]*>", html)
+    open_, found = [], []
+    for i, tag in enumerate(tags, 1):
+        name = re.match(r"</?([A-Za-z][^\s/>]*)?", tag)[1]
+        if not name or tag.endswith("/>") or name.lower() in ("br", "hr", "img"):
+            continue
+        name = name.lower()
+        if tag[1] != "/":
+            open_.append((name, i))
+        elif name in [n for n, _ in open_]:
+            while True:
+                inner, first = open_.pop()
+                found.append((inner, first, i))
+                if inner == name:
+                    break
+    found += [(n, i, len(tags) + 1) for n, i in open_]
+    text = lambda a, b: " ".join(t.strip() for t in nodes[a:b] if t.strip())
+    return [text(a, b) for kind in ("p", "article", "section") for n, a, b in sorted(found, key=lambda f: f[1]) if n == kind]
+
+
+@pytest.mark.parametrize("html, wanted", [
+    ("<section>a<section>b</section>c</section>", ["a b c", "b"]),
+    ("<p>a<p>b</p>c", ["a b c", "b"]),
+    ("<div><p>a</div>b</p>c", ["a"]),
+    ("<p>x<div><p>a</div>b</p>c", ["x a b", "a"]),
+    ("<article><p>a<b>b<p>c</p>d</article>e<p/>f", ["a b c d", "c", "a b c d"]),
+    ("</p></p>a<P class='x'>b<BR>c", ["b c"]), ("plain", []), ("<p></p>", [""])])
+def test_nested_and_unclosed_elements(column, html, wanted):
+    assert stack_blocks(html) == wanted
+    assert column([html], page_blocks("t")) == [wanted]
+
+
+def test_random_markup_equals_a_stack(column):
+    rng = random.Random(4)
+    tags = ["<p>", "</p>", "<article>", "</article>", "<section x>", "</section>", "<div>", "</div>", "<b>", "</b>", "<br>", "<p/>", "a", "b ", " "]
+    pages = ["".join(rng.choice(tags) for _ in range(rng.randrange(40))) for _ in range(400)]
+    found = column(pages, page_blocks("t"))
+    assert found == [[" ".join(t.split()) for t in stack_blocks(p)] for p in pages]
+    long = "<p>" * 2000 + "x" + "</p>" * 1999
+    assert [len(v) for v in column([long], page_blocks("t"))] == [2000]
