@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from cuemill.operators.dedup import union_all
+from cuemill.sources.csv_records import csv_records
 
 # Words that mean "missing" in a CSV cell besides the empty cell.
 NULL_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -63,6 +64,11 @@ def _read_cells(
     width = headers.agg(F.max(F.size("names"))).first()[0]
     if not width:
         return spark.createDataFrame([], "file string, cells array<string>, names array<string>, valid boolean")
+    if multiline and not encoding.upper().replace("-", "").startswith(("UTF16", "UTF32")):
+        found = csv_records(spark, path, encoding, **options).where("NOT first")
+        parsed = F.from_csv("record", F.lit(_cells_schema(width)), {"quote": '"', "escape": '"', "multiLine": "true"})
+        return found.select("file", parsed.alias("c")).select(
+            "file", F.array(*[F.col(f"c._c{i}") for i in range(width)]).alias("cells")).join(headers, "file")
     rows = (_csv_reader(spark, multiline, encoding).options(**options).schema(_cells_schema(width)).csv(path)
             .select(F.col("_metadata.file_path").alias("file"),
                     F.array([F.col(f"_c{i}") for i in range(width)]).alias("cells")))
@@ -92,8 +98,9 @@ def read_csv(
 ) -> DataFrame:
     """Headered CSV with doubled quotes; columns are found by the header of each file.
 
-    ``multiline`` allows line breaks in cells, and then one task reads a whole file: write many
-    files (``write_csv(rows_per_file=…)``), or pass False when no cell holds a line break.
+    ``multiline`` allows line breaks in cells: files are still read in splits, by many tasks, but in
+    two passes and with one exchange of their lines (``csv_records``); pass False when no cell holds a line break. Only
+    files in UTF-16 or UTF-32, whose line ends are not single bytes, are then read one per task.
     ``null_words`` turns further words into null; a cell that does not parse is null.
     """
     return _by_name(_read_cells(spark, path, multiline, encoding, **options), schema, null_words)

@@ -1,10 +1,12 @@
 import datetime
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cuemill.session import scratch_path
+from cuemill.sources.csv_records import csv_lines
 from cuemill.sources.metrics_files import read_metrics, write_metrics
 from cuemill.sources.schemas import ANNOTATIONS, ARTICLES
 from cuemill.sources.sinks import write_csv, write_json_array, write_json_run, write_splits
@@ -169,3 +171,37 @@ def test_rows_without_a_language_go_to_one_part(spark, tmp_path):
     news = QUERIES["label_external_news"](spark, str(tmp_path)).select("sentence", "publisher").collect()
     lost["label_external_news"] = {(r[1], r[2]) for r in rows} ^ {tuple(r) for r in news}
     assert not any(lost.values()), lost
+
+
+def whole_file_rows(spark, path, width):
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+    return sorted((tuple(r) for r in reader.option("ignoreLeadingWhiteSpace", False).schema(schema).csv(path).collect()), key=repr)
+
+
+@pytest.mark.parametrize("seed, end", [(1, "\n"), (2, "\n"), (3, "\r\n")])
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, seed, end):
+    rng = random.Random(seed)
+    bits = ["a", "é", ",", '"', "\n", " ", "word", '""', "\n\n", ",x"]
+    rows = [["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(3)] for _ in range(1500)]
+    # A cell that covers several splits, and quotes that mean themselves.
+    rows[700][1] = 'long\n"x"\n' * 3000
+
+    def cell(text):
+        bare = text and not any(c in text for c in ',"\n') and rng.random() < 0.7
+        return text if bare else '"' + text.replace('"', '""') + '"'
+
+    lines = ["c0,c1,c2"] + [",".join(map(cell, r)) for r in rows[:1000]] + ['5" pipe,b "c" d,"e"', 'x"y",z,"1\n2"']
+    lines += [",".join(map(cell, r)) for r in rows[1000:]]
+    path = str(tmp_path / "one.csv")
+    with open(path, "w", newline="", encoding="utf-8") as out:
+        out.write(end.join(lines) + end)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        lines_read = csv_lines(spark, path)
+        assert lines_read.rdd.getNumPartitions() > 8
+        found = read_csv(spark, path, "c0 string, c1 string, c2 string")
+        assert sorted((tuple(r) for r in found.collect()), key=repr) == whole_file_rows(spark, path, 3)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found.count() == 1502
