@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from cuemill.operators.dedup import union_all
 from cuemill.sources.csv_records import csv_records
+from cuemill.sources.json_records import json_objects
 
 # Words that mean "missing" in a CSV cell besides the empty cell.
 NULL_WORDS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
@@ -142,8 +143,11 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType |
 
 
 def read_json_array(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
-    """Whole-file JSON arrays; one task per file, so prefer JSON lines for large feeds."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Whole-file JSON arrays of objects, in UTF-8, each file read by many tasks; an object that does
+    not parse is a row of nulls."""
+    wide = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+    rows = json_objects(spark, path).select(F.from_json("record", wide).alias("r"))
+    return rows.select("r.*")
 
 
 def _holds(spark: SparkSession, folder: str, kind: str) -> bool:

@@ -1,4 +1,5 @@
 import datetime
+import json
 import os
 import random
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cuemill.session import scratch_path
 from cuemill.sources.csv_records import csv_lines
+from cuemill.sources.json_records import json_pieces
 from cuemill.sources.metrics_files import read_metrics, write_metrics
 from cuemill.sources.schemas import ANNOTATIONS, ARTICLES
 from cuemill.sources.sinks import write_csv, write_json_array, write_json_run, write_splits
@@ -67,7 +69,7 @@ def test_header_is_the_first_line_of_a_split_file(spark, tmp_path):
 
 def test_json_forms(spark, tmp_path):
     (tmp_path / "feed.json").write_text('[{"url": "u", "title": null,\n"description": "d"}, {"url": "v"}]')
-    rows = read_json_array(spark, str(tmp_path / "feed.json"), ARTICLES).collect()
+    rows = read_json_array(spark, str(tmp_path / "feed.json"), ARTICLES).orderBy("url").collect()
     assert [(r["url"], r["title"], r["description"]) for r in rows] == [("u", None, "d"), ("v", None, None)]
     df = spark.range(25).withColumn("t", F.lit("x\ny"))
     path = write_json_array(df, scratch_path(spark, "t"), "id", 10)
@@ -205,3 +207,35 @@ def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, seed, end):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert found.count() == 1502
+
+
+@pytest.mark.parametrize("seed, indent", [(1, None), (2, 1), (3, None)])
+def test_one_json_array_is_read_by_many_tasks(spark, tmp_path, seed, indent):
+    rng = random.Random(seed)
+    bits = ["a", "é", "{", "}", "[", "]", '"', "\\", "\n", ",", " ", "\\\\", '\\"', "}]"]
+    text = lambda n: "".join(rng.choice(bits) for _ in range(rng.randrange(n)))
+    rows = [{"id": i, "t": text(30), "in": {"a": [text(5) for _ in range(rng.randrange(3))], "b": {"c": text(8)}}} if i % 3
+            else {"id": i, "t": None if i % 2 else text(60)} for i in range(900)]
+    rows[300]["t"] = '{"' * 5000 + "}}" * 5000
+    path = str(tmp_path / "one.json")
+    with open(path, "w", encoding="utf-8") as out:
+        json.dump(rows, out, ensure_ascii=seed == 3, indent=indent)
+    schema = "id long, t string, in struct<a:array<string>,b:struct<c:string>>"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        assert json_pieces(spark, path).rdd.getNumPartitions() > 8
+        found = read_json_array(spark, path, schema)
+        wanted = spark.read.schema(schema).option("multiLine", True).json(path)
+        assert sorted(found.collect(), key=lambda r: r["id"]) == sorted(wanted.collect(), key=lambda r: r["id"])
+        assert found.count() == 900
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_json_files_without_an_array(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": 1, "t": "}"}')
+    (tmp_path / "b.json").write_text(" [ ] \n")
+    (tmp_path / "c.json").write_text("")
+    (tmp_path / "d.json").write_text('﻿[{"id": 2, "t": {"x": 1}}, {"id": 3}]')
+    found = read_json_array(spark, str(tmp_path), "id long, t string").collect()
+    assert sorted((r["id"], r["t"]) for r in found) == [(1, "}"), (2, '{"x":1}'), (3, None)]
