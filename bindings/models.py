@@ -37,8 +37,10 @@ from cuemill.session import scratch_path, stored
 from cuemill.sources.models import load_model, save_model
 from cuemill.streaming.feeds import (
     read_feed,
+    read_feed_run,
     run_to_end,
     stream_dedup,
+    stream_first_versions,
     stream_relevance,
     write_feed_run,
 )
@@ -206,14 +208,16 @@ ANY_OF, NONE_OF = ("the", "que", "und"), ("password",)
 def stream_relevance_(spark, sf):
     folder, out = scratch_path(spark, "feed"), scratch_path(spark, "run")
     feed = articles(spark, sf).select("doc_id", "lang", "title", "description")
-    feed.write.json(folder)
-    source = read_feed(spark, folder, feed.schema)
-    rows = stream_relevance(source, RELEVANCE, lang="en", any_of=ANY_OF, none_of=NONE_OF)
-    for query_ in write_feed_run(rows, out, scratch_path(spark, "checkpoint"), source):
-        query_.awaitTermination()
-    kinds = [spark.read.schema(df.schema).parquet(f"{out}/{kind}").select(
+    feed.repartition(6).write.json(folder)
+    source = read_feed(spark, folder, feed.schema, files_per_batch=1)
+
+    def scored(rows):
+        return stream_relevance(rows, RELEVANCE, lang="en", any_of=ANY_OF, none_of=NONE_OF)
+
+    write_feed_run(source, scored, out, scratch_path(spark, "checkpoint")).awaitTermination()
+    kinds = [read_feed_run(spark, out, kind, schema).select(
         "doc_id", "title", score.cast("int").alias("relevance_score"), F.lit(kind).alias("kind"))
-        for kind, df, score in (("filtered", rows, F.col("relevance_score")), ("raw", source, F.lit(None)))]
+        for kind, schema, score in (("filtered", scored(feed).schema, F.col("relevance_score")), ("raw", feed.schema, F.lit(None)))]
     return kinds[0].unionByName(kinds[1])
 
 
@@ -227,3 +231,38 @@ def stream_dedup_(spark, sf):
                         ["user_id", "event_type"], "ts", "7 days")
     out = run_to_end(rows, scratch_path(spark, "unique"), scratch_path(spark, "checkpoint"))
     return out.select("user_id", "event_type")
+
+
+# Events come in polls of five days; one in twenty is three polls late. A window closes behind the poll
+# that moves the watermark (latest event so far less four days) to its end.
+POLLS = """polled AS (SELECT user_id, event_type, ts, CAST(floor(epoch(ts - TIMESTAMP '2024-01-01') / 432000) AS INTEGER)
+      + CASE WHEN event_id % 20 = 0 THEN 3 ELSE 0 END AS poll FROM events),
+  mark AS (SELECT poll, max(max(ts)) OVER (ORDER BY poll) - INTERVAL 4 DAY AS w FROM polled GROUP BY poll),
+  timely AS (SELECT user_id, event_type, p.poll, min(ts) AS ts FROM polled p
+    LEFT JOIN (SELECT lead(poll) OVER (ORDER BY poll) AS poll, w FROM mark) m ON m.poll = p.poll
+    WHERE m.w IS NULL OR ts > m.w GROUP BY ALL)"""
+
+
+@query("stream_first_versions", f"""WITH RECURSIVE {POLLS},
+  opened AS (SELECT user_id, event_type, min(poll) AS poll, arg_min(ts, poll) + INTERVAL 4 DAY AS closes FROM timely GROUP BY ALL
+    UNION ALL SELECT t.user_id, t.event_type, min(t.poll), arg_min(t.ts, t.poll) + INTERVAL 4 DAY
+    FROM (SELECT o.user_id, o.event_type, o.poll, min(m.poll) AS until FROM opened o JOIN mark m ON m.w >= o.closes GROUP BY ALL) e
+    JOIN timely t ON t.user_id = e.user_id AND t.event_type = e.event_type AND t.poll > e.until GROUP BY t.user_id, t.event_type, e.poll),
+  closed AS (SELECT o.user_id, o.event_type, o.poll, min(m.poll) AS until FROM opened o JOIN mark m ON m.w >= o.closes
+    AND m.poll >= o.poll GROUP BY ALL)
+  SELECT c.user_id, c.event_type, min(t.ts) AS ts FROM closed c JOIN timely t ON t.user_id = c.user_id AND t.event_type = c.event_type
+    AND t.poll BETWEEN c.poll AND c.until GROUP BY c.user_id, c.event_type, c.poll""")
+def stream_first_versions_(spark, sf):
+    folder, sink, checkpoint = (scratch_path(spark, n) for n in ("polls", "versions", "checkpoint"))
+    day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
+    events = table(spark, sf, "events").select(
+        "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"),
+        (F.floor(day / 5) + F.when(F.col("event_id") % 20 == 0, 3).otherwise(0)).cast("int").alias("poll"))
+    polls = stored(events, "events")
+    # One number per poll of the month.
+    for poll in sorted(r["poll"] for r in polls.select("poll").distinct().collect()):
+        polls.filter(F.col("poll") == poll).drop("poll").write.mode("append").parquet(folder)
+        feed = read_feed(spark, folder, polls.drop("poll").schema, "parquet", files_per_batch=1_000_000)
+        rows = stream_first_versions(feed, ["user_id", "event_type"], "ts", "4 days", 4 * 86_400_000)
+        out = run_to_end(rows, sink, checkpoint)
+    return out.select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))

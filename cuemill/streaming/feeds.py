@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from cuemill.functions.labels import keyword_query
 from cuemill.functions.text import article_text
@@ -38,12 +40,29 @@ def write_feed(
 
 
 def write_feed_run(
-    scored: DataFrame, path: str, checkpoint: str, raw: DataFrame | None = None, **options
-) -> list[StreamingQuery]:
-    """Appends the scored articles and, if given, the raw feed beside them, each a query of its own
-    with its own place in the feed."""
-    targets = [("filtered", scored)] + ([("raw", raw)] if raw is not None else [])
-    return [write_feed(df, f"{path}/{name}", f"{checkpoint}/{name}", **options) for name, df in targets]
+    feed: DataFrame, score: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+    available_now: bool = True, every: str = "1 minute",
+) -> StreamingQuery:
+    """Each poll of the feed, as it came and scored, below ``path/raw`` and ``path/filtered``.
+
+    One query reads a batch once: it writes the raw copy, and scores that copy. Both go to a folder of the
+    batch's number and overwrite it, so a batch that failed anywhere in between is written again
+    whole, without loss or repeat, and the two copies cannot drift apart.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        folder = lambda kind: f"{path}/{kind}/batch={number}"
+        batch.write.mode("overwrite").parquet(folder("raw"))
+        raw = batch.sparkSession.read.schema(batch.schema).parquet(folder("raw"))
+        score(raw).write.mode("overwrite").parquet(folder("filtered"))
+
+    trigger = {"availableNow": True} if available_now else {"processingTime": every}
+    return feed.writeStream.foreachBatch(write).trigger(**trigger).option("checkpointLocation", checkpoint).start()
+
+
+def read_feed_run(spark: SparkSession, path: str, kind: str, schema: StructType) -> DataFrame:
+    """The copies of all polls so far, ``kind`` being raw or filtered, with their ``batch``."""
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{path}/{kind}")
 
 
 def stream_relevance(
@@ -87,3 +106,64 @@ def run_to_end(
         if query.isActive:
             query.stop()
     return feed.sparkSession.read.schema(feed.schema).parquet(sink)
+
+
+class FirstVersions(StatefulProcessor):
+    """Per key the version of earliest event time, given out when its time to live is over.
+
+    The key's first row opens a window of ``delay`` behind its event time, and a timer at the window's end. Rows
+    of the window replace the kept version if they are earlier (of equal ones, the smaller content). When
+    the watermark passes the timer, the version goes out and the key is forgotten.
+    """
+
+    def __init__(self, schema: StructType, ts: str, delay_ms: int):
+        self._schema, self._ts, self._delay = schema, ts, delay_ms
+
+    def init(self, handle) -> None:
+        self._handle = handle
+        self._best = handle.getValueState("best", self._schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = tuple(self._best.get()) if self._best.exists() else None
+        fresh = best is None
+        at = self._schema.names.index(self._ts)
+        for batch in rows:
+            part = batch[self._schema.names]
+            for row in part.astype(object).where(part.notna(), None).itertuples(index=False, name=None):
+                row = tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in row)
+                best = row if best is None else min(best, row, key=lambda r: (r[at], repr(r)))
+        self._best.update(best)
+        if fresh:
+            opened = best[at].replace(tzinfo=datetime.timezone.utc)
+            self._handle.registerTimer(int(opened.timestamp() * 1000) + self._delay)
+        yield pd.DataFrame(columns=self._schema.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        best = tuple(self._best.get())
+        self._best.clear()
+        yield pd.DataFrame([best], columns=self._schema.names)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_first_versions(
+    feed: DataFrame, keys: Sequence[str], ts: str = "publishedAt", delay: str = "7 days", delay_ms: int = 7 * 86_400_000,
+) -> DataFrame:
+    """The earliest version of every key, once its window of ``delay`` has passed the watermark.
+
+    State is one row and one timer per open key, on disk in the RocksDB store, spread by key; it is dropped with its
+    timer. Rows behind the watermark are left out; the query's progress counts them (:func:`late_rows`). Event times are
+    taken as UTC, as the session's should be.
+    """
+    if "RocksDB" not in feed.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        feed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
+                                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stamped = feed.withColumn(ts, F.col(ts).cast("timestamp"))
+    return stamped.withWatermark(ts, delay).groupBy(*keys).transformWithStateInPandas(
+        FirstVersions(stamped.schema, ts, delay_ms), stamped.schema, "Append", "EventTime")
+
+
+def late_rows(query: StreamingQuery) -> list[tuple[int, int]]:
+    """``(batch, rows)`` that came behind the watermark and were left out, of the batches that a query still reports."""
+    return [(p["batchId"], sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"])) for p in query.recentProgress]

@@ -1,12 +1,18 @@
 import datetime
 
+import pytest
+from pyspark.errors import StreamingQueryException
+
 from cuemill.functions.labels import relevance_score
 from cuemill.session import scratch_path
 from cuemill.sources.schemas import ARTICLES
 from cuemill.streaming.feeds import (
+    late_rows,
     read_feed,
+    read_feed_run,
     run_to_end,
     stream_dedup,
+    stream_first_versions,
     stream_relevance,
     write_feed,
     write_feed_run,
@@ -85,9 +91,42 @@ def test_a_key_expires(spark):
 
 
 def test_raw_copy_beside_the_filtered_feed(spark):
-    feed, out = scratch_path(spark, "feed"), scratch_path(spark, "run")
-    spark.createDataFrame(ROWS, ARTICLES).write.json(feed)
-    source = read_feed(spark, feed, ARTICLES)
-    for query in write_feed_run(stream_relevance(source), out, scratch_path(spark, "checkpoint"), source):
+    """A poll that fails between its two copies is written again whole."""
+    feed, out, checkpoint = (scratch_path(spark, n) for n in ("feed", "run", "checkpoint"))
+    for row in ROWS:
+        spark.createDataFrame([row], ARTICLES).coalesce(1).write.mode("append").json(feed)
+    failing = {2}
+
+    def score(batch):
+        if failing and batch.filter("url = 'u3'").count():
+            failing.clear()
+            raise RuntimeError("lost between the copies")
+        return stream_relevance(batch)
+
+    source = read_feed(spark, feed, ARTICLES, files_per_batch=1)
+    with pytest.raises(StreamingQueryException, match="between the copies"):
+        write_feed_run(source, score, out, checkpoint).awaitTermination()
+    write_feed_run(source, score, out, checkpoint).awaitTermination()
+    raw = read_feed_run(spark, out, "raw", ARTICLES)
+    assert sorted(r["url"] for r in raw.collect()) == ["u1", "u2", "u3", "u4"]
+    assert raw.select("batch").distinct().count() == 4
+    kept = read_feed_run(spark, out, "filtered", stream_relevance(spark.createDataFrame(ROWS, ARTICLES)).schema)
+    assert sorted(r["url"] for r in kept.collect()) == ["u1", "u4"]
+
+
+def test_first_versions_expire_and_late_rows_are_counted(spark):
+    feed, sink, checkpoint = (scratch_path(spark, n) for n in ("feed", "sink", "checkpoint"))
+    spark.createDataFrame([], ARTICLES).write.json(feed)
+    rows = stream_first_versions(read_feed(spark, feed, ARTICLES, files_per_batch=1), ["url"])
+    late = 0
+    polls = [[("u1", "b", None, day(2)), ("u1", "a", None, day(2)), ("u2", "x", "d", day(3))], [("u1", "older", "d", day(1))],
+             [("u3", "x", "d", day(12))], [("u1", "behind", "d", day(4)), ("u1", "new", "d", day(13))], [("u3", "y", "d", day(25))]]
+    for poll in polls:
+        spark.createDataFrame(poll, ARTICLES).coalesce(1).write.mode("append").json(feed)
+        query = write_feed(rows, sink, checkpoint)
         query.awaitTermination()
-    assert spark.read.parquet(f"{out}/raw").count() == 4 and spark.read.parquet(f"{out}/filtered").count() == 2
+        late += sum(n for _, n in late_rows(query))
+    found = spark.read.schema(ARTICLES).parquet(sink).collect()
+    # The watermark went to day 5, then 6, then 18; u1's first window took the earlier version of the second poll.
+    assert sorted((r["url"], r["title"]) for r in found) == [("u1", "older"), ("u2", "x")]
+    assert late == 1
