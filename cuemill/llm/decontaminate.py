@@ -363,21 +363,22 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     Null, empty and wordless texts and items match nothing; repeated rows are found alike; items
     that share an id are searched each and give a row each. No partners are capped.
     """
-    schema = f"`{id_col}` long, `{item_col}` long, cosine double, lcs double, answer double, first_word long"
+    schema = f"`{id_col}` string, `{item_col}` string, cosine double, lcs double, answer double, first_word long"
     found = docs.sparkSession.createDataFrame([], schema)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), F.col(text_col).alias("text"))
     for index in _indexes(docs, benchmark, item_col, text_col, **{**OPTIONS, **options}):
         def run(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
             fresh_worker()
             for batch in batches:
-                ids = batch["id"].astype("Int64")
                 hits = index.search(list(batch["text"]))
-                out = pd.DataFrame(hits, columns=["t", item_col, "cosine", "lcs", "answer", "first_word"])
-                out.insert(0, id_col, ids.iloc[out.pop("t").astype(int)].to_numpy())
-                yield out.astype({id_col: "Int64", item_col: "Int64"})
+                out = pd.DataFrame([h[2:] for h in hits], columns=["cosine", "lcs", "answer", "first_word"])
+                out.insert(0, id_col, pd.Series([batch["id"].iloc[int(h[0])] for h in hits], dtype=object))
+                out.insert(1, item_col, pd.Series([None if h[1] is None else str(int(h[1])) for h in hits], dtype=object))
+                yield out
 
         found = found.union(rows.mapInPandas(run, schema))
-    return found
+    # Ids travel as text: beside a null, pandas would hold long ones as floats.
+    return found.withColumns({c: F.col(f"`{c}`").cast("long") for c in (id_col, item_col)})
 
 
 def _clean(index: Index):

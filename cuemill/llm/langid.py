@@ -196,9 +196,11 @@ def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             texts = list(batch["text"])
             langs, scores = model.predict(texts) if model else (["und"] * len(texts), [0.0] * len(texts))
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "held_out": batch["held_out"],
+            yield pd.DataFrame({"id": batch["id"], "held_out": batch["held_out"],
                                 "lang_pred": langs, "score": scores})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held_out"),
+    # Ids travel as text: beside a null, pandas would hold long ones as floats.
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("id"), held_out(id_col).alias("held_out"),
                        F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    out = rows.mapInPandas(run, "id string, held_out boolean, lang_pred string, score double")
+    return out.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)

@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cuemill.llm.common import bounded_batches, utf8
 
@@ -113,11 +114,13 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             out = pd.DataFrame([scan(t, phrases, listed) for t in batch["text"]],
                                columns=[*scan(None, phrases, listed)])
-            out.insert(0, id_col, batch["id"].astype("Int64").to_numpy(dtype=object, na_value=None))
+            out.insert(0, id_col, batch["id"])
             for c in ("first_word", "last_word"):
                 out[c] = out[c].astype("Int64")
             yield out
 
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return rows.mapInPandas(run, f"`{id_col}` long, n_words long, n_base long, first_word long, "
+    # Ids travel as text: beside a null, pandas would hold long ones as floats.
+    rows = docs.select(docs[id_col].cast("long").cast("string").alias("id"), docs[text_col].alias("text"))
+    out = rows.mapInPandas(run, f"`{id_col}` string, n_words long, n_base long, first_word long, "
                             "last_word long, base_labels string, labels string, spans string, score double")
+    return out.withColumn(id_col, F.col(f"`{id_col}`").cast("long"))

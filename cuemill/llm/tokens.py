@@ -129,7 +129,8 @@ class Encoder:
     as they are.
     """
 
-    CACHED = 1_000_000
+    #: Words and pieces kept, some 150 bytes each; longer ones are let go after each batch.
+    CACHED, LONGEST = 400_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -145,6 +146,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.model, self.table = self.tokenizer.model, {ord(chr(b)): c for b, c in byte_alphabet().items()}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -179,6 +181,10 @@ class Encoder:
         self.words.update(zip(mixed, parts, strict=True))
         other = list(words.difference(plain))
         self.words.update(zip(other, self._encode([" " + w for w in other])))
+        self.long = [w for w in words | heads if len(w) > self.LONGEST]
+        for p in tails:
+            if len(p) > self.LONGEST:
+                del self.pieces[p]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -195,7 +201,10 @@ class Encoder:
             new.update(filterfalse(self.words.__contains__, parts))
         self._add(new)
         get = self.words.__getitem__
-        return [head + b"".join(map(get, parts)) for head, parts in zip(heads, split)]
+        out = [head + b"".join(map(get, parts)) for head, parts in zip(heads, split)]
+        for word in self.long:
+            self.words.pop(word, None)
+        return out
 
 
 @lru_cache(maxsize=1)

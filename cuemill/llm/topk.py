@@ -74,8 +74,10 @@ class Search:
         self.k, self.best = k, [[] for _ in self.ids]  # (-score, id), ascending
 
     def add(self, ids: np.ndarray, v: np.ndarray, table: np.ndarray) -> None:
-        exact = np.float64 if max(np.abs(v).max(initial=0), np.abs(self.v).max(initial=0)) ** 2 * max(
-            1, v.shape[1]) < 2 ** 52 else np.int64
+        # Squared as Python integers, which do not wrap. Beyond 2**63 only Python's own are exact.
+        most = max(abs(int(x)) for a in (v, self.v) for x in (a.min(initial=0), a.max(initial=0)))
+        reach = most ** 2 * max(1, v.shape[1])
+        exact = np.float64 if reach < 2 ** 52 else np.int64 if reach < 2 ** 63 else object
         cand, query = v.astype(exact), self.v.astype(exact)
         norms = (v.astype(np.float64) ** 2).sum(axis=1)
         own = (self.v.astype(np.float64) ** 2).sum(axis=1)

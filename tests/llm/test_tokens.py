@@ -62,3 +62,12 @@ def test_empty_table(spark):
     path = scratch_path(spark, "tokens")
     write_token_shards(docs, path, PATH)
     assert read_token_documents(spark, path).count() == 0
+
+
+def test_long_words_are_not_kept():
+    encoder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a " + "x" * 500 + " b " + "1" * 90 + "y" * 90, "b b " + "é" * 200]
+    wanted = [e.ids for e in encoder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == wanted
+    assert encoder.words and max(map(len, encoder.words)) <= Encoder.LONGEST
