@@ -129,12 +129,14 @@ class Encoder:
     as they are.
     """
 
-    #: Words and pieces kept, some 150 bytes each; longer ones are let go after each batch.
-    CACHED, LONGEST = 400_000, 64
+    #: Longer words and pieces are let go after each batch.
+    LONGEST = 64
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = 1_000_000):
         from tokenizers import Tokenizer
 
+        #: Words and pieces to keep, some 150 bytes each.
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         config = json.loads(self.tokenizer.to_str())
         pre, model = config.get("pre_tokenizer") or {}, config.get("model") or {}
@@ -190,7 +192,7 @@ class Encoder:
         if not self.by_word:
             return self._encode(texts)
         for kept in (self.words, self.pieces):
-            if len(kept) > self.CACHED:  # the older half goes
+            if len(kept) > self.kept:  # the older half goes
                 for key in list(islice(kept, len(kept) // 2)):
                     del kept[key]
         whole = [loose_blank(t) or any(s in t for s in self.special) for t in texts]
@@ -208,8 +210,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, kept: int) -> Encoder:
+    return Encoder(path, kept)
 
 
 KEPT.append(encoder.cache_clear)
@@ -247,17 +249,19 @@ SHARDS = "part int, seq int, n_docs long, n_tokens long, payload binary"
 
 
 def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str = "doc_id",
-                       text_col: str = "text", end_id: int = 0, shard_tokens: int = 1 << 20) -> None:
+                       text_col: str = "text", end_id: int = 0, shard_tokens: int = 1 << 20,
+                       kept_words: int = 1_000_000) -> None:
     """Encodes every text and writes the shards below ``path``, in ascending id order.
 
     The texts are dealt out by id range, so one shuffle sorts them; each task encodes its range and
     packs shards of about ``shard_tokens`` ids, ``end_id`` behind every document. Null texts are
-    empty documents. Rows without an id are left out; rows that share one stay, ordered by text.
+    empty documents. A worker keeps the ids of up to ``kept_words`` words (some 150 bytes each) and as many
+    pieces: fewer take less memory and more time. Rows without an id are left out; rows that share one stay, ordered by text.
     """
     bounded_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer_file)
+        enc = encoder(tokenizer_file, kept_words)
         part, seq, size = TaskContext.get().partitionId(), 0, enc.dtype.itemsize
         end = np.array([end_id], dtype=enc.dtype).tobytes()
         ids: list[int] = []
