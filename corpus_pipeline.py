@@ -38,7 +38,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token shards; one row per document copy in them."""
     path = scratch_path(spark, "tokens")
-    write_token_shards(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    # Executors still hold what the stages before took, so workers keep fewer words.
+    write_token_shards(docs, path, public_tokenizers.path("byte_bpe_50k.json"), kept_words=120_000)
     return read_token_documents(spark, path)
 
 
