@@ -57,6 +57,22 @@ def n_words(text) -> "F.Column":
                       F.lit(0)).cast("long")
 
 
+def own_prefix(df: DataFrame) -> str:
+    """The shortest run of underscores that begins no column of ``df``: helper columns start with it."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` bears it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tasks(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

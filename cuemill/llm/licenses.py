@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -38,32 +40,35 @@ class Notice:
         self.label, self.edits, self.size = label, edits, len(raw)
         cuts = [round(i * len(raw) / (edits + 1)) for i in range(edits + 2)]
         self.seeds = [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:])]
-        # Whole words only: the notice must begin and end at a blank.
-        self.pattern = regex.compile(
-            rb"(?<= )(?:" + regex.escape(raw, literal_spaces=True) + rb"){e<=%d}(?= )" % edits,
-            regex.BESTMATCH)
+        self.pattern = regex.compile(rb"(?:" + regex.escape(raw, literal_spaces=True) + rb"){e<=%d}" % edits,
+                                     regex.BESTMATCH)
 
     def find(self, line: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, edits) in a line of blank-separated words with blanks at both ends."""
-        windows: list[list[int]] = []
+        """(start, end, edits) in a line of blank-separated words with blanks at both ends.
+
+        Every run of whole words that begins and ends within the edits of a seed's place is matched
+        alone. Of overlapping runs the one with the fewest edits stays, then the first, then the shortest.
+        """
         starts = set()
         for at, seed in self.seeds:
             place = line.find(seed)
             while place >= 0:
                 starts.add(place - at)
                 place = line.find(seed, place + 1)
-        for start in sorted(starts):
-            a = max(0, start - self.edits - 1)
-            b = min(len(line), start + self.size + self.edits + 1)
-            if windows and a <= windows[-1][1]:
-                windows[-1][1] = b
-            else:
-                windows.append([a, b])
-        found = []
-        for a, b in windows:
-            for m in self.pattern.finditer(line, a, b):
-                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-        return found
+        k, runs = self.edits, {}
+        begins = {a for s in starts for a in range(max(1, s - k), min(len(line) - 1, s + k + 1)) if line[a - 1] == 32}
+        for a in begins:
+            for b in range(max(a + 1, a + self.size - k), min(len(line) - 1, a + self.size + k) + 1):
+                if line[b] == 32:
+                    m = self.pattern.fullmatch(line, a, b)
+                    if m:
+                        runs[a, b] = sum(m.fuzzy_counts)
+        taken: list[tuple[int, int, int]] = []
+        for (a, b), edits in sorted(runs.items(), key=lambda r: (r[1], r[0])):
+            i = bisect(taken, (a, b, edits))
+            if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or b <= taken[i][0]):
+                taken.insert(i, (a, b, edits))
+        return taken
 
 
 @lru_cache(maxsize=4)
@@ -75,18 +80,19 @@ def scan(text: str | None, phrases: dict[str, str] = PHRASES, listed: tuple = NO
     """All exact places and near notices of a text; spans are (label, first word, last word, edits)."""
     words = words_of(text)
     line = b" " + b" ".join(words) + b" "
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     places: list[tuple[int, str]] = []
     for phrase, label in phrases.items():
         wanted = b" " + phrase.encode() + b" "
         at = line.find(wanted)
         while at >= 0:
-            places.append((line.count(b" ", 0, at), label))
+            places.append((int(np.searchsorted(blanks, at)), label))
             at = line.find(wanted, at + 1)
     near = []
     for notice in notices(listed):
         # Cheap test first: without any seed there is nothing to verify.
         if any(seed in line for _, seed in notice.seeds):
-            near += [(notice.label, line.count(b" ", 0, a) - 1, line.count(b" ", 0, b) - 1, e,
+            near += [(notice.label, int(np.searchsorted(blanks, a)) - 1, int(np.searchsorted(blanks, b)) - 1, e,
                       1 - e / notice.size) for a, b, e in notice.find(line)]
     starts = [p for p, _ in places]
     base = sorted({label for _, label in places})
@@ -104,7 +110,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of ASCII letters, digits and bytes beyond ASCII, lower-cased. ``n_base`` counts
     the exact places of ``phrases``; ``spans`` lists the places within the notices' edits as
-    ``label@first-last~edits``; ``score`` is 1 with an exact place, else the best near match's share
+    ``label@first-last~edits``, per notice none overlapping another; ``score`` is 1 with an exact place, else the best near match's share
     of right characters, else 0. Null and empty texts have no words, empty labels and score 0.
     Every row, a repeated one too, gives one row; a null id stays null.
     """

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import n_words, tasks, written
+from cuemill.llm.common import n_words, own_name, own_prefix, tasks, written
 
 
 def ranked_sources(sizes: DataFrame) -> DataFrame:
@@ -154,23 +154,27 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                  cap: float = 2.0, seed: int = 17, **options) -> DataFrame:
-    """The mix itself: every taken copy as a row of ``docs`` with ``shard`` and ``place`` in it.
+                  source_col: str = "source", cap: float = 2.0, seed: int = 17, **options) -> DataFrame:
+    """The mix itself: every taken copy as a row of ``docs`` with ``copy``, ``shard`` and ``place`` in it.
 
     Copies are shuffled inside their shard by a seeded order. The one copy a source that its target
     cuts is kept whole. Rows without an id are left out; of rows that share one, each gets its own
-    copies, in the order of their texts.
+    copies, in the order of their texts. An added column whose name ``docs`` bears already gets
+    underscores behind it.
     """
-    plan = mix_plan(docs, id_col=id_col, text_col=text_col, cap=cap, seed=seed, **options)
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    plan = mix_plan(narrow, id_col="id", cap=cap, seed=seed, **options)
     epochs = range(math.ceil(cap))
     shards = F.filter(F.array(*[F.when(F.col(f"words_{e}") > 0, F.col(f"shard_{e}")) for e in epochs]),
                       lambda x: x.isNotNull())
-    mine = plan.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(
-        F.struct("size", "place", shards.alias("shards")))).alias("_plan"))
-    nth = Window.partitionBy(id_col).orderBy("_size", text_col)
-    rows = (docs.withColumn("_size", n_words(text_col)).withColumn("_n", F.row_number().over(nth))
-            .join(mine, F.col(id_col) == F.col("_id")))
-    copies = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode(F.element_at("_plan", F.col("_n"))["shards"])
-                         .alias("copy", "shard"))
-    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy")), id_col)
-    return copies.withColumn("place", F.row_number().over(local))
+    p = own_prefix(docs)
+    shard, copy, place = (own_name(docs, c) for c in ("shard", "copy", "place"))
+    mine = plan.groupBy(F.col("id").alias(f"{p}id")).agg(F.array_sort(F.collect_list(
+        F.struct("size", "place", shards.alias("shards")))).alias(f"{p}plan"))
+    nth = Window.partitionBy(id_col).orderBy(f"{p}size", text_col)
+    rows = (docs.withColumn(f"{p}size", n_words(text_col)).withColumn(f"{p}n", F.row_number().over(nth))
+            .join(mine, F.col(id_col) == F.col(f"{p}id")))
+    copies = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.posexplode(
+        F.element_at(f"{p}plan", F.col(f"{p}n"))["shards"]).alias(copy, shard))
+    local = Window.partitionBy(shard).orderBy(F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy)), id_col)
+    return copies.withColumn(place, F.row_number().over(local))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import bounded_batches, fresh_worker, utf8, written
+from cuemill.llm.common import bounded_batches, fresh_worker, own_prefix, utf8, written
 
 
 def features(text: str | None) -> np.ndarray:
@@ -63,6 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     """Trained on at most ``max_labelled`` labelled documents, chosen by a hash of their ids.
 
     Only that sample's ids are broadcast and only its features reach the driver (about 1 KB each).
+    Of rows that share an id the one with the smallest text hash is learned from.
     None if fewer than two classes are labelled.
     """
     bounded_batches(docs.sparkSession)
@@ -77,7 +78,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                                 "x": [features(t).tobytes() for t in batch["text"]]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(sample), "id").mapInPandas(run, "id long, y double, x binary").collect()
+    rows = rows.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("y").alias("y"), F.min_by(
+        "text", F.struct(F.xxhash64("text").alias("h"), "text")).alias("text")).mapInPandas(run, "id long, y double, x binary").collect()
     rows.sort(key=lambda r: (r.id, bytes(r.x)))
     if len({r.y for r in rows}) < 2:
         return None
@@ -141,24 +143,27 @@ def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float, float]:
 
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str,
-            path_col: str, threshold: float, max_labelled: int) -> DataFrame:
-    """``docs`` with ``_evidence, _host_rate, _path_rate, _score, _keep``."""
+            path_col: str, threshold: float, max_labelled: int) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with evidence, rates, score and decision, and the names of these columns."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, max_labelled=max_labelled)
     # First pass: evidence summed by site; only numbers are written. Second pass: the rows.
     narrow = with_evidence(docs.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"),
                                        F.col(text_col).alias("text")), model, "text", "evidence")
     sites, rate, strength = site_posteriors(written(narrow.drop("text"), "evidence"))
-    sites = sites.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("n").alias("_n"),
-                         F.col("good").alias("_good"), F.col("host_rate").alias("_host_rate"))
-    rows = with_evidence(docs, model, text_col, "_evidence").join(
-        sites, F.col(host_col).eqNullSafe(F.col("_host")) & F.col(path_col).eqNullSafe(F.col("_path")))
-    others = F.greatest(F.col("_good") - _sigmoid(F.col("_evidence")), F.lit(0.0))
-    path_rate = (others + strength * F.col("_host_rate")) / (F.col("_n") - 1 + strength)
-    rows = rows.withColumn("_path_rate", F.least(F.greatest(path_rate, F.lit(1e-4)), F.lit(1 - 1e-4)))
+    p = own_prefix(docs)
+    own = {c: f"{p}{c}" for c in ("host", "path", "n", "good", "host_rate", "path_rate", "evidence", "score", "keep")}
+    col = {c: F.col(name) for c, name in own.items()}
+    sites = sites.select(*[F.col(c).alias(own[c]) for c in ("host", "path", "n", "good", "host_rate")])
+    rows = with_evidence(docs, model, text_col, own["evidence"]).join(
+        sites, F.col(host_col).eqNullSafe(col["host"]) & F.col(path_col).eqNullSafe(col["path"]))
+    others = F.greatest(col["good"] - _sigmoid(col["evidence"]), F.lit(0.0))
+    path_rate = (others + strength * col["host_rate"]) / (col["n"] - 1 + strength)
+    rows = rows.withColumn(own["path_rate"], F.least(F.greatest(path_rate, F.lit(1e-4)), F.lit(1 - 1e-4)))
     rate = min(max(rate, 1e-4), 1 - 1e-4)
-    odds = F.log(F.col("_path_rate") / (1 - F.col("_path_rate"))) - float(np.log(rate / (1 - rate)))
-    score = _sigmoid(F.col("_evidence") + odds) if model else F.lit(0.5)
-    return rows.withColumn("_score", score).withColumn("_keep", F.col("_score") >= threshold)
+    odds = F.log(col["path_rate"] / (1 - col["path_rate"])) - float(np.log(rate / (1 - rate)))
+    score = _sigmoid(col["evidence"] + odds) if model else F.lit(0.5)
+    rows = rows.withColumn(own["score"], score)
+    return rows.withColumn(own["keep"], col["score"] >= threshold), own
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
@@ -172,8 +177,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     their own; a null text is an empty one; repeated rows are scored alike. Without two labelled
     classes every document has score 0.5 and is kept.
     """
-    rows = _scored(docs, labels, id_col, text_col, host_col, path_col, threshold, max_labelled)
-    return rows.select(F.col(id_col), *[F.col(f"_{c}").alias(c) for c in (
+    rows, own = _scored(docs, labels, id_col, text_col, host_col, path_col, threshold, max_labelled)
+    return rows.select(F.col(id_col), *[F.col(own[c]).alias(c) for c in (
         "evidence", "host_rate", "path_rate", "score", "keep")])
 
 
@@ -181,5 +186,5 @@ def quality_filter(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
                    text_col: str = "text", host_col: str = "source", path_col: str = "lang",
                    threshold: float = 0.5, max_labelled: int = 8000) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
-    rows = _scored(docs, labels, id_col, text_col, host_col, path_col, threshold, max_labelled)
-    return rows.where("_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, own = _scored(docs, labels, id_col, text_col, host_col, path_col, threshold, max_labelled)
+    return rows.where(F.col(own["keep"])).select(*[F.col(f"`{c}`") for c in docs.columns])

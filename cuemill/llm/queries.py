@@ -105,8 +105,8 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages")).drop("trust", "distrust")
 
 
-def _url_sql(rounds: int = 12) -> str:
-    """The rules, the host graph and as many rounds of both ranks, one CTE each."""
+def _url_sql() -> str:
+    """The rules, the host graph and both ranks as sums over walks of every length, until they vanish."""
     upper, lower = UPPER, LOWER
     ordered = sorted(RULES, key=lambda r: (-len(r[0]), r[0]))
 
@@ -117,10 +117,7 @@ def _url_sql(rounds: int = 12) -> str:
     rule = " ".join(f"WHEN {fits(t)} THEN '{t}'" for t, _ in ordered)
     says = " ".join(f"WHEN {fits(t)} THEN '{v}'" for t, v in ordered)
     link = LINK.replace("'", "''")
-    ranks = ", ".join(f"""r{i + 1} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (
-      SELECT s.kind, s.dst AS host, r.rank * s.p AS rank FROM r{i} r JOIN steps s ON r.kind = s.kind AND r.host = s.src
-      UNION ALL SELECT kind, host, rank * 0.15::DOUBLE FROM r0) GROUP BY kind, host)""" for i in range(rounds))
-    return rf"""WITH u AS (SELECT page_id, html,
+    return rf"""WITH RECURSIVE u AS (SELECT page_id, html,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
   j AS (SELECT page_id, host, path, html, CASE {rule} END AS rule, CASE {says} END AS says FROM u),
@@ -136,11 +133,13 @@ def _url_sql(rounds: int = 12) -> str:
   steps AS MATERIALIZED (SELECT kind, src, dst, 0.85::DOUBLE * n / sum(n) OVER (PARTITION BY kind, src) AS p FROM both_ways),
   seeds AS (SELECT 'trust' AS kind, host, count(*) AS n FROM j WHERE says = 'allow' AND host <> '' GROUP BY host
     UNION ALL SELECT 'distrust', host, count(*) FROM j WHERE says = 'block' AND host <> '' GROUP BY host),
-  r0 AS MATERIALIZED (SELECT kind, host, n::DOUBLE / sum(n) OVER (PARTITION BY kind) AS rank FROM seeds), {ranks},
+  walks AS (SELECT 0 AS len, kind, host, 0.15::DOUBLE * n / sum(n) OVER (PARTITION BY kind) AS rank FROM seeds
+    UNION ALL SELECT w.len + 1, s.kind, s.dst, sum(w.rank * s.p) FROM walks w JOIN steps s ON w.kind = s.kind AND w.host = s.src
+    GROUP BY w.len, s.kind, s.dst HAVING sum(w.rank * s.p) > 1e-18),
   score AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) AS t,
-      coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS d FROM r{rounds} GROUP BY host)
+      coalesce(sum(rank) FILTER (kind = 'distrust'), 0) AS d FROM walks GROUP BY host)
   SELECT page_id, j.host, path, rule,
-    coalesce(says, CASE WHEN round(d / (t + d), 9) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+    coalesce(says, CASE WHEN round(d / (t + d), 3) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
   FROM j LEFT JOIN score s ON s.host = j.host"""
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import bounded_batches, fresh_worker, tasks, utf8, written
+from cuemill.llm.common import bounded_batches, fresh_worker, own_prefix, tasks, utf8, written
 from cuemill.llm.components import components
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -186,9 +186,11 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def simhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                   radius: int = 3) -> DataFrame:
     """One document of each component: the row with the smallest id (of rows that share it, the
-    one with the smallest text). Rows without an id are left out."""
-    kept = simhash_components(docs, id_col=id_col, text_col=text_col, radius=radius).where(
-        F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_id")).distinct()
+    one with the smallest text). Rows without an id are left out; columns of any name are kept."""
+    p = own_prefix(docs)
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept = simhash_components(narrow, id_col="id", radius=radius).where(
+        "component_id = id").select(F.col("id").alias(f"{p}id")).distinct()
     one = Window.partitionBy(id_col).orderBy(text_col)
-    return (docs.join(kept, F.col(id_col) == F.col("_id")).withColumn("_n", F.row_number().over(one))
-            .where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return (docs.join(kept, F.col(id_col) == F.col(f"{p}id")).withColumn(f"{p}n", F.row_number().over(one))
+            .where(F.col(f"{p}n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))

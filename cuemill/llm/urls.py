@@ -19,6 +19,9 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Hosts of absolute and scheme-relative links.
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
+#: Rounds of the rank between two tables in shared storage.
+ROUNDS_A_TABLE = 8
+
 
 def url_host_path(url: str | Column) -> tuple[Column, Column]:
     host = F.translate(F.regexp_extract(url, PARTS, 1), UPPER, LOWER)
@@ -52,19 +55,26 @@ def host_edges(pages: DataFrame, html_col: str) -> DataFrame:
     chain = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(
         F.slice(labels, i, F.size(labels)), "."))
     # Pairs (host, parent) along the chain, top-level domains left out.
-    steps = hosts.select(F.explode(F.arrays_zip(chain.alias("a"), F.slice(chain, 2, 64).alias("b"))).alias("s"))
+    steps = hosts.select(F.explode(F.arrays_zip(
+        chain.alias("a"), F.slice(chain, F.lit(2), F.size(chain)).alias("b"))).alias("s"))
     steps = steps.select(F.col("s.a").alias("src"), F.col("s.b").alias("dst")).where("dst IS NOT NULL").distinct()
     both = steps.union(steps.select("dst", "src")).withColumn("n", F.lit(1.0))
     return links.union(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """``host, trust, distrust``: personalised PageRank of both kinds of seeds.
 
     Trust follows links from allowed seeds; distrust follows them backwards from blocked seeds: who
     links to a blocked host is suspect. Both run as one table of (kind, host); each round is one
-    join and one pre-aggregated sum, written to shared storage every fourth round. Rank that a
+    join and one pre-aggregated sum, written to shared storage every eighth round. Rank that a
     host without links would pass on stays with the seeds, by the restart.
+
+    Ranks only grow from round to round. They are settled when in eight rounds no host has gained
+    its first rank or more than ``tolerance`` of its rank; hosts far from every seed, whose ranks
+    are small, are held to the same share as near ones. As a round adds at most ``damping`` times what
+    the one before added, this ends after some log(tolerance) / log(damping) rounds behind the
+    longest way from a seed, whatever the number of hosts.
     """
     forward = edges.select(F.lit("trust").alias("kind"), "src", "dst", "n")
     back = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
@@ -79,25 +89,30 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> D
     restart = written(seeds.where("n > 0").join(F.broadcast(sums), "kind").select(  # two rows
         "kind", "host", (F.col("n") / F.col("total")).alias("rank")), "seeds")
     base = restart.withColumn("rank", F.col("rank") * (1 - damping))
-    rank = restart
-    for i in range(rounds):
-        passed = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p")).alias("rank"))
-        rank = passed.union(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if i % 4 == 3:
-            rank = written(rank, "rank")
+    rank, growth = base, 1.0
+    while growth > tolerance:
+        before = rank.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was"))
+        for _ in range(ROUNDS_A_TABLE):
+            passed = rank.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (F.col("rank") * F.col("p")).alias("rank"))
+            rank = passed.union(base).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        both = rank.withColumn("was", F.lit(0.0)).union(before)
+        both = written(both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")), "rank")
+        growth = both.where("rank > 0").agg(F.max(1 - F.col("was") / F.col("rank"))).first()[0] or 0.0
+        rank = both.drop("was")
     one = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     return rank.groupBy("host").agg(one("trust").alias("trust"), one("distrust").alias("distrust"))
 
 
 def url_filter(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                html_col: str = "html", rules: Sequence[tuple[str, str]] = RULES,
-               damping: float = 0.85, rounds: int = 12, threshold: float = 0.5) -> DataFrame:
+               damping: float = 0.85, tolerance: float = 1e-5, threshold: float = 0.5) -> DataFrame:
     """``id, host, path, rule, verdict`` and the host's ``trust`` and ``distrust`` per page.
 
     A rule ``host/path`` fits its host and all subdomains if the path starts with the rule's; the
     longest rule decides. Pages without a rule are blocked if distrust makes up more than
-    ``threshold`` of what has reached their host; a host that nothing reaches is allowed. Seeds are
+    ``threshold`` (beyond the third digit) of what has reached their host when ranks have settled
+    to ``tolerance``; a host that nothing reaches is allowed. Seeds are
     the pages that a rule allows or blocks, counted per host. A null url, or one without ``://``,
     has an empty host and path, fits no rule and is allowed; a null html has no links. Every row
     gives one row. The host table is as long as there are hosts; it meets the pages in a plain
@@ -112,9 +127,9 @@ def url_filter(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     seeds = judged.where("host <> ''").groupBy("host").agg(
         F.count(F.when(F.col("says") == "allow", 1)).alias("allowed"),
         F.count(F.when(F.col("says") == "block", 1)).alias("blocked"))
-    scores = spread(links, seeds, damping, rounds)
-    # Compared after rounding: the order of additions must not decide.
-    doubt = F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9) > threshold
+    scores = spread(links, seeds, damping, tolerance)
+    # Compared after rounding: neither the order of additions nor what is not settled may decide.
+    doubt = F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 3) > threshold
     return judged.join(scores, "host", "left").select(
         F.col("id").alias(id_col), "host", "path", "rule",
         F.coalesce("says", F.when(doubt, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
