@@ -28,6 +28,7 @@ from bindings.common import (
 )
 from bindings.splits import FOLDS, folded
 from cuemill.functions.labels import is_junk
+from cuemill.operators.counting import StepCounts
 from cuemill.operators.dedup import dedup_by, dedup_rows, union_all
 from cuemill.operators.joins import (
     apply_annotations,
@@ -37,6 +38,7 @@ from cuemill.operators.joins import (
     fold_rows_by_index,
     pair_annotators,
 )
+from cuemill.operators.membership import drop_denied_large
 from cuemill.operators.metrics import step_counts
 from cuemill.operators.sampling import fold_index_table
 from cuemill.operators.sentences import sentences
@@ -68,6 +70,13 @@ def antijoin_denylist(spark, sf):
     return drop_denied(pieces(spark, sf).select("doc_id", "pos", "sentence"), bench_sentences(spark, sf))
 
 
+@query("antijoin_denylist_large", f"""WITH {PIECES}, {BENCH}
+  SELECT doc_id, pos, sentence FROM pieces WHERE sentence NOT IN (SELECT sentence FROM bench)""")
+def antijoin_denylist_large(spark, sf):
+    rows = stored(pieces(spark, sf).select("doc_id", "pos", "sentence"), "pieces")
+    return drop_denied_large(rows, bench_sentences(spark, sf))
+
+
 @query("antijoin_missing_backfill", f"""WITH {PIECES}, {BENCH},
   base AS (SELECT sentence, min(source) AS url FROM pieces WHERE NOT {junk_sql('sentence')}
            GROUP BY sentence),
@@ -171,6 +180,15 @@ def step_counts_(spark, sf):
     return step_counts(base=base, external=external, merged=merge_corpora(base, external))
 
 
+@query("merge_step_counts", f"""WITH {MERGED} SELECT 'base' AS step, count(*) AS n FROM base
+  UNION ALL SELECT 'external', count(*) FROM ext UNION ALL SELECT 'merged', count(*) FROM merged""")
+def merge_step_counts(spark, sf):
+    """The same counts, taken by the job that writes the merged corpus."""
+    counts = StepCounts()
+    merged = merge_corpora(*_corpora(spark, sf), counts=counts)
+    return counts.write(merged, scratch_path(spark, "merged"))
+
+
 @query("clean_annotations", f"""WITH {ANNOTATED} SELECT id, sentence, url, CAST(gold_label AS INTEGER) AS gold_label
   FROM annotated WHERE lower(gold_label) <> 'delete'
   QUALIFY row_number() OVER (PARTITION BY sentence ORDER BY id) = 1""")

@@ -63,6 +63,24 @@ def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(seeded_hash(F.col(key), seed), F.col(key))
 
 
+def running_total(rows: DataFrame, order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all earlier rows in ``order``, which must be unique.
+
+    Rows are laid out in ranges of the order and summed inside each; only one total per range meets,
+    so no task sees all rows. The layout is written, as later passes must not draw other ranges.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).withColumn("_value", value)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = stored(dealt, "ranges").withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    totals = dealt.groupBy("_range").agg(F.sum("_value").alias("_total"))
+    # One row per range.
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_earlier"))
+    return (dealt.join(totals, "_range").withColumn(name, F.col("_earlier") + F.col("_inside"))
+            .select(*rows.columns, name))
+
+
 def quotas(counts: DataFrame, label: str, n: str, name: str, draws: int) -> DataFrame:
     """Adds ``name``: ``draws`` shared out in proportion to ``n``; the largest remainders round up,
     earlier classes first. One row per class, however many there are."""
@@ -73,9 +91,9 @@ def quotas(counts: DataFrame, label: str, n: str, name: str, draws: int) -> Data
     shares = shares.withColumn("_floor", F.expr(f"cast(_product div cast({total} as decimal(19,0)) as long)"))
     shares = shares.withColumn("_rest", F.col("_product") % F.lit(total).cast("decimal(19,0)"))
     left = draws - (shares.agg(F.sum("_floor")).first()[0] or 0)
-    order = Window.orderBy(F.desc("_rest"), F.col(label).asc_nulls_last())
-    return (shares.withColumn("_place", F.row_number().over(order))
-            .withColumn(name, F.col("_floor") + F.when(F.col("_place") <= left, 1).otherwise(0))
+    order = [F.desc("_rest"), F.col(label).asc_nulls_last()]
+    return (running_total(shares, order, F.lit(1).cast("long"), "_place")
+            .withColumn(name, F.col("_floor") + F.when(F.col("_place") < left, 1).otherwise(0))
             .drop("_product", "_floor", "_rest", "_place"))
 
 
@@ -190,8 +208,7 @@ def stratified_kfold(
     counts = ranked.groupBy(label).agg(F.count("*").alias("_n"))
     if not df.filter(F.col(label).isNull()).limit(1).isEmpty():
         raise ValueError(f"{label} has null values")
-    before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(label, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = running_total(counts, [F.col(label).asc()], F.col("_n"), "_start").select(label, "_start")
     fold = ((F.col("_rank") - 1 + F.col("_start")) % k).cast("int").alias("fold")
     folds = ranked.join(starts, label).select(key, fold)
     return df.join(folds, key).select(*df.columns, "fold")

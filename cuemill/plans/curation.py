@@ -17,6 +17,7 @@ from cuemill.lexicons import (
     TEXT_COLUMNS,
     TRUNCATE_PATTERNS,
 )
+from cuemill.operators.counting import StepCounts
 from cuemill.operators.dedup import dedup_by, dedup_rows, union_all
 from cuemill.operators.filters import drop_rejected, min_length
 from cuemill.operators.joins import denied_sentences
@@ -79,24 +80,39 @@ def split_external(
 
 
 def merge_corpora(
-    base: DataFrame, external_sentences: DataFrame, order: Sequence[str] = ("doc_id", "pos")
+    base: DataFrame, external_sentences: DataFrame, order: Sequence[str] = ("doc_id", "pos"),
+    counts: StepCounts | None = None,
 ) -> DataFrame:
-    """Base sentences, then external ones, one row per text; base rows win."""
+    """Base sentences, then external ones, one row per text; base rows win.
+
+    With ``counts`` the steps ``base``, ``external`` and ``merged`` are counted in the job that
+    ``counts.write`` runs.
+    """
+    if counts:
+        base, external_sentences = counts.watch("base", base), counts.watch("external", external_sentences)
     both = union_all(base.withColumn("_side", F.lit(0)), external_sentences.withColumn("_side", F.lit(1)))
-    return dedup_by(both, ["sentence"], ["_side", *order]).drop("_side")
+    merged = dedup_by(both, ["sentence"], ["_side", *order]).drop("_side")
+    return counts.watch("merged", merged) if counts else merged
 
 
 def label_external_news(
     df: DataFrame, cues: Sequence[str] = KEYWORD_CUES, candidates: Sequence[str] = TEXT_COLUMNS,
-    min_len: int = 10, distinct: bool = True,
+    min_len: int = 10, distinct: bool = True, counts: StepCounts | None = None,
 ) -> DataFrame:
-    """A raw news table as ``sentence, label, hedge`` and the optional columns it has."""
-    rows = dedup_rows(df) if distinct else df
+    """A raw news table as ``sentence, label, hedge`` and the optional columns it has.
+
+    With ``counts`` the steps ``raw``, ``distinct`` and ``kept`` are counted in the job that
+    ``counts.write`` runs.
+    """
+    def step(name: str, rows: DataFrame) -> DataFrame:
+        return counts.watch(name, rows) if counts else rows
+
+    rows = step("distinct", dedup_rows(step("raw", df))) if distinct else step("raw", df)
     named = canonicalize(rows, text_column=resolve_text_column(df, candidates))
     hedged = label_alias(named.withColumn("hedge", label_token_set("sentence", cues)))
     kept = select_existing(hedged, ["sentence", "label", "hedge"],
                            ["date", "stock_symbol", "publisher", "url"])
-    return min_length(kept, "sentence", min_len, stripped=False)
+    return step("kept", min_length(kept, "sentence", min_len, stripped=False))
 
 
 def load_external_news(
