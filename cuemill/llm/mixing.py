@@ -53,48 +53,85 @@ def source_targets(sources: DataFrame, weights: Sequence[float], share: float,
     return rows.withColumn("target", F.when(full, F.col("most")).otherwise(F.col("weight") * level))
 
 
-def shard_quotas(blocks: DataFrame, n_shards: int, seed: int) -> DataFrame:
-    """``source_no, shard, quota`` from ``source_no, n_blocks`` by a multivariate-hypergeometric tree.
-
-    A node holds the block counts of all sources. Its left child gets half of its blocks, drawn
-    without replacement: the fold goes over sources and blocks and takes a block with probability
-    (places left) / (blocks left), which is the exact conditional law. Numbers follow a hash of seed
-    and node, so reruns and retries agree. The work is one step per block and level, and there are
-    at most ``n_shards * blocks_per_shard`` blocks besides one per source, whatever the input.
+def halved(total: int, n_shards: int) -> list[int]:
+    """``total`` blocks over the shards: every node's left child gets the larger half."""
+    sizes = [total]
+    while len(sizes) < n_shards:
+        sizes = [part for n in sizes for part in ((n + 1) // 2, n // 2)]
+    return sizes
+
+
+def split_groups(members: DataFrame, quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
+    """``member, shard, quota`` from ``grp, member, n`` and ``grp, q``: a group's blocks per shard.
+
+    A node of a group holds the block counts of its members and the quotas of its shards. Its left
+    child gets as many blocks as the left half of these shards, drawn without replacement: the fold
+    goes over members and blocks and takes a block with probability (places left) / (blocks left),
+    which is the exact conditional law. Numbers follow a hash of seed, group and node, so reruns and
+    retries agree.
     """
-    levels = int(math.log2(n_shards))
-    if 1 << levels != n_shards:
-        raise ValueError("n_shards must be a power of two")
-    node = blocks.where("n_blocks > 0").agg(F.expr(
-        "array_sort(collect_list(struct(source_no, n_blocks)))").alias("c")).select(
-        F.lit(1).cast("long").alias("node"), "c")
-    hit = f"IF(pmod(xxhash64({seed}L, node, a.n), a.n) < a.l, 1L, 0L)"
-    draw = (f"aggregate(sequence(1L, x.n_blocks), struct(s.n AS n, s.l AS l, 0L AS got), "
+    node = members.where("n > 0").groupBy("grp").agg(F.expr("array_sort(collect_list(struct(member, n)))").alias("c"))
+    node = node.join(quotas, "grp").withColumn("node", F.lit(1).cast("long"))
+    hit = f"IF(pmod(xxhash64({seed}L, grp, node, a.n), a.n) < a.l, 1L, 0L)"
+    draw = ("aggregate(sequence(1L, x.n), struct(s.n AS n, s.l AS l, 0L AS got), "
             f"(a, k) -> struct(a.n - 1 AS n, a.l - {hit} AS l, a.got + {hit} AS got))")
-    fold = (f"aggregate(c, struct(n AS n, (n + 1) div 2 AS l, array() AS out), (s, x) -> "
+    typed = "cast(array() as array<struct<member:bigint,n:bigint,got:bigint>>)"
+    fold = (f"aggregate(c, struct(total AS n, places AS l, {typed} AS out), (s, x) -> "
             f"transform(array({draw}), d -> struct(d.n AS n, d.l AS l, "
-            "concat(s.out, array(struct(x.source_no AS source_no, x.n_blocks AS n_blocks, "
-            "d.got AS got))) AS out))[0])")
-    typed = "cast(array() as array<struct<source_no:bigint,n_blocks:bigint,got:bigint>>)"
-    for _ in range(levels):
-        total = node.withColumn("n", F.expr("aggregate(c, 0L, (s, x) -> s + x.n_blocks)"))
-        # Sources without blocks left are out: sequence(1, 0) would count down.
-        split = total.withColumn("drawn", F.expr(fold.replace("array() AS out", f"{typed} AS out")).getField("out"))
-        node = split.select(F.explode(F.expr(
-            "array(struct(node * 2 AS node, filter(transform(drawn, d -> struct(d.source_no AS "
-            "source_no, d.got AS n_blocks)), d -> d.n_blocks > 0) AS c), struct(node * 2 + 1 AS "
-            "node, filter(transform(drawn, d -> struct(d.source_no AS source_no, d.n_blocks - d.got "
-            "AS n_blocks)), d -> d.n_blocks > 0) AS c))")).alias("x")).select("x.*")
-        node = node.repartition(tasks(blocks), "node")  # a level's nodes draw side by side
+            "concat(s.out, array(struct(x.member AS member, x.n AS n, d.got AS got))) AS out))[0])")
+    # Members without blocks left are out: sequence(1, 0) would count down.
+    children = ("array(struct(node * 2 AS node, slice(q, 1, half) AS q, filter(transform(drawn, d -> struct("
+                "d.member AS member, d.got AS n)), d -> d.n > 0) AS c), struct(node * 2 + 1 AS node, "
+                "slice(q, half + 1, half) AS q, filter(transform(drawn, d -> struct(d.member AS member, "
+                "d.n - d.got AS n)), d -> d.n > 0) AS c))")
+    for _ in range(int(math.log2(n_shards))):
+        sums = (node.withColumn("half", F.expr("size(q) div 2").cast("int"))
+                .withColumn("total", F.expr("aggregate(c, 0L, (s, x) -> s + x.n)"))
+                .withColumn("places", F.expr("aggregate(slice(q, 1, half), 0L, (s, x) -> s + x)")))
+        split = sums.withColumn("drawn", F.expr(fold).getField("out"))
+        node = split.select("grp", F.explode(F.expr(children)).alias("x")).select("grp", "x.*")
+        node = node.repartition(tasks(members), "grp", "node")  # a level's nodes draw side by side
     return node.select((F.col("node") - n_shards).alias("shard"), F.explode("c").alias("x")).select(
-        F.col("x.source_no").alias("source_no"), "shard", F.col("x.n_blocks").alias("quota"))
+        F.col("x.member").alias("member"), "shard", F.col("x.n").alias("quota"))
+
+
+def shard_quotas(blocks: DataFrame, n_shards: int, seed: int, fan: int = 256) -> DataFrame:
+    """``source_no, shard, quota`` from ``source_no, n_blocks`` by a multivariate-hypergeometric tree.
+
+    Sources are put in groups of ``fan`` neighbours, these in groups again, until one holds all. The
+    top group's blocks are halved down to the shards; what a shard takes from a group is drawn among
+    its members, from the top down, so that a row holds at most ``fan`` counts however many sources
+    there are. Drawing a group's total first and then its members is the same law as drawing the
+    members at once. The work is one step per block and level, and there are at most ``n_shards *
+    blocks_per_shard`` blocks besides one per source, whatever the input.
+    """
+    if n_shards < 1 or n_shards & (n_shards - 1):
+        raise ValueError("n_shards must be a power of two")
+    total, last = blocks.agg(F.sum("n_blocks"), F.max("source_no")).first()
+    depth = 1
+    while fan ** depth <= (last or 0):
+        depth += 1
+    sizes = F.array(*[F.lit(n).cast("long") for n in halved(total or 0, n_shards)])
+    quotas = blocks.sparkSession.range(1).select(F.col("id").alias("grp"), sizes.alias("q"))
+    for level in range(depth - 1, -1, -1):
+        members = blocks.select(F.expr(f"source_no div {fan ** (level + 1)}").alias("grp"),
+                                F.expr(f"source_no div {fan ** level}").alias("member"), "n_blocks")
+        members = members.groupBy("grp", "member").agg(F.sum("n_blocks").alias("n"))
+        drawn = split_groups(members, quotas, n_shards, seed + level)
+        if level:
+            drawn = written(drawn, "quotas")
+            of = F.map_from_entries(F.collect_list(F.struct("shard", "quota")))
+            quotas = drawn.groupBy(F.col("member").alias("grp")).agg(of.alias("m")).select("grp", F.expr(
+                f"transform(sequence(0L, {n_shards - 1}L), k -> coalesce(m[k], 0L))").alias("q"))
+    return drawn.select(F.col("member").alias("source_no"), "shard", "quota")
 
 
 def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
              source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
              cap: float = 2.0, n_shards: int = 64, blocks_per_shard: int = 256,
              seed: int = 17) -> DataFrame:
-    """One row per document: ``size, source_size, target, taken`` and per epoch ``words_e, shard_e``.
+    """One row per document: ``size, source_size, target, taken``, its ``place`` in the stream of its
+    source, the ``source_blocks`` that the shards hold of it, and per epoch ``words_e, shard_e``.
 
     A source's documents in seeded order, repeated, are a stream of words; the mix takes its first
     ``round(target)`` words, so every source meets its target to the word, no document is taken more
@@ -127,6 +164,9 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.xxhash64(F.lit(seed), "source_no", "block"), "block")).cast("long"))
     placed = written(shuffled.join(slots, ["source_no", "slot"]).select("source_no", "block", "shard"),
                      "blocks")
+    held = placed.groupBy("source_no").agg(F.count("*").alias("source_blocks"))
+    targets = targets.join(held, "source_no", "left").withColumn(
+        "source_blocks", F.coalesce("source_blocks", F.lit(0).cast("long")))
     # A document's place in its source's stream.
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,7 +178,7 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     & (F.col("d.range") == F.col("r.range")))
            .select("d.*", (F.col("base") + F.col("inside")).alias("place")).alias("d"))
     out = (out.join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-           .select("d.*", "source_no", "source_size", "target", "goal"))
+           .select("d.*", "source_no", "source_size", "target", "goal", "source_blocks"))
     taken = F.lit(0).cast("long")
     for e in range(epochs):
         start = F.col("place") + e * F.col("source_size")
@@ -149,7 +189,7 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                .drop("block"))
         taken = taken + F.when(F.col(f"shard_{e}").isNotNull(), F.col(f"words_{e}")).otherwise(0)
     return out.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "place",
+        F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), "place", "source_blocks",
         *[c for e in range(epochs) for c in (f"words_{e}", f"shard_{e}")])
 
 

@@ -58,7 +58,7 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read(spark, sf_dir, "documents")).select(
-        "doc_id", "size", "source_size", "target", "taken")
+        "doc_id", "size", "source_size", "target", "taken", "place", "source_blocks")
 
 
 ORACLES["op3_mix_sources"] = r"""
@@ -76,11 +76,13 @@ c AS (SELECT *, coalesce(sum(most) OVER lower_, 0) AS held, sum(weight) OVER upp
 lvl AS (SELECT arg_min((total - held) / free, k) FILTER (weight * ((total - held) / free) < most) AS level FROM c),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL OR weight * level >= most THEN most ELSE weight * level END AS target
       FROM w, lvl),
-p AS (SELECT d.doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS goal,
+g AS (SELECT *, floor(target + 0.5)::BIGINT AS goal FROM t),
+b AS (SELECT greatest(1, ceil(sum(goal) / 16384.0))::BIGINT AS block FROM g),
+p AS (SELECT d.doc_id, size, source_size, target, goal, ceil(goal / block::DOUBLE)::BIGINT AS source_blocks,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source, b)
+SELECT doc_id, size::BIGINT AS size, source_size, target, place, source_blocks,
        (greatest(0, least(size, goal - place)) + greatest(0, least(size, goal - place - source_size)))::BIGINT AS taken
 FROM p"""
 

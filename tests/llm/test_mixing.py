@@ -1,6 +1,6 @@
 import pytest
 
-from cuemill.llm.mixing import mix_documents, mix_plan, shard_quotas
+from cuemill.llm.mixing import halved, mix_documents, mix_plan, shard_quotas
 
 
 def waterfill(sizes, weights, share, cap):
@@ -51,6 +51,29 @@ def test_tree_quotas_are_exact(spark):
     assert len({r.quota for r in got if r.source_no == 0}) > 1
 
 
+def test_quotas_of_nested_groups(spark):
+    """Sources beyond one row: groups of four, of four of them, and so on; the law stays hypergeometric."""
+    blocks = {i: (i * 7) % 5 for i in range(70)} | {33: 400}
+    rows = spark.createDataFrame(list(blocks.items()), "source_no long, n_blocks long")
+    got = [tuple(r) for r in shard_quotas(rows, 8, 3, fan=4).collect()]
+    assert all(q > 0 for _, _, q in got)
+    for s, n in blocks.items():
+        assert sum(q for t, _, q in got if t == s) == n
+    totals = [sum(q for _, k, q in got if k == shard) for shard in range(8)]
+    assert totals == halved(sum(blocks.values()), 8)
+    # The hot source's share of a shard is near its share of all blocks: 400 of 540, deviation about 3.
+    hot = [q for t, _, q in got if t == 33]
+    assert len(hot) == 8 and all(abs(q - 50) <= 15 for q in hot)
+    assert sorted(got) == sorted(tuple(r) for r in shard_quotas(rows.repartition(5), 8, 3, fan=4).collect())
+
+
+def test_shards_hold_every_block(spark):
+    got = mix_plan(corpus(spark), n_shards=8, blocks_per_shard=16).collect()
+    goals = {(r.source_size, r.target): r.source_blocks for r in got}
+    block = -(-sum(int(t + 0.5) for _, t in goals) // 128)
+    assert all(n == -(-int(t + 0.5) // block) for (_, t), n in goals.items())
+
+
 def test_copies(spark):
     docs = corpus(spark)
     plan = {(r.doc_id, r["size"], r.place): r for r in mix_plan(docs, n_shards=4, blocks_per_shard=8).collect()}
