@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DataType, DoubleType, FloatType, LongType, StructField, StructType
 
 from cuemill.functions.labels import keyword_query
 from cuemill.functions.text import article_text
 from cuemill.lexicons import RelevanceLexicon
 from cuemill.operators.ranking import score_articles
+from cuemill.session import ship_package
 
 
 def read_feed(
@@ -111,57 +114,132 @@ def run_to_end(
 class FirstVersions(StatefulProcessor):
     """Per key the version of earliest event time, given out when its time to live is over.
 
-    The key's first row opens a window of ``delay`` behind its event time, and a timer at the window's end. Rows
-    of the window replace the kept version if they are earlier (of equal ones, the smaller content). When
-    the watermark passes the timer, the version goes out and the key is forgotten.
+    The key's first row opens a window of ``delay`` behind its event time. Rows of the window replace the kept
+    version if they are earlier (of equal ones, the smaller content). When the watermark passes the window's
+    end, the version goes out and the key is forgotten.
+
+    The state holds a group of keys as one Arrow table, ``id`` telling them apart, with one timer at the earliest
+    end: a batch reads and writes a group once, not each of its keys.
     """
 
-    def __init__(self, schema: StructType, ts: str, delay_ms: int):
-        self._schema, self._ts, self._delay = schema, ts, delay_ms
+    def __init__(self, schema: StructType, ts: str, delay_ms: int, id: str):
+        self._schema, self._ts, self._delay, self._id, self._closes = schema, ts, delay_ms, id, f"{id}_closes"
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._best = handle.getValueState("best", self._schema)
+        self._open = handle.getValueState("open", "versions binary, timer long")
+        self._arrow = to_arrow_schema(self._schema).append(
+            pa.field(self._id, pa.string())).append(pa.field(self._closes, pa.int64()))
+
+    def _load(self) -> tuple[pd.DataFrame | None, int | None]:
+        if not self._open.exists():
+            return None, None
+        blob, timer = self._open.get()
+        found = pa.ipc.open_stream(bytes(blob)).read_all().to_pandas()
+        # Times as the session's, which are UTC, without a zone: like those of the rows.
+        zoned = {c: found[c].dt.tz_localize(None) for c in found.columns if isinstance(found[c].dtype, pd.DatetimeTZDtype)}
+        return found.assign(**zoned), timer
+
+    def _store(self, versions: pd.DataFrame, timer: int | None) -> None:
+        """Keeps the group, its timer moved to the earliest end."""
+        first = int(versions[self._closes].min()) if len(versions) else None
+        if timer is not None and timer != first:
+            self._handle.deleteTimer(timer)
+        if first is None:
+            self._open.clear()
+            return
+        if timer != first:
+            self._handle.registerTimer(first)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, self._arrow) as writer:
+            writer.write_table(pa.Table.from_arrays(
+                [pa.Array.from_pandas(versions[f.name], type=f.type) for f in self._arrow], schema=self._arrow))
+        self._open.update((out.getvalue().to_pybytes(), first))
+
+    def _earliest(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """One row per key."""
+        if rows[self._ts].isna().any():
+            raise ValueError(f"{self._ts} must not be null")
+        rows = rows[rows[self._ts] == rows.groupby(self._id)[self._ts].transform("min")]
+        if not rows[self._id].duplicated().any():
+            return rows
+        # Equal times: by content, of these rows only.
+        again = rows[self._id].duplicated(keep=False)
+        tied = rows[again]
+        part = tied[self._schema.names].astype(object)
+        texts = [repr(tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in row))
+                 for row in part.where(part.notna(), None).itertuples(index=False, name=None)]
+        order = pd.Series(texts, index=tied.index).sort_values(kind="stable").index
+        return pd.concat([rows[~again], tied.loc[order].drop_duplicates(self._id)])
 
     def handleInputRows(self, key, rows, timerValues):
-        best = tuple(self._best.get()) if self._best.exists() else None
-        fresh = best is None
-        at = self._schema.names.index(self._ts)
+        kept, timer = self._load()
+        best = None
         for batch in rows:
-            part = batch[self._schema.names]
-            for row in part.astype(object).where(part.notna(), None).itertuples(index=False, name=None):
-                row = tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in row)
-                best = row if best is None else min(best, row, key=lambda r: (r[at], repr(r)))
-        self._best.update(best)
-        if fresh:
-            opened = best[at].replace(tzinfo=datetime.timezone.utc)
-            self._handle.registerTimer(int(opened.timestamp() * 1000) + self._delay)
+            part = batch[[*self._schema.names, self._id]]
+            best = self._earliest(part if best is None else pd.concat([best, part], ignore_index=True)).reset_index(drop=True)
+        if kept is not None:
+            ends = kept.set_index(self._id)[self._closes]
+            # Groups without new rows of a key keep its version as it is.
+            best = self._earliest(pd.concat([kept.drop(columns=self._closes), best], ignore_index=True))
+            closes = best[self._id].map(ends)
+        else:
+            closes = pd.Series(np.nan, index=best.index)
+        own = (best[self._ts] - pd.Timestamp(0)) // pd.Timedelta(milliseconds=1) + self._delay
+        # A new key's window; ends are whole milliseconds, which doubles hold exactly.
+        self._store(best.assign(**{self._closes: closes.where(closes.notna(), own).astype("int64")}), timer)
         yield pd.DataFrame(columns=self._schema.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        best = tuple(self._best.get())
-        self._best.clear()
-        yield pd.DataFrame([best], columns=self._schema.names)
+        kept, _ = self._load()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        # A timer expires when the watermark is behind it.
+        due = (kept[self._closes] <= at) | (kept[self._closes] < timerValues.getCurrentWatermarkInMs())
+        self._store(kept[~due], None)
+        yield kept.loc[due, self._schema.names]
 
     def close(self) -> None:
         pass
 
 
+def _key_text(name: str, kind: DataType) -> Column:
+    """A key as text that no other value of its column has, null included."""
+    value = F.col(name)
+    if isinstance(kind, (FloatType, DoubleType)):
+        value = value + F.lit(0.0)  # the two zeros are one key
+    text = F.hex(value) if isinstance(kind, BinaryType) else value.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
 def stream_first_versions(
     feed: DataFrame, keys: Sequence[str], ts: str = "publishedAt", delay: str = "7 days", delay_ms: int = 7 * 86_400_000,
+    groups: int = 256,
 ) -> DataFrame:
     """The earliest version of every key, once its window of ``delay`` has passed the watermark.
 
-    State is one row and one timer per open key, on disk in the RocksDB store, spread by key; it is dropped with its
-    timer. Rows behind the watermark are left out; the query's progress counts them (:func:`late_rows`). Event times are
-    taken as UTC, as the session's should be.
+    State is one row per open key, on disk in the RocksDB store, dropped when its window is over. The keys are dealt
+    to ``groups`` by hash; a task holds one group's open keys at a time, so let the number grow with them (some
+    100 000 keys a group); a checkpoint keeps the number it began with. Rows behind the watermark are left out; the
+    query's progress counts them (:func:`late_rows`). Event times are taken as UTC, as the session's should be, and
+    must not be null.
     """
     if "RocksDB" not in feed.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
         feed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
                                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    ship_package(feed.sparkSession)
     stamped = feed.withColumn(ts, F.col(ts).cast("timestamp"))
-    return stamped.withWatermark(ts, delay).groupBy(*keys).transformWithStateInPandas(
-        FirstVersions(stamped.schema, ts, delay_ms), stamped.schema, "Append", "EventTime")
+    # Spark's workers rename columns that begin with an underscore.
+    id, group = "key_id", "key_group"
+    while any(c.lower().startswith((id, group)) for c in stamped.columns):
+        id, group = f"{id}_", f"{group}_"
+    # Workers turn a column of longs with nulls into doubles, so longs travel as text.
+    longs = [f.name for f in stamped.schema if isinstance(f.dataType, LongType)]
+    carried = stamped.withColumns({c: F.col(c).cast("string") for c in longs})
+    rows = carried.withColumn(id, F.concat(*[_key_text(k, stamped.schema[k].dataType) for k in keys]))
+    rows = rows.withColumn(group, F.pmod(F.xxhash64(id), F.lit(groups)).cast("int"))
+    out = rows.withWatermark(ts, delay).groupBy(group).transformWithStateInPandas(
+        FirstVersions(carried.schema, ts, delay_ms, id), carried.schema, "Append", "EventTime")
+    return out.withColumns({c: F.col(c).cast("long") for c in longs})
 
 
 def late_rows(query: StreamingQuery) -> list[tuple[int, int]]:

@@ -130,3 +130,24 @@ def test_first_versions_expire_and_late_rows_are_counted(spark):
     # The watermark went to day 5, then 6, then 18; u1's first window took the earlier version of the second poll.
     assert sorted((r["url"], r["title"]) for r in found) == [("u1", "older"), ("u2", "x")]
     assert late == 1
+
+
+def test_first_versions_keep_groups_of_keys(spark):
+    """The state holds groups, not keys, and tells keys apart that share a group, null and long ones too."""
+    schema = "key long, part string, content string, ts timestamp"
+    feed, sink, checkpoint = (scratch_path(spark, n) for n in ("feed", "sink", "checkpoint"))
+    spark.createDataFrame([], schema).write.parquet(feed)
+    rows = stream_first_versions(read_feed(spark, feed, schema, "parquet"), ["key", "part"], "ts", "7 days", groups=3)
+    keys = [(2**53 + i, str(i % 3)) for i in range(200)] + [(None, "a"), (None, None), (1, None), (1, "1"), (11, "")]
+    first = [(*k, c, day(2, n % 5)) for n, k in enumerate(keys) for c in ("b", "a")] + [(*k, "late", day(3)) for k in keys]
+    ends = [(7, "x", "end", day(d)) for d in (20, 28)]
+    held = 0
+    for poll in (first, [(*keys[0], "older", day(1)), (*keys[1], "c", day(2, 1))], ends[:1], ends[1:]):
+        spark.createDataFrame(poll, schema).write.mode("append").parquet(feed)
+        query = write_feed(rows, sink, checkpoint)
+        query.awaitTermination()
+        held = max(held, *[o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]])
+    found = spark.read.schema(schema).parquet(sink).collect()
+    want = {k: (*k, "a", day(2, n % 5)) for n, k in enumerate(keys)} | {keys[0]: (*keys[0], "older", day(1))}
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, want.values()))
+    assert held <= 3
