@@ -48,3 +48,18 @@ def test_label_counts_repeated_and_null_keys(spark):
     nothing = label_lexicon(docs, cues.limit(0), ["id"], cue="word")
     assert {r.label for r in nothing.collect()} == {0} and nothing.count() == 4
     assert label_lexicon(docs.limit(0), cues, ["id"], cue="word").count() == 0
+
+
+def test_cues_are_looked_up_as_they_are(spark):
+    """Short cues are their own keys, so a text meets no cue that it does not hold; long ones differ late."""
+    lead = "one two three four five "
+    cues = [f"common w{i}" for i in range(300)] + [f"{lead}w{i}" for i in range(300)] + ["(x) of", " of", "b ", "."]
+    texts = ["common w7", f"{lead}w8, and {lead}w9", f"{lead}w99x", f"a{lead}w3", "see (x) of it", "(x) of", "b of", "b  of .", "a.b"]
+    index = lexicon_index(spark.createDataFrame([(c,) for c in cues], "cue string"))
+    assert index.groupBy("key").count().agg(F.max("count")).first()[0] == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    tests = [label_word_boundary("text", [c]).alias(f"c{i}") for i, c in enumerate(cues)]
+    want = {(r[0], cues[i]) for r in docs.select("id", *tests).collect() for i in range(len(tests)) if r[i + 1]}
+    for max_bytes in (1 << 20, 0):
+        got = {tuple(r) for r in lexicon_hits(docs, spark.createDataFrame([(c,) for c in cues], "cue string"), ["id"], max_bytes=max_bytes).collect()}
+        assert got == want and len(want) == 6
