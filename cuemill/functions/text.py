@@ -114,8 +114,8 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
-def ngrams(c: Column | str, lo: int = 1, hi: int = 2) -> Column:
-    """All n-grams from ``lo`` to ``hi`` words, shorter ones first."""
+def ngrams(c: Column | str, lo: int = 1, hi: int = 2, among: Iterable[str] | None = None) -> Column:
+    """All n-grams from ``lo`` to ``hi`` words, shorter ones first; those with a word not in ``among`` are null."""
 
     def grams(tokens: Column, n: int) -> Column:
         out = tokens
@@ -125,7 +125,11 @@ def ngrams(c: Column | str, lo: int = 1, hi: int = 2) -> Column:
             out = F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))
         return out
 
-    return let(words(c), lambda t: F.concat(*[grams(t, n) for n in range(lo, hi + 1)]))
+    tokens = words(c)
+    if among is not None:
+        known = sorted(among)
+        tokens = F.transform(tokens, lambda w: F.when(w.isin(known), w))
+    return let(tokens, lambda t: F.concat(*[grams(t, n) for n in range(lo, hi + 1)]))
 
 
 def seeded_hash(key: Column, seed: int) -> Column:

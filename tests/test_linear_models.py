@@ -217,3 +217,27 @@ def test_batch_predict(spark):
         assert [r["prediction"] for r in out] == logits.argmax(axis=1).tolist()
         assert [r["probability"] for r in out] == pytest.approx((exps[:, 1] / exps.sum(axis=1)).tolist())
     assert batch_predict(df.limit(0), linear_head(weights, bias), "v", [4]).filter(F.lit(True)).count() == 0
+
+
+def test_pairs_of_rare_words_are_not_counted(spark, monkeypatch):
+    """The same vocabulary as from all n-grams, though only pairs of frequent words are counted."""
+    import random
+
+    from cuemill.operators import features
+
+    pick = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(pick.choices(words, [1 / (i + 1) for i in range(60)], k=40)) + f" rare{i} rare{i} w0" for i in range(60)] + [None, ""]
+    rows = spark.createDataFrame([(i, t, i % 4 - 1) for i, t in enumerate(texts)], "id long, text string, fold int")
+    for size, min_df, max_df in ((5, 2, 0.95), (40, 2, 0.5), (90, 3, 0.95), (100_000, 2, 0.95), (7, 1, 1.0)):
+        stats = top_vocabulary(term_stats(rows), rows.count(), min_df, max_df, size)
+        want = sorted((r["term"], r["tf"], r["df"]) for r in stats.collect())
+        got = [(r["term"], r["tf"], r["df"]) for r in tfidf_fit(rows, min_df=min_df, max_df=max_df, size=size).collect()]
+        assert sorted(got) == want
+    short = [[tuple(r) for r in v] for v in fold_vocabularies(rows, "fold", 3, size=30)]
+    counted = []
+    monkeypatch.setattr(features, "term_stats", lambda *a, **k: counted.append(term_stats(*a, **k)) or counted[-1])
+    tfidf_fit(rows, size=10)
+    assert sum(c.count() for c in counted) < term_stats(rows).count() / 2
+    monkeypatch.setattr(features, "_collected", lambda words: None)
+    assert [[tuple(r) for r in v] for v in fold_vocabularies(rows, "fold", 3, size=30)] == short
