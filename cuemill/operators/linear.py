@@ -138,10 +138,10 @@ def _pass(rows: DataFrame, loss: Loss, spaces: Sequence[Space], tasks: Sequence[
                     sums[m][1] += x.T @ (weight * first * y)
                     curve = weight * second
                     active = curve > 0
-                    half = x[active] * np.sqrt(curve[active])[:, None]
+                    # A Newton step bears a rounded curvature; the gradient stays exact.
+                    half = (x[active] * np.sqrt(curve[active])[:, None]).astype(np.float32)
                     sums[m][2] += half.T @ half
         for m, (value, gradient, gram) in sums.items():
-            # A Newton step bears a rounded curvature; the gradient stays exact.
             yield pd.DataFrame({"model": [m], "value": [value], "gradient": [gradient.tobytes()],
                                 "gram": [gram[upper[len(gram)]].astype("<f4").tobytes()]})
 
