@@ -17,10 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.common import BATCH_ROWS, KEPT, bounded_batches, tasks
+from cuemill.llm.common import KEPT, bounded_batches, fresh_worker, tasks
 
 MAGIC = b"TIDS"
 HEADER = struct.Struct("<4sHHQQqQQ")  # magic, version, id width, documents, ids, first id, 2 sizes
+#: Texts that are cut into words at a time: a word takes some ten times its bytes.
+ENCODED_ROWS = 256
 #: Ones of the high bits between two stored positions.
 SELECT_EVERY = 256
 
@@ -166,8 +168,8 @@ class Encoder:
     def _add(self, words: set[str]) -> None:
         """Takes up new words, each with a blank in front."""
         plain = list(filter(PLAIN.fullmatch, words))
-        single = {w for w in plain if w.isalpha()}
-        mixed = [w for w in plain if w not in single]
+        single = set(filter(str.isalpha, plain))
+        mixed = list(filterfalse(str.isalpha, plain))
         # A mixed word is a word, the piece behind the blank, and pieces without one.
         pieces = PIECES.findall(" " + " ".join(mixed)) if mixed else []
         heads = {p[1:] for p in pieces if p[0] == " "}
@@ -261,6 +263,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, *, id_co
     bounded_batches(docs.sparkSession)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fresh_worker(encoder.cache_clear)
         enc = encoder(tokenizer_file, kept_words)
         part, seq, size = TaskContext.get().partitionId(), 0, enc.dtype.itemsize
         end = np.array([end_id], dtype=enc.dtype).tobytes()
@@ -274,9 +277,9 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_file: str, *, id_co
 
         for batch in batches:
             texts = ["" if t is None else t for t in batch["text"]]
-            for at in range(0, len(texts), BATCH_ROWS):
-                codes = enc.encode(texts[at:at + BATCH_ROWS])
-                for i, body in zip(batch["id"].iloc[at:at + BATCH_ROWS], codes):
+            for at in range(0, len(texts), ENCODED_ROWS):
+                codes = enc.encode(texts[at:at + ENCODED_ROWS])
+                for i, body in zip(batch["id"].iloc[at:at + ENCODED_ROWS], codes):
                     ids.append(int(i))
                     bodies.append(body + end)
                     held += len(bodies[-1]) // size
