@@ -16,6 +16,8 @@ from cuemill.llm.common import bounded_batches, distinct, fresh_worker, utf8
 PASSAGE, GRID = 32, 8
 #: Words in a row that make a quote: half of an item, but at least and at most so many, or all of a short item.
 QUOTE = 8, 16
+#: Words whose vectors are gathered at a time: some 1 KB each.
+GATHERED = 8192
 #: Lower-cases A-Z, blanks ASCII punctuation, keeps letters, digits and bytes beyond ASCII.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
               for b in range(256))
@@ -35,6 +37,17 @@ def term_ids(texts: list[str | None], terms: dict[bytes, int]) -> tuple[np.ndarr
     return np.array(ids, dtype=np.int32), np.array(sizes, dtype=np.int64)
 
 
+def row_sums(table: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``np.add.reduceat(table[rows], first)`` over about ``GATHERED`` rows at a time, by whole sums."""
+    out, ends = np.empty((len(first), table.shape[1]), table.dtype), np.append(first[1:], len(rows))
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(ends, first[a] + GATHERED, side="right")))
+        out[a:b] = np.add.reduceat(table[rows[first[a]:ends[b - 1]]], first[a:b] - first[a], axis=0)
+        a = b
+    return out
+
+
 def lcs_length(a: list, b: list) -> int:
     """Longest common subsequence, with the table's rows as bits of one integer."""
     masks: dict = {}
@@ -135,7 +148,7 @@ class Index:
                 latent = np.zeros((len(some), self.basis.shape[1]), np.float32)
                 first = np.flatnonzero(np.diff(row, prepend=-1))
                 if len(first):
-                    latent[row[first]] = np.add.reduceat(self.basis[term], first, axis=0)
+                    latent[row[first]] = row_sums(self.basis, term, first)
                 norm = np.sqrt((latent ** 2).sum(axis=1) + outside[some]) + 1e-9
                 cos = (latent @ self.items[own].T) / norm[:, None]
                 for i, j in zip(*np.nonzero(cos >= self.cosine)):
@@ -283,11 +296,11 @@ def latent_basis(docs: DataFrame, text_col: str, terms: dict[bytes, int], idf: n
                 some = known[a:a + (1 << 18)]
                 term, r = ids[some], row[some]
                 first = np.flatnonzero(np.diff(r, prepend=-1))
-                inner = np.add.reduceat(weighted[term], first, axis=0)
+                inner = row_sums(weighted, term, first)
                 order = np.argsort(term, kind="stable")
                 which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(some))))[order]
                 begin = np.flatnonzero(np.diff(term[order], prepend=-1))
-                total[term[order][begin]] += np.add.reduceat(inner[which], begin, axis=0)
+                total[term[order][begin]] += row_sums(inner, which, begin)
         if seen:
             total *= idf[:, None]
             yield pd.DataFrame({"slice": np.arange(SLICES), "v": [

@@ -88,7 +88,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def with_evidence(docs: DataFrame, model: Logistic | None, text_col: str, name: str) -> DataFrame:
-    """Adds the classifier's log odds as ``name``; 0 without a model."""
+    """Adds the classifier's log odds as ``name``; 0 without a model.
+
+    Marked as not deterministic, or Spark would evaluate it a second time for a filter on what
+    depends on it: each task would take another worker, which the executor then keeps.
+    """
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
@@ -101,7 +105,7 @@ def with_evidence(docs: DataFrame, model: Logistic | None, text_col: str, name:
                 x = np.stack([features(t) for t in batch]) if len(batch) else np.zeros((0, N_FEATURES))
                 yield pd.Series(model.logit(x))
 
-    return docs.withColumn(name, evidence(F.col(text_col)))
+    return docs.withColumn(name, evidence.asNondeterministic()(F.col(text_col)))
 
 
 def _sigmoid(x: Column) -> Column:
