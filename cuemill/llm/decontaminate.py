@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ PASSAGE, GRID = 32, 8
 QUOTE = 8, 16
 #: Words whose vectors are gathered at a time: some 1 KB each.
 GATHERED = 8192
+#: Bytes of text whose words are looked up at a time.
+LOOKED_UP = 1 << 22
 #: Lower-cases A-Z, blanks ASCII punctuation, keeps letters, digits and bytes beyond ASCII.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
               for b in range(256))
@@ -28,13 +32,29 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def term_ids(texts: list[str | None], terms: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Term number of every word of the texts (-1: none), and each text's number of words."""
-    get, ids, sizes = terms.get, [], []
-    for text in texts:
-        words = words_of(text)
-        ids += [get(w, -1) for w in words]
-        sizes.append(len(words))
-    return np.array(ids, dtype=np.int32), np.array(sizes, dtype=np.int64)
+    """Term number of every word of the texts (-1: none), and each text's number of words.
+
+    Terms are numbered in their order. Whole stretches of text are cut and looked up at once, as
+    ``words_of`` each text would take several times as long.
+    """
+    known = pa.array(list(terms), pa.large_binary())
+    ids, sizes, some, held = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], 0
+    for k, text in enumerate(texts):
+        some.append(utf8(text))
+        held += len(some[-1])
+        if held < LOOKED_UP and k + 1 < len(texts):
+            continue
+        data = np.frombuffer(b" ".join([*some, b""]).translate(TABLE), np.uint8)  # a blank ends each text
+        blank = data == 32
+        edges = np.flatnonzero(np.diff(blank, prepend=True))
+        starts, lengths = edges[::2], edges[1::2] - edges[::2]
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [
+            None, pa.py_buffer(np.append(0, np.cumsum(lengths))), pa.py_buffer(data[~blank])])
+        ids.append(pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False))
+        ends = np.cumsum([len(raw) + 1 for raw in some])
+        sizes.append(np.diff(np.searchsorted(starts, ends), prepend=0))
+        some, held = [], 0
+    return np.concatenate(ids), np.concatenate(sizes)
 
 
 def row_sums(table: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -123,15 +143,17 @@ class Index:
         ids, sizes = term_ids(texts, self.terms)
         found: dict[tuple, tuple] = {}
         ends = np.cumsum(sizes)
+        begins = ends - sizes
         known = ids >= 0
         reach = np.concatenate([[0.0], np.cumsum(np.where(known, self.most[ids], 0.0))])
         rest = np.concatenate([[0], np.cumsum(~known)])
         # Passages start on the grid of each text, the last one at its end minus its length.
         for span, own in self.by_span.items():
             length, step = span, window_step(span)
-            starts = np.concatenate([np.append(np.arange(e - n, max(e - n + 1, e - length), step), max(e - n, e - length))
-                                     for n, e in zip(sizes, ends) if n] or [np.zeros(0, np.int64)])
-            starts = distinct(starts)
+            last = np.maximum(begins, ends - length)[sizes > 0]
+            count = -(-np.maximum(last - begins[sizes > 0], 1) // step)
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            starts = distinct(np.append(np.repeat(begins[sizes > 0], count) + place * step, last))
             text = np.searchsorted(ends, starts, side="right")
             stops = np.minimum(starts + length, ends[text])
             outside = self.oov * (rest[stops] - rest[starts])
