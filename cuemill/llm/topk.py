@@ -17,7 +17,7 @@ BLOCK, CHUNK = 512, 512
 #: Numbers in a row that is shipped, so that 1024 rows are a small Arrow batch, and vectors in it at most.
 PIECE, PIECE_ROWS = 1 << 13, 1 << 12
 #: Numbers of candidates that a task holds at once, and bytes that the queries of a task may take.
-HELD, QUERY_BYTES = 1 << 21, 96 << 20
+HELD, QUERY_BYTES = 1 << 21, 48 << 20
 #: Candidates of the first round, and growth of the rounds at most.
 FIRST, GROWTH = 1 << 16, 16
 #: Products of a task: fewer are not worth another task, more are too long for one.
@@ -125,11 +125,13 @@ class Search:
 
     def _ready(self) -> None:
         """The queries as arrays, those near the same pivot together."""
-        row, ids, v, floor, floor_id, norm, table = (np.concatenate(x) for x in zip(*self.asked))
-        self.asked, self.n = [], len(row)
+        columns, self.asked = [list(x) for x in zip(*self.asked)], []
+        table = np.concatenate(columns.pop())
         order = np.lexsort((table.min(axis=1), table.argmin(axis=1)))
-        self.row, self.ids, self.v, self.floor, self.floor_id = (x[order] for x in (row, ids, v, floor, floor_id))
-        self.norm, self.table = norm[order], table[order]
+        self.n, self.table = len(order), table[order]
+        del table
+        self.norm, self.floor_id, self.floor, self.v, self.ids, self.row = (
+            np.concatenate(columns.pop())[order] for _ in range(6))
         self.score = np.repeat(self.floor[:, None], self.k, axis=1)
         self.best = np.repeat(self.floor_id[:, None], self.k, axis=1)
         self.low = self.score[:, -1].astype(np.float64)
